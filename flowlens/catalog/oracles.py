@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowlens.catalog import fixtures
-from flowlens.catalog.queries import LINEAR_WEIGHTS
+from flowlens.catalog.queries import DIGITS, LINEAR_WEIGHTS
 from flowlens.config import (
     ABLATION_STAGES,
     ATTACK_LABELS,
@@ -38,7 +38,8 @@ def _name(column: str) -> str:
     return f"{CLASS_LIST}[{column} + 1]"
 
 
-def _r(expression: str, alias: str, digits: int = 6) -> str:
+def _r(expression: str, alias: str, digits: int | None = None) -> str:
+    digits = digits or DIGITS.get(alias, 6)
     return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {alias}"
 
 
@@ -82,14 +83,15 @@ reasoned AS (SELECT *, CASE WHEN closed THEN 'tcp_close'
 sizes AS (SELECT fk, flow_no, packet_length, count(*) AS c FROM hist WHERE from_end <= 512 GROUP BY ALL),
 size_entropy AS (SELECT fk, flow_no, sum(-p * log2(p)) AS entropy FROM
   (SELECT fk, flow_no, c / sum(c) OVER (PARTITION BY fk, flow_no) AS p FROM sizes) GROUP BY ALL),
-gaps AS (SELECT fk, flow_no, avg(gap) AS iat_mean, stddev_pop(gap) AS iat_std FROM
-  (SELECT fk, flow_no, (t_us - lag(t_us) OVER (PARTITION BY fk, flow_no ORDER BY t_us, seq)) / 1000000.0 AS gap
-   FROM hist WHERE from_end <= 512) GROUP BY ALL),
+gaps AS (SELECT fk, flow_no, CAST(sum(gap) AS DOUBLE) / count(gap) / 1000000 AS iat_mean,
+  sqrt(CAST(count(gap) * sum(CAST(gap AS HUGEINT) * gap) - sum(gap) * sum(gap) AS DOUBLE)) / count(gap) / 1000000 AS iat_std FROM
+  (SELECT fk, flow_no, t_us - lag(t_us) OVER (PARTITION BY fk, flow_no ORDER BY t_us, seq) AS gap
+   FROM hist WHERE from_end <= 512) GROUP BY fk, flow_no),
 chars AS (SELECT dns_query_name, unnest(string_split(dns_query_name, '')) AS ch
   FROM (SELECT DISTINCT dns_query_name FROM packets WHERE dns_query_name IS NOT NULL)),
 name_entropy AS (SELECT dns_query_name, sum(-p * log2(p)) AS e FROM
-  (SELECT dns_query_name, ch, count(*) / sum(count(*)) OVER (PARTITION BY dns_query_name) AS p FROM chars GROUP BY ALL)
-  GROUP BY ALL),
+  (SELECT dns_query_name, c / sum(c) OVER (PARTITION BY dns_query_name) AS p FROM
+    (SELECT dns_query_name, ch, count(*) AS c FROM chars GROUP BY dns_query_name, ch)) GROUP BY dns_query_name),
 dns AS (SELECT fk, flow_no, avg(e) AS dns_entropy FROM hist JOIN name_entropy USING (dns_query_name) GROUP BY ALL),
 own AS (SELECT r.*, (last_us - start_us) / 1000000.0 AS duration,
   CASE WHEN last_us > start_us THEN packet_count / ((last_us - start_us) / 1000000.0) ELSE 0 END AS packet_rate,
@@ -597,7 +599,8 @@ FROM scored""",
     names = _texts(FEATURE_COLUMNS)
     q["alert_evidence"] = _with(
         _evidence_ctes(),
-        f"""SELECT flow_id, CAST(place - 1 AS INT) AS position, {names}[j + 1] AS feature, {_r('x', 'value')},
+        f"""SELECT flow_id, CAST(place - 1 AS INT) AS position, {names}[j + 1] AS feature,
+  CASE WHEN {names}[j + 1] IN ('iat_mean', 'iat_std') THEN round(x, 9) + 0.0 ELSE round(x, 6) + 0.0 END AS value,
   {_r('c', 'contribution')}, 'xgboost_triage' AS evidence_source FROM ranked WHERE place <= 5 AND dl_pred <> 0""",
     )
     q["replay_records_flat"] = _with(

@@ -61,10 +61,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+# Mean gaps are halves or quarters of microseconds, so six digits would round exact ties.
+DIGITS = {"iat_mean": 9, "iat_std": 9}
+
+
+def tidy(df: DataFrame) -> DataFrame:
     """Round doubles and drop negative zeros, so that both engines print the same values."""
     doubles = [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in doubles}) if doubles else df
+    return df.withColumns({n: F.round(n, DIGITS.get(n, 6)) + F.lit(0.0) for n in doubles}) if doubles else df
 
 
 FLOW_TOTALS = [
@@ -497,15 +501,14 @@ def alerts_class_severity(spark, sf):
 def alert_evidence(spark, sf):
     made = A.build_alerts(_explained_flows(spark, sf))
     long = made.select("flow_id", F.posexplode("evidence").alias("position", "e"))
-    return tidy(
-        long.select(
-            "flow_id",
-            "position",
-            F.col("e.feature").alias("feature"),
-            F.col("e.value").alias("value"),
-            F.col("e.contribution").alias("contribution"),
-            F.col("e.evidence_source").alias("evidence_source"),
-        )
+    value = F.when(F.col("e.feature").isin(list(DIGITS)), F.round("e.value", 9)).otherwise(F.round("e.value", 6))
+    return long.select(
+        "flow_id",
+        "position",
+        F.col("e.feature").alias("feature"),
+        (value + F.lit(0.0)).alias("value"),
+        (F.round("e.contribution", 6) + F.lit(0.0)).alias("contribution"),
+        F.col("e.evidence_source").alias("evidence_source"),
     )
 
 

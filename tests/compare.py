@@ -27,7 +27,7 @@ def _plain(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else v
     return v
 
 
