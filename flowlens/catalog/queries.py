@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from flowlens.operators import alerts as A
 from flowlens.operators import dataset as D
 from flowlens.operators import evaluate as V
 from flowlens.operators import latency as L
+from flowlens.operators import models as M
 from flowlens.operators import routing as R
 from flowlens.operators.behaviour import COUNTS, source_behaviour
 from flowlens.operators.evidence import linear_evidence
@@ -44,6 +46,7 @@ from flowlens.operators.sessionize import (
     with_reason,
 )
 from flowlens.plans.flows import extract_features
+from flowlens.plans.scoring import score_flows, train_all
 from flowlens.sources.sinks import replay_records
 from flowlens.sources.synthetic import synthesize
 
@@ -314,6 +317,82 @@ def group_split(spark, sf):
     return rows.groupBy("src_ip", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- Models, fitted on synthetic flows of the driver's event ids -------------------------------
+
+
+def _training_flows(spark: SparkSession, sf: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf}/events.parquet").select("event_id")
+    return synthesize(ids, "event_id")
+
+
+def _parts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    rows = complete_features(_training_flows(spark, sf))
+    made = D.chronological_split(rows, ["seq"], Cuts.measure(rows, "seq"))
+    return {p: made.filter(F.col("part") == p) for p in ("train", "val", "test")}
+
+
+@query
+def triage_model(spark, sf):
+    """Search log of the triage forest."""
+    parts = _parts(spark, sf)
+    _, log = M.train_triage(parts["train"], parts["val"])
+    return spark.createDataFrame(log)
+
+
+@query
+def ablation(spark, sf):
+    parts = _parts(spark, sf)
+    return spark.createDataFrame(M.ablation(parts["train"], parts["val"]))
+
+
+@query
+def light_model(spark, sf):
+    """Test predictions of the light verifier, per class."""
+    parts = {k: D.encode_labels(v) for k, v in _parts(spark, sf).items()}
+    scaler = fit_scaler(parts["train"])
+    model = M.train_light(apply_scaler(parts["train"], scaler))
+    scored = model.transform(M.with_vector(apply_scaler(parts["test"], scaler)))
+    rows = scored.select("label_idx", F.col("prediction").cast("int").alias("pred"))
+    return V.class_report(V.contingency(rows, "label_idx", "pred"))
+
+
+@query
+def heavy_model(spark, sf):
+    """Test predictions of the temporal verifier, per class."""
+    parts = {k: D.encode_labels(v) for k, v in _parts(spark, sf).items()}
+    scaler = fit_scaler(parts["train"])
+    sequenced = {k: D.host_sequences(apply_scaler(v, scaler), "src_ip", ["seq"]) for k, v in parts.items()}
+    model = M.train_heavy(sequenced["train"])
+    scored = model.transform(sequenced["test"].withColumn("features", M.sequence_vector()))
+    rows = scored.select("label_idx", F.col("prediction").cast("int").alias("pred"))
+    return V.class_report(V.contingency(rows, "label_idx", "pred"))
+
+
+@query
+def calibrated_scores(spark, sf):
+    """Raw and calibrated calibration error of the triage forest on the test part."""
+    parts = {k: M.with_vector(D.encode_labels(v)) for k, v in _parts(spark, sf).items()}
+    model, _ = M.train_triage(parts["train"].drop("features"), parts["val"].drop("features"), [M.TRIAGE_GRID[0]])
+    calibrator = M.Calibrator.fit(model.transform(parts["val"]))
+    scored = calibrator.apply(model.transform(parts["test"])).withColumn("raw", vector_to_array("probability"))
+
+    def error(column: str) -> DataFrame:
+        judged = M.with_verdict(scored, column, "v")
+        return V.expected_calibration_error(judged, "v_confidence", F.col("v_idx") == F.col("label_idx"))
+
+    return V.calibration_report(error("raw"), error("calibrated"))
+
+
+@query
+def scored_flows(spark, sf):
+    """Train every stage on synthetic flows, then score the flows of the packet table."""
+    art = train_all(_training_flows(spark, sf), ["seq"], grid=[M.TRIAGE_GRID[0]])
+    flows = extract_features(fixtures.packets(spark, sf), keep=["start_us", "start_seq", "last_us"])
+    scored = score_flows(flows, art, ["start_us", "start_seq"])
+    names = ["flow_id", "ml_verdict", "ml_confidence", "dl_verdict", "dl_confidence", "model_used"]
+    return scored.select(*names)
+
+
 # --- Routing and evaluation --------------------------------------------------------------------
 
 
