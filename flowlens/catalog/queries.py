@@ -34,8 +34,8 @@ from flowlens.operators.features import (
     complete_features,
     contract_check,
     fit_scaler,
-    flow_measures,
-    variant_measures,
+    with_measures,
+    with_variants,
 )
 from flowlens.operators.ordering import Cuts
 from flowlens.operators.sessionize import (
@@ -91,9 +91,7 @@ FLOW_TOTALS = [
 
 
 def _measured(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
-    flows = build_flows(fixtures.packets(spark, sf))
-    own = flow_measures()
-    return tidy(flows.select("flow_id", *[own[n].alias(n) if n in own else F.col(n) for n in names]))
+    return tidy(with_measures(build_flows(fixtures.packets(spark, sf))).select("flow_id", *names))
 
 
 # --- Packets and flows -------------------------------------------------------------------------
@@ -164,8 +162,8 @@ def flow_tls(spark, sf):
 
 @query
 def flow_feature_variants(spark, sf):
-    flows = build_flows(fixtures.packets(spark, sf))
-    return tidy(flows.select("flow_id", *[c.alias(n) for n, c in variant_measures().items()]))
+    names = ["byte_ratio_open", "packet_ratio_open", "periodicity_exp"]
+    return tidy(with_variants(build_flows(fixtures.packets(spark, sf))).select("flow_id", *names))
 
 
 @query

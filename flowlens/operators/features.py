@@ -23,43 +23,53 @@ from flowlens.functions.measures import (
 )
 
 
-def flow_measures() -> dict[str, Column]:
-    """The numeric features that come from a flow's own packets."""
-    duration = F.greatest(F.col("last_us") - F.col("start_us"), F.lit(0)) / MICROS
-    packets, octets = F.col("packet_count"), F.col("byte_count")
-    mean = F.when(F.col("n_gap") > 0, F.col("gap_sum") / F.col("n_gap") / MICROS).otherwise(F.lit(0.0))
-    std = F.when(
-        F.col("n_gap") > 1, population_std(F.col("n_gap"), F.col("gap_sum"), F.col("gap_sq")) / MICROS
-    ).otherwise(F.lit(0.0))
-    return {
-        "duration": duration,
-        "packet_rate": ratio_or_zero(packets, duration),
-        "byte_rate": ratio_or_zero(octets, duration),
-        "avg_packet_size": ratio_or_zero(octets, packets),
-        "byte_ratio": F.col("fwd_bytes") / F.greatest(F.col("rev_bytes"), F.lit(1)),
-        "packet_ratio": F.col("fwd_packets") / F.greatest(F.col("rev_packets"), F.lit(1)),
-        "entropy": entropy_from_counts(F.col("n_hist"), F.col("hist_clogc")),
-        "dns_query_length": ratio_or_zero(F.col("dns_len"), F.col("n_dns")),
-        "dns_entropy": ratio_or_zero(F.col("dns_ent"), F.col("n_dns")),
-        "iat_mean": mean,
-        "iat_std": std,
-        "periodicity_score": periodicity(mean, std),
-    }
+RAW_SUMS = ["n_gap", "gap_sum", "gap_sq", "n_hist", "hist_clogc", "n_dns", "dns_len", "dns_ent"]
 
 
-def variant_measures() -> dict[str, Column]:
-    """Design-document forms of the ratios and of periodicity."""
-    own = flow_measures()
-    return {
-        "byte_ratio_open": F.col("fwd_bytes") / (F.col("rev_bytes") + 1),
-        "packet_ratio_open": F.col("fwd_packets") / (F.col("rev_packets") + 1),
-        "periodicity_exp": periodicity_exponential(own["iat_mean"], own["iat_std"]),
-    }
+def with_gap_stats(flows: DataFrame) -> DataFrame:
+    """Add iat_mean and iat_std in seconds, from exact sums of microseconds."""
+    n, total, squares = F.col("n_gap"), F.col("gap_sum"), F.col("gap_sq")
+    return flows.withColumns(
+        {
+            "iat_mean": F.when(n > 0, total / n / MICROS).otherwise(F.lit(0.0)),
+            "iat_std": F.when(n > 1, population_std(n, total, squares) / MICROS).otherwise(F.lit(0.0)),
+            "duration": F.greatest(F.col("last_us") - F.col("start_us"), F.lit(0)) / MICROS,
+        }
+    )
+
+
+def with_measures(flows: DataFrame) -> DataFrame:
+    """Add the numeric features that come from a flow's own packets."""
+    packets, octets, duration = F.col("packet_count"), F.col("byte_count"), F.col("duration")
+    return with_gap_stats(flows).withColumns(
+        {
+            "packet_rate": ratio_or_zero(packets, duration),
+            "byte_rate": ratio_or_zero(octets, duration),
+            "avg_packet_size": ratio_or_zero(octets, packets),
+            "byte_ratio": F.col("fwd_bytes") / F.greatest(F.col("rev_bytes"), F.lit(1)),
+            "packet_ratio": F.col("fwd_packets") / F.greatest(F.col("rev_packets"), F.lit(1)),
+            "entropy": entropy_from_counts(F.col("n_hist"), F.col("hist_clogc")),
+            "dns_query_length": ratio_or_zero(F.col("dns_len"), F.col("n_dns")),
+            "dns_entropy": ratio_or_zero(F.col("dns_ent"), F.col("n_dns")),
+            "periodicity_score": periodicity(F.col("iat_mean"), F.col("iat_std")),
+        }
+    )
+
+
+def with_variants(flows: DataFrame) -> DataFrame:
+    """Add the design-document forms of the ratios and of periodicity."""
+    return with_gap_stats(flows).withColumns(
+        {
+            "byte_ratio_open": F.col("fwd_bytes") / (F.col("rev_bytes") + 1),
+            "packet_ratio_open": F.col("fwd_packets") / (F.col("rev_packets") + 1),
+            "periodicity_exp": periodicity_exponential(F.col("iat_mean"), F.col("iat_std")),
+        }
+    )
 
 
-def flow_features(flows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The 28 contract columns, in contract order, from flows with source behaviour."""
-    rows = flows.withColumns(flow_measures()).withColumns(
+def contract_columns(seen: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The 28 contract columns, in contract order, from measured flows with source behaviour."""
+    rows = seen.withColumns(
         {
             "tls_ja3": F.when(F.col("n_tls") > 0, "observed").otherwise(""),
             "tls_ja3s": F.lit(""),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.config import DEFAULT, FlowConfig
 from flowlens.functions.network import dns_name
 from flowlens.operators.behaviour import source_behaviour
-from flowlens.operators.features import flow_features
+from flowlens.operators.features import RAW_SUMS, contract_columns, with_measures
 from flowlens.operators.sessionize import Shape, build_flows, with_reason
 
 
@@ -38,5 +38,7 @@ def extract_features(
     if "finalize_reason" in keep:
         flows = with_reason(flows, packets)
     mode = "replay_visible" if replay else "past_only"
-    seen = source_behaviour(flows, cfg, shape, mode, packets if replay else None)
-    return flow_features(seen, keep)
+    # Measured while still spread by flow key: the next shuffle, by source, carries finished numbers.
+    measured = with_measures(flows).drop(*RAW_SUMS)
+    seen = source_behaviour(measured, cfg, shape, mode, packets if replay else None)
+    return contract_columns(seen, keep)
