@@ -638,6 +638,21 @@ ORDER BY t_us DESC, alert_id LIMIT 50""",
         """SELECT dl_verdict, model_used, model_agreement, count(*) AS n,
   CAST(grouping(dl_verdict, model_used, model_agreement) AS BIGINT) AS level
 FROM v GROUP BY CUBE (dl_verdict, model_used, model_agreement)""",
+    )
+    # Streams equal their batch operators
+    q["stream_flows"] = _with(FLOWS, TOTALS.replace("flow_no, ", ""))
+    q["stream_behaviour"] = q["source_behaviour_past"]
+    q["stream_incidents"] = q["incidents"].replace("src_ip AS incident_id, src_ip,", "src_ip,")
+    recent = "(PARTITION BY src_ip ORDER BY t_us, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+    q["stream_sequences"] = _with(
+        SCORED,
+        f"""SELECT seq, {_r('sum(y_true) OVER w + (10 - count(*) OVER w) * first_value(y_true) OVER w', 'sum_class')},
+  {_r('first_value(latency_ms) OVER w', 'oldest_ms')} FROM scored WINDOW w AS {recent}""",
+    )
+    q["stream_alerts"] = _with(
+        _flat_scored(),
+        f"""SELECT flow_id, {_name('dl_pred')} AS threat_class, {_r('dl_conf', 'confidence')}, {SEVERITY} AS severity, model_used,
+  {_r(f'round({RISK}, 4)', 'risk_score')} FROM sf WHERE dl_pred <> 0""",
     )
     assert set(CATEGORICAL_COLUMNS) <= set(FLOW_COLUMNS)
     return q

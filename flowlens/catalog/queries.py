@@ -49,6 +49,16 @@ from flowlens.plans.flows import extract_features
 from flowlens.plans.scoring import score_flows, train_all
 from flowlens.sources.sinks import replay_records
 from flowlens.sources.synthetic import synthesize
+from flowlens.streaming.common import run_available, stream_files, work_folder
+from flowlens.streaming.replay import score_and_alert
+from flowlens.streaming.sessions import sessionize_available
+from flowlens.streaming.sources import (
+    behaviour_events,
+    behaviour_stream,
+    combine_salts,
+    incident_stream,
+    sequence_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -395,8 +405,12 @@ def scored_flows(spark, sf):
 
 
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    return _route_and_judge(fixtures.scored(spark, sf))
+
+
+def _route_and_judge(scored: DataFrame) -> DataFrame:
     """Scored rows with the routed branch and the verifier's verdict."""
-    rows = fixtures.scored(spark, sf).withColumn("model_used", R.route(F.col("ml_conf")))
+    rows = scored.withColumn("model_used", R.route(F.col("ml_conf")))
     verdict = F.when(F.col("model_used") == "light", F.col("light_pred")).otherwise(F.col("heavy_pred"))
     return rows.withColumn("dl_pred", verdict)
 
@@ -532,7 +546,11 @@ def _scored_flows(spark: SparkSession, sf: str) -> DataFrame:
     flows = complete_features(
         extract_features(fixtures.packets(spark, sf), keep=["start_seq", "last_us"])
     )
-    p = _predicted(spark, sf).select(
+    return flows.join(_prediction_columns(_predicted(spark, sf)), "start_seq")
+
+
+def _prediction_columns(predicted: DataFrame) -> DataFrame:
+    return predicted.select(
         F.col("seq").alias("start_seq"),
         F.col("ml_pred").alias("ml_idx"),
         D.class_name(F.col("ml_pred")).alias("ml_verdict"),
@@ -541,7 +559,6 @@ def _scored_flows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("dl_conf").alias("dl_confidence"),
         "model_used",
     )
-    return flows.join(p, "start_seq")
 
 
 def _explained_flows(spark: SparkSession, sf: str) -> DataFrame:
@@ -605,7 +622,10 @@ def replay_records_flat(spark, sf):
 
 
 def _alert_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _predicted(spark, sf)
+    return _alert_columns(_predicted(spark, sf))
+
+
+def _alert_columns(rows: DataFrame) -> DataFrame:
     agree = F.col("ml_pred") == F.col("dl_pred")
     return rows.select(
         F.col("seq").alias("alert_id"),
@@ -645,3 +665,72 @@ def dashboard_minute(spark, sf):
 @query
 def verdict_cube(spark, sf):
     return A.verdict_cube(_verdicts(spark, sf))
+
+
+# --- Streams over the driver's event file ------------------------------------------------------
+
+
+def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.stream_view(spark, sf, fixtures.PACKETS, "events")
+
+
+@query
+def stream_flows(spark, sf):
+    """Flow sessions of the packet stream; equal to flows_event_gap."""
+    made = sessionize_available(_packet_stream(spark, sf), work_folder(spark, "flows"))
+    return made.select(*[c for c in FLOW_TOTALS if c != "flow_no"])
+
+
+@query
+def stream_behaviour(spark, sf):
+    """Source behaviour on a stream of openings and probes; equal to source_behaviour_past."""
+    folder = work_folder(spark, "behaviour")
+    flows = build_flows(fixtures.packets(spark, sf))
+    behaviour_events(flows).write.parquet(f"{folder}/events")
+    schema = spark.read.parquet(f"{folder}/events").schema
+    events = stream_files(spark, f"{folder}/events", schema, files_per_batch=1_000_000)
+    run_available(behaviour_stream(events, salts=4), f"{folder}/out", f"{folder}/checkpoint")
+    return combine_salts(spark.read.parquet(f"{folder}/out"))
+
+
+@query
+def stream_incidents(spark, sf):
+    """Incidents of the alert stream; equal to incidents."""
+    folder = work_folder(spark, "incidents")
+    rows = _route_and_judge(fixtures.stream_view(spark, sf, fixtures.SCORED, "events"))
+    made = incident_stream(_alert_columns(rows))
+    run_available(made, f"{folder}/out", f"{folder}/checkpoint")
+    return tidy(spark.read.parquet(f"{folder}/out"))
+
+
+@query
+def stream_sequences(spark, sf):
+    """Host sequences of a flow stream."""
+    folder = work_folder(spark, "sequences")
+    rows = fixtures.stream_view(spark, sf, fixtures.SCORED, "events").select(
+        F.col("seq").cast("string").alias("flow_id"), "seq", "t_us", "src_ip", "y_true", "latency_ms"
+    )
+    made = sequence_stream(rows, "src_ip", ["t_us", "seq"], ["y_true", "latency_ms"])
+    run_available(made, f"{folder}/out", f"{folder}/checkpoint")
+    out = spark.read.parquet(f"{folder}/out")
+    total = F.aggregate(F.transform("sequence", lambda x: x[0]), F.lit(0.0), lambda a, b: a + b)
+    oldest = F.element_at("sequence", 1)[1]
+    return tidy(out.select(F.col("flow_id").cast("long").alias("seq"), total.alias("sum_class"), oldest.alias("oldest_ms")))
+
+
+@query
+def stream_alerts(spark, sf):
+    """Scored flow stream with exactly-once alert files; one row per alert."""
+    folder = work_folder(spark, "alerts")
+    flows = extract_features(fixtures.packets(spark, sf), keep=["start_seq", "last_us"])
+    flows.write.parquet(f"{folder}/flows")
+    schema = spark.read.parquet(f"{folder}/flows").schema
+    stream = stream_files(spark, f"{folder}/flows", schema, files_per_batch=1_000_000)
+    predictions = _prediction_columns(_predicted(spark, sf))
+
+    def score(batch: DataFrame) -> DataFrame:
+        return complete_features(batch).join(predictions, "start_seq").withColumn("shap_evidence", _no_evidence())
+
+    score_and_alert(stream, score, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
+    names = ["flow_id", "threat_class", "confidence", "severity", "model_used", "risk_score"]
+    return tidy(spark.read.json(f"{folder}/alerts").select(*names))

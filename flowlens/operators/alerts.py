@@ -101,7 +101,7 @@ def build_alerts(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("dl_verdict") != "benign").select(*alert_columns(scored))
 
 
-def _class_bit(verdict: Column) -> Column:
+def class_bit(verdict: Column) -> Column:
     bits = F.create_map(*[x for i, c in enumerate(CLASSES) for x in (F.lit(c), F.lit(1 << i))])
     return F.try_element_at(bits, verdict)
 
@@ -122,7 +122,7 @@ def trailing_alerts(
         "src_ip",
         "t_us",
         F.lit(1).alias("one"),
-        _class_bit(F.col("threat_class")).alias("bits"),
+        class_bit(F.col("threat_class")).alias("bits"),
         "risk_score",
     )
     cell = F.floor(F.col("t_us") / width)
