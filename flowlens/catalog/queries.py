@@ -710,7 +710,7 @@ def stream_sequences(spark, sf):
     rows = fixtures.stream_view(spark, sf, fixtures.SCORED, "events").select(
         F.col("seq").cast("string").alias("flow_id"), "seq", "t_us", "src_ip", "y_true", "latency_ms"
     )
-    made = sequence_stream(rows, "src_ip", ["t_us", "seq"], ["y_true", "latency_ms"])
+    made = sequence_stream(rows, "src_ip", "t_us", "seq", ["y_true", "latency_ms"])
     run_available(made, f"{folder}/out", f"{folder}/checkpoint")
     out = spark.read.parquet(f"{folder}/out")
     total = F.aggregate(F.transform("sequence", lambda x: x[0]), F.lit(0.0), lambda a, b: a + b)

@@ -257,17 +257,19 @@ def incident_stream(
 
 
 class HostSequences(StatefulProcessor):
-    """State per host: its last rows. Hosts not seen for the time to live are forgotten."""
+    """State per host: its last rows. A host idle for the time to live (event time) is forgotten."""
 
     def __init__(self, length: int, ttl_ms: int):
         self.length, self.ttl = length, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         row = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-        self.recent = handle.getListState("recent", row, ttlDurationMs=self.ttl)
+        self.recent = handle.getListState("recent", row)
+        self.expiry = handle.getValueState("expiry", T.StructType([T.StructField("ms", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["o1", "o2"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["t_us", "tie"], kind="stable")
         known = [list(r[0]) for r in self.recent.get()]
         seen = known + [list(x) for x in batch["x"]]
         made = []
@@ -275,8 +277,18 @@ class HostSequences(StatefulProcessor):
             window = seen[max(0, i - self.length + 1) : i + 1]
             made.append([window[0]] * (self.length - len(window)) + window)
         self.recent.put([(x,) for x in seen[-self.length :]])
+        if self.expiry.exists():
+            self.handle.deleteTimer(self.expiry.get()[0])
+        expires = int(batch["t_us"].iloc[-1]) // 1000 + self.ttl
+        self.expiry.update((expires,))
+        self.handle.registerTimer(expires)
         yield pd.DataFrame({"flow_id": batch["flow_id"].to_numpy(), "sequence": made})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        self.expiry.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -284,19 +296,19 @@ class HostSequences(StatefulProcessor):
 def sequence_stream(
     flows: DataFrame,
     host: str,
-    order: Sequence[str],
+    t_us: str,
+    tie: str,
     columns: Sequence[str] = tuple(FEATURE_COLUMNS),
     length: int = SEQUENCE_LENGTH,
-    ttl: str = "1 day",
+    ttl_s: int = 86_400,
+    lateness: str = "0 seconds",
 ) -> DataFrame:
     """(flow_id, sequence) of every flow of a stream, in arrival order."""
     use_state_store(flows.sparkSession)
-    amount, unit = ttl.split()
-    ms = int(float(amount) * {"hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
     rows = flows.select(
         F.col(host).alias("host"),
-        F.col(order[0]).alias("o1"),
-        F.col(order[-1]).alias("o2"),
+        F.col(t_us).alias("t_us"),
+        F.col(tie).alias("tie"),
         "flow_id",
         F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
     )
@@ -306,9 +318,9 @@ def sequence_stream(
             T.StructField("sequence", T.ArrayType(T.ArrayType(T.DoubleType()))),
         ]
     )
-    return rows.groupBy("host").transformWithStateInPandas(
-        statefulProcessor=HostSequences(length, ms),
+    return event_time(rows, "t_us", lateness).groupBy("host").transformWithStateInPandas(
+        statefulProcessor=HostSequences(length, ttl_s * 1000),
         outputStructType=out,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
