@@ -321,6 +321,21 @@ def build() -> dict[str, str]:
   CAST(0 AS BIGINT) AS columns_not_text, count(*) FILTER ({finite}) = 0 AS ok FROM features""",
     )
 
+    q["captures"] = _with(
+        PACKETS,
+        """SELECT t_us, src_ip, dst_ip, src_port, dst_port, protocol, tcp_flags, dns_query_name,
+  CAST(length(dns_query_name) AS INT) AS dns_query_length, dns_record_type, tls_sni IS NOT NULL AS tls_handshake, tls_sni
+FROM packets""",
+    )
+    q["sensor_import"] = _with(
+        PACKETS, "SELECT t_us, src_ip, dst_ip, src_port, dst_port, protocol, packet_length FROM packets"
+    )
+    q["flow_csv_roundtrip"] = _with(
+        base,
+        f"""SELECT flow_id, src_ip, dst_port, protocol, CAST(packet_count AS DOUBLE) AS packet_count, {_r('entropy', 'entropy')},
+  {_r('iat_mean', 'iat_mean')}, CAST(has_dns AS DOUBLE) AS has_dns, tls_sni FROM model""",
+    )
+
     # Training-set tables
     q["chrono_split"] = _with(
         SCORED,

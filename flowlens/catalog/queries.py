@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.catalog import fixtures
+from flowlens.catalog.capture_bytes import capture_files
 from flowlens.config import (
     ABLATION_STAGES,
     CLASSES,
@@ -47,8 +48,11 @@ from flowlens.operators.sessionize import (
 )
 from flowlens.plans.flows import extract_features
 from flowlens.plans.scoring import score_flows, train_all
+from flowlens.sources.captures import capture_packets, decode_files
+from flowlens.sources.sensors import packets_of_field_dump
 from flowlens.sources.sinks import replay_records
 from flowlens.sources.synthetic import synthesize
+from flowlens.sources.tables import read_flows
 from flowlens.streaming.common import run_available, stream_files, work_folder
 from flowlens.streaming.replay import score_and_alert
 from flowlens.streaming.sessions import sessionize_available
@@ -232,6 +236,44 @@ def contract_report(spark, sf):
     return contract_check(extract_features(fixtures.packets(spark, sf)))
 
 
+# --- Sources -----------------------------------------------------------------------------------
+
+PACKET_FIELDS = ["t_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+
+
+@query
+def captures(spark, sf):
+    """The packet table written as capture bytes and decoded again."""
+    records = decode_files(capture_files(fixtures.packets(spark, sf)))
+    more = ["tcp_flags", "dns_query_name", "dns_query_length", "dns_record_type", "tls_handshake", "tls_sni"]
+    return capture_packets(records).select(*PACKET_FIELDS, *more)
+
+
+@query
+def sensor_import(spark, sf):
+    """The packet table as a text field dump, read back as packets."""
+    numbers = F.when(F.col("protocol") == "TCP", "6").when(F.col("protocol") == "UDP", "17").otherwise("1")
+    dump = fixtures.packets(spark, sf).select(
+        F.col("src_ip").alias("ip.src"),
+        F.col("dst_ip").alias("ip.dst"),
+        F.col("src_port").cast("string").alias("tcp.srcport"),
+        F.col("dst_port").cast("string").alias("tcp.dstport"),
+        numbers.alias("ip.proto"),
+        F.format_string("%d.%06d", F.floor(F.col("t_us") / MICROS), F.col("t_us") % MICROS).alias("frame.time_epoch"),
+        F.col("packet_length").cast("string").alias("frame.len"),
+    )
+    return packets_of_field_dump(dump).select(*PACKET_FIELDS, "packet_length")
+
+
+@query
+def flow_csv_roundtrip(spark, sf):
+    """Flow features written as CSV and read back through the contract schema."""
+    folder = work_folder(spark, "flow-csv")
+    tidy(extract_features(fixtures.packets(spark, sf))).write.option("header", True).csv(f"{folder}/flows")
+    back = read_flows(spark, f"{folder}/flows", labelled=False)
+    return back.select("flow_id", "src_ip", "dst_port", "protocol", "packet_count", "entropy", "iat_mean", "has_dns", "tls_sni")
+
+
 # --- Training-set tables -----------------------------------------------------------------------
 
 
