@@ -38,7 +38,7 @@ from flowlens.operators.features import (
     with_measures,
     with_variants,
 )
-from flowlens.operators.ordering import Cuts
+from flowlens.operators.ordering import Cuts, HotKeys
 from flowlens.operators.sessionize import (
     Shape,
     build_flows,
@@ -46,7 +46,7 @@ from flowlens.operators.sessionize import (
     peak_concurrency,
     with_reason,
 )
-from flowlens.plans.flows import extract_features
+from flowlens.plans.flows import extract_features, measured_flows
 from flowlens.plans.scoring import score_flows, train_all
 from flowlens.sources.captures import capture_packets, decode_files
 from flowlens.sources.sensors import packets_of_field_dump
@@ -105,7 +105,7 @@ FLOW_TOTALS = [
 
 
 def _measured(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
-    return tidy(with_measures(build_flows(fixtures.packets(spark, sf))).select("flow_id", *names))
+    return tidy(with_measures(measured_flows(fixtures.packets(spark, sf))).select("flow_id", *names))
 
 
 # --- Packets and flows -------------------------------------------------------------------------
@@ -126,25 +126,25 @@ def flow_key(spark, sf):
 @query
 def flows_event_gap(spark, sf):
     packets = fixtures.packets(spark, sf)
-    return with_reason(build_flows(packets), packets).select(*FLOW_TOTALS)
+    return with_reason(measured_flows(packets), packets).select(*FLOW_TOTALS)
 
 
 @query
 def flows_replay_exact(spark, sf):
     packets = fixtures.packets(spark, sf)
-    return with_reason(build_flows(packets, mode="replay_exact"), packets).select(*FLOW_TOTALS)
+    return with_reason(measured_flows(packets, replay=True), packets).select(*FLOW_TOTALS)
 
 
 @query
 def flow_reasons(spark, sf):
     packets = fixtures.packets(spark, sf)
-    return lifecycle_counts(with_reason(build_flows(packets), packets))
+    return lifecycle_counts(with_reason(measured_flows(packets), packets))
 
 
 @query
 def flow_peak_concurrency(spark, sf):
     packets = fixtures.packets(spark, sf)
-    return peak_concurrency(build_flows(packets), Cuts.measure(packets, "t_us"))
+    return peak_concurrency(measured_flows(packets), Cuts.measure(packets, "t_us"))
 
 
 @query
@@ -170,25 +170,27 @@ def flow_dns(spark, sf):
 
 @query
 def flow_tls(spark, sf):
-    flows = build_flows(fixtures.packets(spark, sf))
+    flows = measured_flows(fixtures.packets(spark, sf))
     return flows.select("flow_id", F.when(F.col("n_tls") > 0, "observed").otherwise("").alias("tls_ja3"), "tls_sni")
 
 
 @query
 def flow_feature_variants(spark, sf):
     names = ["byte_ratio_open", "packet_ratio_open", "periodicity_exp"]
-    return tidy(with_variants(build_flows(fixtures.packets(spark, sf))).select("flow_id", *names))
+    return tidy(with_variants(measured_flows(fixtures.packets(spark, sf))).select("flow_id", *names))
 
 
 @query
 def source_behaviour_past(spark, sf):
-    return source_behaviour(build_flows(fixtures.packets(spark, sf))).select("flow_id", *COUNTS)
+    packets = fixtures.packets(spark, sf)
+    shape = Shape.measure(packets, time=False)
+    return source_behaviour(build_flows(packets, shape=shape), shape=shape).select("flow_id", *COUNTS)
 
 
 @query
 def source_behaviour_replay(spark, sf):
     packets = fixtures.packets(spark, sf)
-    shape = Shape(Cuts.measure(packets, "t_us"))
+    shape = Shape.measure(packets)
     flows = build_flows(packets, mode="replay_exact", shape=shape)
     seen = source_behaviour(flows, shape=shape, mode="replay_visible", packets=packets)
     return seen.select("flow_id", *COUNTS)
@@ -202,7 +204,7 @@ def flow_features(spark, sf):
 @query
 def flow_features_replay(spark, sf):
     packets = fixtures.packets(spark, sf)
-    return tidy(extract_features(packets, replay=True, shape=Shape(Cuts.measure(packets, "t_us"))))
+    return tidy(extract_features(packets, replay=True))
 
 
 @query
@@ -314,10 +316,10 @@ def balanced_weights(spark, sf):
 
 @query
 def host_sequences(spark, sf):
-    rows = complete_features(
-        extract_features(fixtures.packets(spark, sf), keep=["start_us", "start_seq"])
-    )
-    made = D.host_sequences(rows, "src_ip", ["start_us", "start_seq"])
+    packets = fixtures.packets(spark, sf)
+    shape = Shape.measure(packets, time=False)
+    rows = complete_features(extract_features(packets, shape=shape, keep=["start_us", "start_seq"]))
+    made = D.host_sequences(rows, "src_ip", ["start_us", "start_seq"], hot=shape.sources)
 
     def summed(name: str):
         j = FEATURE_COLUMNS.index(name)
@@ -336,14 +338,14 @@ def host_sequences(spark, sf):
 
 @query
 def interval_labels(spark, sf):
-    flows = build_flows(fixtures.packets(spark, sf))
+    flows = measured_flows(fixtures.packets(spark, sf))
     labelled = D.label_by_experiment(flows, fixtures.experiments(spark, sf))
     return labelled.select("flow_id", F.col("experiment_id").cast("long"), "label")
 
 
 @query
 def label_join(spark, sf):
-    flows = build_flows(fixtures.packets(spark, sf)).select("flow_id", "protocol", "start_seq", "packet_count")
+    flows = measured_flows(fixtures.packets(spark, sf)).select("flow_id", "protocol", "start_seq", "packet_count")
     truth = _labelled(spark, sf).select(F.col("seq").alias("start_seq"), "label")
     labels = flows.filter("protocol <> 'ICMP'").join(truth, "start_seq").select("flow_id", "label")
     return D.join_labels(flows, labels).select("flow_id", "packet_count", "label")
@@ -680,7 +682,8 @@ def _alert_columns(rows: DataFrame) -> DataFrame:
 
 @query
 def incidents(spark, sf):
-    made = A.incidents(_alert_stream(spark, sf))
+    stream = _alert_stream(spark, sf)
+    made = A.incidents(stream, hot=HotKeys.measure(stream, ["src_ip"], "t_us"))
     return tidy(made.withColumn("threat_classes", F.array_join("threat_classes", ",")))
 
 
@@ -727,7 +730,7 @@ def stream_flows(spark, sf):
 def stream_behaviour(spark, sf):
     """Source behaviour on a stream of openings and probes; equal to source_behaviour_past."""
     folder = work_folder(spark, "behaviour")
-    flows = build_flows(fixtures.packets(spark, sf))
+    flows = measured_flows(fixtures.packets(spark, sf))
     behaviour_events(flows).write.parquet(f"{folder}/events")
     schema = spark.read.parquet(f"{folder}/events").schema
     events = stream_files(spark, f"{folder}/events", schema, files_per_batch=1_000_000)

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from flowlens.config import DEFAULT, FlowConfig
 from flowlens.functions.measures import text_entropy
 from flowlens.functions.network import closes_flow, timeout_us, with_endpoints
-from flowlens.operators.ordering import Cuts, HotKeys, exact_flag, global_previous, global_rank
+from flowlens.operators.ordering import (
+    HOT_MIN_ROWS,
+    Cuts,
+    HotKeys,
+    exact_flag,
+    global_previous,
+    global_rank,
+)
 
 ORDER = ["t_us", "seq"]
 
@@ -24,15 +31,23 @@ class Shape:
     sources: HotKeys = HotKeys()
 
     @staticmethod
-    def measure(packets: DataFrame, min_rows: int | None = None, buckets: int | None = None) -> Shape:
-        """Time cuts, hot flow keys and hot sources of a packet table."""
-        keyed = with_endpoints(packets)
-        opts = {} if min_rows is None else {"min_rows": min_rows}
-        return Shape(
-            Cuts.measure(packets, "t_us", buckets),
-            HotKeys.measure(keyed, ["flow_key"], "t_us", buckets=buckets, **opts),
-            HotKeys.measure(keyed, ["a_ip"], "t_us", buckets=buckets, **opts),
-        )
+    def measure(
+        packets: DataFrame,
+        min_rows: int = HOT_MIN_ROWS,
+        buckets: int | None = None,
+        time: bool = True,
+    ) -> Shape:
+        """Hot flow keys and hot sources of a packet table, and (with ``time``) its time cuts.
+
+        Small tables cost one count; larger ones a pass over the key columns.
+        """
+        keys = sources = HotKeys()
+        if packets.count() > min_rows:
+            keyed = with_endpoints(packets)
+            keys = HotKeys.measure(keyed, ["flow_key"], "t_us", min_rows, buckets)
+            sources = HotKeys.measure(keyed, ["a_ip"], "t_us", min_rows, buckets)
+        cuts = Cuts.measure(packets, "t_us", buckets) if time else None
+        return Shape(cuts, keys, sources)
 
 
 def mark_flows(

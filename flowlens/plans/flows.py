@@ -24,15 +24,16 @@ def extract_features(
     packets: DataFrame,
     cfg: FlowConfig = DEFAULT,
     replay: bool = False,
-    shape: Shape = Shape(),
+    shape: Shape | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Packet table -> contract feature rows, in two shuffles (by flow key, then by source).
 
     ``keep`` adds internal flow columns, such as start_us or finalize_reason. ``replay`` selects the
-    packet-by-packet semantics instead of the event-time ones. Measure ``shape`` first when single
-    flows or sources may own a large share of the packets.
+    packet-by-packet semantics instead of the event-time ones. ``shape`` (hot keys and sources, time
+    cuts) is measured unless given.
     """
+    shape = shape if shape is not None else Shape.measure(packets, time=replay)
     packets = clean_packets(packets)
     flows = build_flows(packets, cfg, "replay_exact" if replay else "event_gap", shape)
     if "finalize_reason" in keep:
@@ -42,3 +43,9 @@ def extract_features(
     measured = with_measures(flows).drop(*RAW_SUMS)
     seen = source_behaviour(measured, cfg, shape, mode, packets if replay else None)
     return contract_columns(seen, keep)
+
+
+def measured_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT, replay: bool = False) -> DataFrame:
+    """The flow table of a packet table, hot keys measured and split."""
+    shape = Shape.measure(packets, time=replay)
+    return build_flows(packets, cfg, "replay_exact" if replay else "event_gap", shape)
