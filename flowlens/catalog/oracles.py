@@ -647,6 +647,13 @@ ORDER BY t_us DESC, alert_id LIMIT 50""",
         PREDICTED,
         f"""SELECT CAST(floor(t_us / 60000000) AS BIGINT) AS minute, count(*) AS flows, count(*) FILTER (dl_pred <> 0) AS alert_count,
   {_r('avg(dl_conf)', 'avg_confidence')}, {_r('count(*) / 60.0', 'flows_per_sec')} FROM predicted GROUP BY 1""",
+    )
+    q["dashboard_totals"] = _with(
+        f"""{stream}, trail AS (SELECT a.alert_id, any_value(a.src_ip) AS src_ip, count(DISTINCT o.dl_pred) AS k, max(o.risk_score) AS m
+  FROM alerts a JOIN alerts o ON o.src_ip = a.src_ip AND o.t_us BETWEEN a.t_us - 300000000 AND a.t_us GROUP BY a.alert_id)""",
+        f"""SELECT count(*) AS flows, {_r('count(*) / ((max(t_us) - min(t_us)) / 1000000)', 'flows_per_sec')},
+  count(*) FILTER (dl_pred <> 0) AS alert_count, {_r('avg(dl_conf)', 'avg_confidence')},
+  (SELECT count(DISTINCT src_ip) FROM trail WHERE k >= 2 OR m > 0.85) AS incident_count FROM predicted""",
     )
     q["verdict_cube"] = _with(
         f"""{PREDICTED}, v AS (SELECT {_name('dl_pred')} AS dl_verdict, model_used, ml_pred = dl_pred AS model_agreement FROM predicted)""",

@@ -707,6 +707,11 @@ def dashboard_minute(spark, sf):
     return tidy(A.dashboard_minutes(_verdicts(spark, sf)))
 
 
+@query
+def dashboard_totals(spark, sf):
+    return tidy(A.dashboard_totals(_verdicts(spark, sf), A.incidents(_alert_stream(spark, sf))))
+
+
 @query
 def verdict_cube(spark, sf):
     return A.verdict_cube(_verdicts(spark, sf))

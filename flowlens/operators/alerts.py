@@ -242,6 +242,20 @@ def dashboard_minutes(scored: DataFrame) -> DataFrame:
     )
 
 
+def dashboard_totals(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """The dashboard's headline numbers: flow rate over the covered time, alerts, incident sources and
+    mean confidence."""
+    seconds = (F.max("t_us") - F.min("t_us")) / MICROS
+    totals = scored.agg(
+        F.count(F.lit(1)).alias("flows"),
+        F.when(seconds > 0, F.count(F.lit(1)) / seconds).otherwise(F.lit(0.0)).alias("flows_per_sec"),
+        F.count_if(F.col("dl_verdict") != "benign").alias("alert_count"),
+        F.avg("dl_confidence").alias("avg_confidence"),
+    )
+    sources = found.groupBy("incident_id").count().agg(F.count(F.lit(1)).alias("incident_count"))
+    return totals.crossJoin(F.broadcast(sources))
+
+
 def verdict_cube(scored: DataFrame) -> DataFrame:
     """Row counts over every combination of verdict, branch and agreement, with subtotals."""
     agree = F.col("ml_verdict") == F.col("dl_verdict")

@@ -17,8 +17,10 @@ from flowlens.operators.features import add_indicators, complete_features, fit_s
 from flowlens.operators.models import TRIAGE_GRID, score_with, with_vector
 from flowlens.operators.ordering import Cuts, HotKeys
 from flowlens.operators.sessionize import build_flows, with_reason
+from flowlens.plans.flows import extract_features
 from flowlens.plans.scoring import Artifacts, score_flows, train_all
 from flowlens.sources.captures import capture_counts, capture_packets, read_captures
+from flowlens.sources.sinks import write_alerts, write_records, write_report
 from flowlens.sources.synthetic import generate_flows
 from flowlens.sources.tables import read_flows
 from flowlens.streaming.common import stream_files
@@ -90,6 +92,30 @@ def test_alerts(spark):
     assert tuple(one.first()) == (0.7735, "1970-01-01T00:00:01.500000Z", "light")
 
 
+def test_record_and_alert_files(spark, tmp_path):
+    flows = complete_features(extract_features(packets(spark, GOLDEN), keep=["last_us"]))
+    evidence = F.array(F.struct(F.lit("packet_count").alias("feature"), F.lit(0.5).alias("value"), F.lit("xgboost_triage").alias("evidence_source")))
+    hostile = F.col("protocol") == "tcp"
+    scored = flows.withColumns(
+        {
+            "ml_verdict": F.lit("ddos"),
+            "ml_confidence": F.lit(0.9),
+            "dl_verdict": F.when(hostile, "ddos").otherwise("benign"),
+            "dl_confidence": F.lit(0.8),
+            "model_used": F.lit("light"),
+            "shap_evidence": evidence,
+        }
+    )
+    write_records(scored, str(tmp_path / "records"))
+    write_alerts(scored, str(tmp_path / "alerts"))
+    records, alerts = spark.read.json(str(tmp_path / "records")), spark.read.json(str(tmp_path / "alerts"))
+    assert (records.count(), records.filter("alert IS NULL").count(), alerts.count()) == (5, 2, 3)
+    first = alerts.orderBy("timestamp").first()
+    assert (first.severity, first.risk_score, first.evidence[0].value) == ("HIGH", 0.8, 8.0)
+    write_report(alerts.groupBy("severity").count(), str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).first().severity == "HIGH"
+
+
 def test_incidents_of_hot_sources(spark):
     rng = np.random.default_rng(5)
     rows = [
