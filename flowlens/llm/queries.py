@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.llm.mixing import mix_table
 from flowlens.llm.quality import judge_documents
+from flowlens.llm.sharding import shard_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(documents(spark, sf_dir))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(documents(spark, sf_dir))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_table(documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
 }
 ORACLES: dict[str, str] = {}

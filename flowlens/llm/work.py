@@ -30,23 +30,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str, number: str, within: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, name: str, number: str, within: str | None = None, ordered: bool = False) -> DataFrame:
     """Adds `number`: 0, 1, 2 ... over all rows, or over the rows of each value of `within`.
 
-    The rows are written once; a row's number is the rows before its file plus its place in the file. No
-    row is shuffled and no group meets in one task: only the row counts per file are gathered.
-    `within` must not hold nulls.
+    Rows are written once, in their order; a row's number is the count of rows before its file plus its
+    place in the file. No row is shuffled and no group meets in one task: only row counts per file are
+    gathered, as a table whose size Spark knows. `within` must not hold nulls; `ordered` says that each
+    partition is sorted by it already.
     """
-    if within:
+    if within and not ordered:
         df = df.sortWithinPartitions(within)
-    table = written(df, name)
+    part = F.regexp_extract("_metadata.file_path", r"part-([0-9]+)-", 1).cast("bigint") * 100_000
+    part = part + F.regexp_extract("_metadata.file_path", r"-c([0-9]+)", 1).cast("bigint")
     keys = [within] if within else []
-    placed = table.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    counts = placed.groupBy("_file", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    running = f"sum(_n) OVER ({'PARTITION BY ' + within if within else ''} ORDER BY _file)"
-    base = counts.withColumn("_base", F.expr(f"{running} - _n - _first")).drop("_n", "_first")
-    joined = placed.join(base, ["_file", *keys])
-    return joined.withColumn(number, (F.col("_base") + F.col("_row")).cast("bigint")).drop("_file", "_row", "_base")
+    table = written(df, name).withColumns({"_part": part, "_row": F.col("_metadata.row_index")})
+    counts = table.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    running = f"sum(_n) OVER ({'PARTITION BY ' + within if within else ''} ORDER BY _part)"
+    base = written(counts.select("_part", *keys, F.expr(f"{running} - _n - _first").alias("_base")), f"{name}-counts")
+    joined = table.join(base, ["_part", *keys])
+    return joined.withColumn(number, (F.col("_base") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_base")
 
 
 def unit(value: Column) -> Column:
