@@ -10,3 +10,6 @@ from pyspark import cloudpickle
 def ship(module_name: str) -> None:
     """Send a module's functions and classes by value, so that workers need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
+ship(__name__)  # modules that are sent whole hold this function
