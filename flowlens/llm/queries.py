@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.llm.langid import predict_documents
 from flowlens.llm.mixing import mix_table
+from flowlens.llm.neardup import Near, near_table
 from flowlens.llm.quality import judge_documents
 from flowlens.llm.sharding import shard_table
 
@@ -15,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_documents(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(documents(spark, sf_dir))
 
@@ -27,9 +33,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(documents(spark, sf_dir))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_table(documents(spark, sf_dir), Near(words=3, percent=85))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
