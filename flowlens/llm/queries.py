@@ -6,21 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.llm.decontam import leak_table
 from flowlens.llm.langid import predict_documents
+from flowlens.llm.licenses import scan_licenses, with_paths
 from flowlens.llm.mixing import mix_table
 from flowlens.llm.neardup import Near, near_table
+from flowlens.llm.pii import personal_table
 from flowlens.llm.quality import judge_documents
+from flowlens.llm.secrets import fresh_ledger, secret_table
 from flowlens.llm.sharding import shard_table
+from flowlens.llm.training_order import training_order
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_documents(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_table(documents(spark, sf_dir))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_table(documents(spark, sf_dir), fresh_ledger(spark))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(documents(spark, sf_dir))
 
@@ -37,11 +54,24 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_table(documents(spark, sf_dir), Near(words=3, percent=85))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(with_paths(documents(spark, sf_dir)))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
+    "op3_pii": op3_pii,
+    "op4_secrets": op4_secrets,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_licenses": op9_licenses,
+    "op10_training_order": op10_training_order,
 }
 ORACLES: dict[str, str] = {}
