@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tokens as K
-from flowlens.llm.work import unit
+from flowlens.llm.work import unit, written
 from flowlens.shipping import ship
 
 ship(__name__)
@@ -189,7 +189,8 @@ def gather_samples(rows: DataFrame, sample: Sample = Sample()) -> dict[str, str]
     pieces needed are looked at, however many rows there are.
     """
     usable = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # written, so that Spark knows its size and no text is shuffled by language
+    counts = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "language-rows")
     languages = counts.count()
     if not languages:
         return {}
