@@ -35,7 +35,8 @@ HEADLINE = [
     "alerts",
     "incidents",
     "dashboard_minute",
-    "synthetic_flows",
+    "flow_features_replay",
+    "stream_flows",
 ]
 
 

@@ -74,16 +74,6 @@ def _view(spark: SparkSession, sf_dir: str, text: str, table: str) -> DataFrame:
     return spark.sql(_fill(text, SPARK).replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: source})
 
 
-def stream_view(spark: SparkSession, sf_dir: str, text: str, table: str) -> DataFrame:
-    """The same view over the table's file read as a stream."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    source = (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
-    )
-    return spark.sql(_fill(text, SPARK).replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: source})
-
-
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, PACKETS, "events")
 

@@ -17,7 +17,6 @@ from flowlens.config import (
     THETA_GRID,
     stage_features,
 )
-from flowlens.sources import synthetic as S
 
 
 def _texts(values) -> str:
@@ -174,62 +173,6 @@ scores AS (SELECT {g}class_idx, coalesce(support, 0) AS support,
 graded AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM scores)"""
 
 
-def _synthetic() -> str:
-    used = iter(range(28))
-
-    def u() -> str:
-        k = next(used)
-        return f"(CAST(('0x' || substr(d{k // 4}, {1 + 8 * (k % 4)}, 8)) AS BIGINT) / 4294967296.0)"
-
-    def pick(values) -> str:
-        return "[" + ",".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in values) + "][label_idx + 1]"
-
-    def between(ranges) -> str:
-        lo, hi = pick([float(a) for a, _ in ranges]), pick([float(b) for _, b in ranges])
-        return f"({lo} + {u()} * ({hi} - {lo}))"
-
-    def whole(lo, hi) -> str:
-        return f"CAST(floor({lo} + {u()} * ({hi} - {lo})) AS BIGINT)"
-
-    def choice(values) -> str:
-        items = ",".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
-        return f"[{items}][CAST(floor({u()} * {len(values)}) AS INT) + 1]"
-
-    drawn = u()
-    spread = [r or (0, 0) for r in S.DURATION_RANGE]
-    lo, hi = pick([float(a) for a, _ in spread]), pick([float(b) for _, b in spread])
-    scale = pick([float(s or 0) for s in S.DURATION_EXP])
-    cols = {
-        "duration": f"round(CASE WHEN {scale} > 0 THEN -ln(1 - {drawn}) * {scale} ELSE {lo} + {drawn} * ({hi} - {lo}) END, 6)"
-    }
-    for name, ranges in S.INT_RANGES.items():
-        cols[name] = f"CAST(floor({between(ranges)}) AS BIGINT)"
-    for name, ranges in S.RANGES.items():
-        cols[name] = f"round({between(ranges)}, {6 if name in S.SIX_DIGITS else 4})"
-    tls = f"{u()} < {pick(S.TLS_SHARE)}"
-    cols["protocol"] = f"CASE WHEN {u()} < 0.5 THEN {pick([p[0] for p in S.PROTOCOLS])} ELSE {pick([p[1] for p in S.PROTOCOLS])} END"
-    dns = f"label_idx = {S.DNS_CLASS}"
-    cols["dns_query_length"] = f"CASE WHEN {dns} THEN CAST({whole(*S.DNS_LENGTH)} AS DOUBLE) ELSE 0.0 END"
-    a, b = S.DNS_ENTROPY
-    cols["dns_entropy"] = f"round(CASE WHEN {dns} THEN {a} + {u()} * ({b} - {a}) ELSE 0.0 END, 6)"
-    cols["dns_record_type"] = f"CASE WHEN {dns} THEN {choice(S.DNS_CHOICES)} ELSE '' END"
-    for name, digest in (("tls_ja3", "d0"), ("tls_ja3s", "d1"), ("tls_ja4", "d2")):
-        cols[name] = f"CASE WHEN {tls} THEN substr(md5({digest} || '{name}'), 1, 16) ELSE '' END"
-    cols["tls_sni"] = f"CASE WHEN {tls} THEN 'host' || {whole(1, 999)} || '.example.com' ELSE '' END"
-    cols["flow_id"] = "d6"
-    for name, start in (("src_ip", 0), ("dst_ip", 4)):
-        parts = [
-            f"CAST(1 + CAST(('0x' || substr(d6, {1 + 2 * (start + i)}, 2)) AS INT) % 254 AS VARCHAR)" for i in range(4)
-        ]
-        cols[name] = "concat_ws('.', " + ", ".join(parts) + ")"
-    cols["src_port"] = f"CAST({whole(1024, 65535)} AS INT)"
-    cols["dst_port"] = choice(S.PORT_CHOICES)
-    digests = ", ".join(f"md5(concat_ws('#', event_id, 42, {j})) AS d{j}" for j in range(7))
-    fields = ", ".join(f"{cols[c]} AS {c}" for c in FLOW_COLUMNS)
-    return f"""WITH ids AS (SELECT event_id AS seq, CAST(event_id % 7 AS INT) AS label_idx, {digests} FROM events)
-SELECT seq, {fields}, {CLASS_LIST}[label_idx + 1] AS label FROM ids"""
-
-
 def _flat_scored() -> str:
     return f"""{FLOWS}, {PAST}, {FEATURES}, {PREDICTED},
 sf AS (SELECT m.*, p.ml_pred, p.dl_pred, p.ml_conf, p.dl_conf, p.model_used FROM model m JOIN predicted p ON p.seq = m.start_seq)"""
@@ -389,13 +332,17 @@ FROM flows f LEFT JOIN (SELECT * FROM hits WHERE place = 1) h USING (flow_id)"""
         f"""SELECT flow_id, packet_count, CASE WHEN protocol <> 'ICMP' THEN {_name('y_true')} END AS label
 FROM flows LEFT JOIN scored ON seq = start_seq""",
     )
-    q["synthetic_flows"] = _synthetic()
+    md5 = "CAST(('0x' || substr(md5('42#' || {}), 1, 15)) AS BIGINT) % 2147483648"
     q["stratified_split"] = _with(
-        f"{SCORED}, c AS (SELECT y_true, count(*) AS n FROM scored GROUP BY 1)",
-        f"""SELECT {_name('y_true')} AS label, part, CAST(k AS BIGINT) AS n FROM (
-  SELECT y_true, 'train' AS part, floor(n * 0.6) AS k FROM c
-  UNION ALL SELECT y_true, 'val', floor(n * 0.8) - floor(n * 0.6) FROM c
-  UNION ALL SELECT y_true, 'test', n - floor(n * 0.8) FROM c) WHERE k > 0""",
+        f"{SCORED}, p AS (SELECT seq, y_true, row_number() OVER (PARTITION BY y_true ORDER BY "
+        f"{md5.format('CAST(seq AS VARCHAR)')}, seq) AS place, count(*) OVER (PARTITION BY y_true) AS n FROM scored)",
+        f"""SELECT seq, {_name('y_true')} AS label, CASE WHEN place <= floor(n * 0.6) THEN 'train'
+  WHEN place <= floor(n * 0.8) THEN 'val' ELSE 'test' END AS part FROM p""",
+    )
+    q["group_split"] = _with(
+        SCORED,
+        f"""SELECT src_ip, CASE WHEN {md5.format('src_ip')} % 100 < 20 THEN 'test' ELSE 'train' END AS part,
+  count(*) AS n FROM scored GROUP BY ALL""",
     )
 
     # Routing and evaluation

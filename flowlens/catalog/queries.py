@@ -38,9 +38,7 @@ from flowlens.operators.features import (
     with_measures,
     with_variants,
 )
-from flowlens.operators.ordering import Cuts, HotKeys
 from flowlens.operators.sessionize import (
-    Shape,
     build_flows,
     lifecycle_counts,
     peak_concurrency,
@@ -51,9 +49,9 @@ from flowlens.plans.scoring import score_flows, train_all
 from flowlens.sources.captures import capture_packets, decode_files
 from flowlens.sources.sensors import packets_of_field_dump
 from flowlens.sources.sinks import replay_records
-from flowlens.sources.synthetic import synthesize
 from flowlens.sources.tables import read_flows
-from flowlens.streaming.common import run_available, stream_files, work_folder
+from flowlens.storage import work_folder, written
+from flowlens.streaming.common import as_files, run_available, stream_files
 from flowlens.streaming.replay import score_and_alert
 from flowlens.streaming.sessions import sessionize_available
 from flowlens.streaming.sources import (
@@ -144,7 +142,7 @@ def flow_reasons(spark, sf):
 @query
 def flow_peak_concurrency(spark, sf):
     packets = fixtures.packets(spark, sf)
-    return peak_concurrency(measured_flows(packets), Cuts.measure(packets, "t_us"))
+    return peak_concurrency(measured_flows(packets))
 
 
 @query
@@ -183,16 +181,14 @@ def flow_feature_variants(spark, sf):
 @query
 def source_behaviour_past(spark, sf):
     packets = fixtures.packets(spark, sf)
-    shape = Shape.measure(packets, time=False)
-    return source_behaviour(build_flows(packets, shape=shape), shape=shape).select("flow_id", *COUNTS)
+    return source_behaviour(build_flows(packets)).select("flow_id", *COUNTS)
 
 
 @query
 def source_behaviour_replay(spark, sf):
     packets = fixtures.packets(spark, sf)
-    shape = Shape.measure(packets)
-    flows = build_flows(packets, mode="replay_exact", shape=shape)
-    seen = source_behaviour(flows, shape=shape, mode="replay_visible", packets=packets)
+    flows = build_flows(packets, mode="replay_exact")
+    seen = source_behaviour(flows, mode="replay_visible", packets=packets)
     return seen.select("flow_id", *COUNTS)
 
 
@@ -286,8 +282,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chrono_split(spark, sf):
     rows = fixtures.scored(spark, sf).select("seq", "t_us")
-    cuts = Cuts.measure(rows, "t_us")
-    return D.chronological_split(rows, ["t_us", "seq"], cuts).select("seq", "part")
+    return D.chronological_split(rows, ["t_us", "seq"]).select("seq", "part")
 
 
 @query
@@ -317,9 +312,8 @@ def balanced_weights(spark, sf):
 @query
 def host_sequences(spark, sf):
     packets = fixtures.packets(spark, sf)
-    shape = Shape.measure(packets, time=False)
-    rows = complete_features(extract_features(packets, shape=shape, keep=["start_us", "start_seq"]))
-    made = D.host_sequences(rows, "src_ip", ["start_us", "start_seq"], hot=shape.sources)
+    rows = complete_features(extract_features(packets, keep=["start_us", "start_seq"]))
+    made = D.host_sequences(rows, "src_ip", ["start_us", "start_seq"])
 
     def summed(name: str):
         j = FEATURE_COLUMNS.index(name)
@@ -351,16 +345,9 @@ def label_join(spark, sf):
     return D.join_labels(flows, labels).select("flow_id", "packet_count", "label")
 
 
-@query
-def synthetic_flows(spark, sf):
-    ids = spark.read.parquet(f"{sf}/events.parquet").select("event_id")
-    return tidy(synthesize(ids, "event_id"))
-
-
 @query
 def stratified_split(spark, sf):
-    rows = D.stratified_split(_labelled(spark, sf).select("seq", "label"), "seq")
-    return rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    return D.stratified_split(_labelled(spark, sf).select("seq", "label"), "seq")
 
 
 @query
@@ -369,17 +356,21 @@ def group_split(spark, sf):
     return rows.groupBy("src_ip", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- Models, fitted on synthetic flows of the driver's event ids -------------------------------
+# --- Models, fitted on the flows of the driver's events ----------------------------------------
 
 
 def _training_flows(spark: SparkSession, sf: str) -> DataFrame:
-    ids = spark.read.parquet(f"{sf}/events.parquet").select("event_id")
-    return synthesize(ids, "event_id")
+    """Feature rows of the packet table, labelled by the scored row of each flow's first packet."""
+    flows = extract_features(fixtures.packets(spark, sf), keep=["start_us", "start_seq", "last_us"])
+    truth = _labelled(spark, sf).select(F.col("seq").alias("start_seq"), "label")
+    return written(flows.join(truth, "start_seq"), "training-flows")
+
+
+FLOW_ORDER = ["start_us", "start_seq"]
 
 
 def _parts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    rows = complete_features(_training_flows(spark, sf))
-    made = D.chronological_split(rows, ["seq"], Cuts.measure(rows, "seq"))
+    made = written(D.chronological_split(complete_features(_training_flows(spark, sf)), FLOW_ORDER), "training-parts")
     return {p: made.filter(F.col("part") == p) for p in ("train", "val", "test")}
 
 
@@ -413,7 +404,7 @@ def heavy_model(spark, sf):
     """Test predictions of the temporal verifier, per class."""
     parts = {k: D.encode_labels(v) for k, v in _parts(spark, sf).items()}
     scaler = fit_scaler(parts["train"])
-    sequenced = {k: D.host_sequences(apply_scaler(v, scaler), "src_ip", ["seq"]) for k, v in parts.items()}
+    sequenced = {k: D.host_sequences(apply_scaler(v, scaler), "src_ip", FLOW_ORDER) for k, v in parts.items()}
     model = M.train_heavy(sequenced["train"])
     scored = model.transform(sequenced["test"].withColumn("features", M.sequence_vector()))
     rows = scored.select("label_idx", F.col("prediction").cast("int").alias("pred"))
@@ -424,7 +415,7 @@ def heavy_model(spark, sf):
 def calibrated_scores(spark, sf):
     """Raw and calibrated calibration error of the triage forest on the test part."""
     parts = {k: M.with_vector(D.encode_labels(v)) for k, v in _parts(spark, sf).items()}
-    model, _ = M.train_triage(parts["train"].drop("features"), parts["val"].drop("features"), [M.TRIAGE_GRID[0]])
+    model, _ = M.train_triage(parts["train"].drop("features"), parts["val"].drop("features"))
     calibrator = M.Calibrator.fit(model.transform(parts["val"]))
     scored = calibrator.apply(model.transform(parts["test"])).withColumn("raw", vector_to_array("probability"))
 
@@ -437,10 +428,9 @@ def calibrated_scores(spark, sf):
 
 @query
 def scored_flows(spark, sf):
-    """Train every stage on synthetic flows, then score the flows of the packet table."""
-    art = train_all(_training_flows(spark, sf), ["seq"], grid=[M.TRIAGE_GRID[0]])
-    flows = extract_features(fixtures.packets(spark, sf), keep=["start_us", "start_seq", "last_us"])
-    scored = score_flows(flows, art, ["start_us", "start_seq"])
+    """Train every stage on the earlier flows of the packet table, then score all of them."""
+    flows = _training_flows(spark, sf)
+    scored = score_flows(flows.drop("label"), train_all(flows, FLOW_ORDER), FLOW_ORDER)
     names = ["flow_id", "ml_verdict", "ml_confidence", "dl_verdict", "dl_confidence", "model_used"]
     return scored.select(*names)
 
@@ -548,21 +538,21 @@ def calibration_report(spark, sf):
 @query
 def latency_summary(spark, sf):
     rows = _predicted(spark, sf)
-    return tidy(L.latency_summary(rows, "model_used", "latency_ms", "seq", Cuts.measure(rows, "latency_ms")))
+    return tidy(L.latency_summary(rows, "model_used", "latency_ms", "seq"))
 
 
 @query
 def latency_nearest_rank(spark, sf):
     rows = _predicted(spark, sf)
     return tidy(
-        L.latency_nearest_rank(rows, "model_used", "latency_ms", "seq", Cuts.measure(rows, "latency_ms"))
+        L.latency_nearest_rank(rows, "model_used", "latency_ms", "seq")
     )
 
 
 @query
 def throughput_table(spark, sf):
     rows = _predicted(spark, sf)
-    summary = L.latency_summary(rows, "model_used", "latency_ms", "seq", Cuts.measure(rows, "latency_ms"))
+    summary = L.latency_summary(rows, "model_used", "latency_ms", "seq")
     return tidy(L.throughput_table(rows, "latency_ms", "model_used", summary))
 
 
@@ -683,7 +673,7 @@ def _alert_columns(rows: DataFrame) -> DataFrame:
 @query
 def incidents(spark, sf):
     stream = _alert_stream(spark, sf)
-    made = A.incidents(stream, hot=HotKeys.measure(stream, ["src_ip"], "t_us"))
+    made = A.incidents(stream)
     return tidy(made.withColumn("threat_classes", F.array_join("threat_classes", ",")))
 
 
@@ -720,14 +710,18 @@ def verdict_cube(spark, sf):
 # --- Streams over the driver's event file ------------------------------------------------------
 
 
-def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.stream_view(spark, sf, fixtures.PACKETS, "events")
+def _replayed(rows: DataFrame, folder: str, t_us: str, tie: str) -> tuple[DataFrame, str]:
+    """A table as a stream of several files out of order, and the lateness that covers the disorder."""
+    lateness = as_files(rows, f"{folder}/in", t_us, tie)
+    return stream_files(rows.sparkSession, f"{folder}/in", rows.schema), lateness
 
 
 @query
 def stream_flows(spark, sf):
     """Flow sessions of the packet stream; equal to flows_event_gap."""
-    made = sessionize_available(_packet_stream(spark, sf), work_folder(spark, "flows"))
+    folder = work_folder(spark, "flows")
+    packets, lateness = _replayed(fixtures.packets(spark, sf), folder, "t_us", "seq")
+    made = sessionize_available(packets, folder, lateness)
     return made.select(*[c for c in FLOW_TOTALS if c != "flow_no"])
 
 
@@ -735,11 +729,8 @@ def stream_flows(spark, sf):
 def stream_behaviour(spark, sf):
     """Source behaviour on a stream of openings and probes; equal to source_behaviour_past."""
     folder = work_folder(spark, "behaviour")
-    flows = measured_flows(fixtures.packets(spark, sf))
-    behaviour_events(flows).write.parquet(f"{folder}/events")
-    schema = spark.read.parquet(f"{folder}/events").schema
-    events = stream_files(spark, f"{folder}/events", schema, files_per_batch=1_000_000)
-    run_available(behaviour_stream(events, salts=4), f"{folder}/out", f"{folder}/checkpoint")
+    events, lateness = _replayed(behaviour_events(measured_flows(fixtures.packets(spark, sf))), folder, "t_us", "flow_id")
+    run_available(behaviour_stream(events, lateness), f"{folder}/out", f"{folder}/checkpoint")
     return combine_salts(spark.read.parquet(f"{folder}/out"))
 
 
@@ -747,9 +738,8 @@ def stream_behaviour(spark, sf):
 def stream_incidents(spark, sf):
     """Incidents of the alert stream; equal to incidents."""
     folder = work_folder(spark, "incidents")
-    rows = _route_and_judge(fixtures.stream_view(spark, sf, fixtures.SCORED, "events"))
-    made = incident_stream(_alert_columns(rows))
-    run_available(made, f"{folder}/out", f"{folder}/checkpoint")
+    alerts, lateness = _replayed(_alert_stream(spark, sf), folder, "t_us", "alert_id")
+    run_available(incident_stream(alerts, lateness), f"{folder}/out", f"{folder}/checkpoint")
     return tidy(spark.read.parquet(f"{folder}/out"))
 
 
@@ -757,10 +747,11 @@ def stream_incidents(spark, sf):
 def stream_sequences(spark, sf):
     """Host sequences of a flow stream."""
     folder = work_folder(spark, "sequences")
-    rows = fixtures.stream_view(spark, sf, fixtures.SCORED, "events").select(
+    rows = fixtures.scored(spark, sf).select(
         F.col("seq").cast("string").alias("flow_id"), "seq", "t_us", "src_ip", "y_true", "latency_ms"
     )
-    made = sequence_stream(rows, "src_ip", "t_us", "seq", ["y_true", "latency_ms"])
+    stream, lateness = _replayed(rows, folder, "t_us", "seq")
+    made = sequence_stream(stream, "src_ip", "t_us", "seq", lateness, ["y_true", "latency_ms"])
     run_available(made, f"{folder}/out", f"{folder}/checkpoint")
     out = spark.read.parquet(f"{folder}/out")
     total = F.aggregate(F.transform("sequence", lambda x: x[0]), F.lit(0.0), lambda a, b: a + b)
@@ -773,9 +764,8 @@ def stream_alerts(spark, sf):
     """Scored flow stream with exactly-once alert files; one row per alert."""
     folder = work_folder(spark, "alerts")
     flows = extract_features(fixtures.packets(spark, sf), keep=["start_seq", "last_us"])
-    flows.write.parquet(f"{folder}/flows")
-    schema = spark.read.parquet(f"{folder}/flows").schema
-    stream = stream_files(spark, f"{folder}/flows", schema, files_per_batch=1_000_000)
+    as_files(flows, f"{folder}/in", "last_us", "flow_id", end=False)
+    stream = stream_files(spark, f"{folder}/in", flows.schema)
     predictions = _prediction_columns(_predicted(spark, sf))
 
     def score(batch: DataFrame) -> DataFrame:

@@ -125,24 +125,37 @@ FEATURE_COLUMNS = [c for group in FEATURE_GROUPS.values() for c in group]
 FLOW_COLUMNS = IDENTITY_COLUMNS + NUMERIC_COLUMNS + CATEGORICAL_COLUMNS
 THETA_GRID = sorted({round(0.50 + 0.02 * i, 2) for i in range(25)} | set(REFERENCE_THETAS))
 MICROS = 1_000_000
+REPLAY_HISTORY_CAP = 512
+REPLAY_SOURCE_CAP = 10_000
 
 
 @dataclass(frozen=True)
 class FlowConfig:
-    """Timeouts and bounds that change results."""
+    """Timeouts and bounds that change results.
+
+    A cap that is not set holds in the replay modes alone, which promise what a bounded memory sees.
+    """
 
     tcp_timeout_s: float = 120.0
     udp_timeout_s: float = 60.0
     other_timeout_s: float = 30.0
-    history_cap: int = 512
+    history_cap: int | None = None
     source_window_s: float = 60.0
-    source_cap: int = 10_000
+    source_cap: int | None = None
     initiator: str = "canonical"  # or "first_packet"
 
     def timeout_s(self, protocol: str | None) -> float:
         by_name = {"TCP": self.tcp_timeout_s, "UDP": self.udp_timeout_s}
         return by_name.get((protocol or "").upper(), self.other_timeout_s)
 
+    def history(self, mode: str) -> int | None:
+        """Packets of a flow that its history keeps."""
+        return REPLAY_HISTORY_CAP if self.history_cap is None and mode == "replay_exact" else self.history_cap
+
+    def openings(self, mode: str) -> int | None:
+        """Opened flows of a source that are remembered."""
+        return REPLAY_SOURCE_CAP if self.source_cap is None and mode == "replay_visible" else self.source_cap
+
     @property
     def source_window_us(self) -> int:
         return int(round(self.source_window_s * MICROS))

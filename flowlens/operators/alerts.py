@@ -19,7 +19,7 @@ from flowlens.config import (
     SEVERITY_FLOORS,
     SEVERITY_WEIGHT,
 )
-from flowlens.operators.ordering import HotKeys
+from flowlens.operators.ordering import running
 
 
 def severity(confidence: Column, verdict: Column) -> Column:
@@ -107,14 +107,15 @@ def class_bit(verdict: Column) -> Column:
 
 
 def trailing_alerts(
-    alerts: DataFrame, window_s: int = INCIDENT_WINDOW_SECONDS, hot: HotKeys = HotKeys()
+    alerts: DataFrame, window_s: int = INCIDENT_WINDOW_SECONDS, cells: int | None = None
 ) -> DataFrame:
     """Per alert, what its source raised in the closed window that ends with it.
 
     ``alerts``: alert_id, src_ip, t_us, threat_class, risk_score; benign rows are ignored. Time is
-    cut into cells as long as the window, so the window of an alert is the end of one cell and the
-    beginning of the next: two running aggregates, no frame is ever scanned twice. Classes are held
-    as bits. Cells of hot sources are cut further and carry from part to part.
+    cut into spans as long as the window, so the window of an alert is the beginning of its own span
+    and the end of the span before: two running aggregates, one in each direction, and no frame is
+    ever scanned twice. Classes are held as bits. An alert first counts, then looks; equal times see
+    each other.
     """
     width = window_s * MICROS
     own = alerts.filter(F.col("threat_class") != "benign").select(
@@ -125,81 +126,36 @@ def trailing_alerts(
         class_bit(F.col("threat_class")).alias("bits"),
         "risk_score",
     )
-    cell = F.floor(F.col("t_us") / width)
-    # Each alert looks forward over its own cell and back over the cell before.
-    looks = own.select(
-        "alert_id",
-        "src_ip",
-        F.explode(
-            F.array(
-                F.struct(cell.alias("cell"), F.col("t_us").alias("at"), F.lit(True).alias("own")),
-                F.struct(
-                    (cell - 1).alias("cell"), (F.col("t_us") - width).alias("at"), F.lit(False).alias("own")
-                ),
-            )
-        ).alias("e"),
-        "one",
-        "bits",
-        "risk_score",
-    ).select(
-        "alert_id",
-        "src_ip",
-        "e.cell",
-        "e.at",
-        "e.own",
-        *[F.when(F.col("e.own"), F.col(c)).alias(c) for c in ("one", "bits", "risk_score")],
-    )
-    looks = hot.split(looks, ["src_ip"], "at")
-    cell_key = ["src_ip", "cell", "split"] if hot else ["src_ip", "cell"]
-    aggregates = {
-        "n": (F.sum, "one"),
-        "classes": (F.bit_or, "bits"),
-        "max_risk": (F.max, "risk_score"),
-    }
-    merge = {
-        "n": lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)),
-        "classes": lambda x, y: F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0))),
-        "max_risk": F.greatest,
-    }
-    forward = Window.partitionBy(*cell_key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*cell_key).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    seen = looks.withColumns({f"{k}_f": f(c).over(forward) for k, (f, c) in aggregates.items()})
-    seen = seen.withColumns({f"{k}_b": f(c).over(back) for k, (f, c) in aggregates.items()})
-    if hot:
-        parts = looks.filter("split >= 0").groupBy(*cell_key).agg(*[f(c).alias(k) for k, (f, c) in aggregates.items()])
-        chain = Window.partitionBy("src_ip", "cell").orderBy("split")
-        past = chain.rowsBetween(Window.unboundedPreceding, -1)
-        next_ones = chain.rowsBetween(1, Window.unboundedFollowing)
-        again = {"n": F.sum, "classes": F.bit_or, "max_risk": F.max}
-        carry = parts.select(
-            *cell_key,
-            *[again[k](k).over(past).alias(f"{k}_past") for k in aggregates],
-            *[again[k](k).over(next_ones).alias(f"{k}_next") for k in aggregates],
-        )
-        seen = seen.join(carry, cell_key, "left").withColumns(
-            {f"{k}_f": merge[k](F.col(f"{k}_f"), F.col(f"{k}_past")) for k in aggregates}
-            | {f"{k}_b": merge[k](F.col(f"{k}_b"), F.col(f"{k}_next")) for k in aggregates}
+    span = F.floor(F.col("t_us") / width)
+    gives = own.select("src_ip", span.alias("span"), F.col("t_us").alias("at"), F.lit(False).alias("looks"), "one", "bits", "risk_score")
+
+    def half(at: Column, which: Column, order: Column) -> DataFrame:
+        asks = own.select("alert_id", "src_ip", "t_us", which.alias("span"), at.alias("at"), F.lit(True).alias("looks"))
+        both = gives.unionByName(asks, allowMissingColumns=True)
+        aggregates = {"n": ("sum", "one"), "classes": ("or", "bits"), "max_risk": ("max", "risk_score")}
+        seen = running(both, ["src_ip", "span"], [order, "looks"], aggregates, cells).where("looks")
+        return seen.select("alert_id", "src_ip", "t_us", *aggregates)
+
+    forward = half(F.col("t_us"), span, F.col("at").asc())
+    back = half(F.col("t_us") - width, span - 1, F.col("at").desc())
+    return (
+        forward.unionByName(back)
+        .groupBy("alert_id")
+        .agg(
+            F.max("src_ip").alias("src_ip"),
+            F.max("t_us").alias("t_us"),
+            F.sum("n").alias("alert_count"),
+            F.bit_or("classes").alias("class_bits"),
+            F.max("max_risk").alias("max_risk_score"),
         )
-    halves = seen.select(
-        "alert_id",
-        *[F.when(F.col("own"), F.col(f"{k}_f")).otherwise(F.col(f"{k}_b")).alias(k) for k in aggregates],
-        F.when(F.col("own"), F.col("src_ip")).alias("src_ip"),
-        F.when(F.col("own"), F.col("at")).alias("t_us"),
-    )
-    return halves.groupBy("alert_id").agg(
-        F.max("src_ip").alias("src_ip"),
-        F.max("t_us").alias("t_us"),
-        F.sum("n").alias("alert_count"),
-        F.bit_or("classes").alias("class_bits"),
-        F.max("max_risk").alias("max_risk_score"),
     )
 
 
 def incidents(
-    alerts: DataFrame, window_s: int = INCIDENT_WINDOW_SECONDS, hot: HotKeys = HotKeys()
+    alerts: DataFrame, window_s: int = INCIDENT_WINDOW_SECONDS, cells: int | None = None
 ) -> DataFrame:
     """Alerts at which a source counts as an incident: two or more classes, or a high risk."""
-    seen = trailing_alerts(alerts, window_s, hot)
+    seen = trailing_alerts(alerts, window_s, cells)
     names = [
         F.when(F.col("class_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(CLASSES)
     ]

@@ -9,12 +9,12 @@ presence intervals. Work grows with n log n whatever one source owns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.config import DEFAULT, FlowConfig
-from flowlens.operators.ordering import Cuts, HotKeys, count_before, materialize, running
-from flowlens.operators.sessionize import Shape
+from flowlens.operators.ordering import count_before, neighbour, ranged, running
+from flowlens.storage import written
 
 COUNTS = ["dest_fanout", "port_fanout", "flow_count"]
 
@@ -22,9 +22,9 @@ COUNTS = ["dest_fanout", "port_fanout", "flow_count"]
 def source_behaviour(
     flows: DataFrame,
     cfg: FlowConfig = DEFAULT,
-    shape: Shape = Shape(),
     mode: str = "past_only",
     packets: DataFrame | None = None,
+    cells: int | None = None,
 ) -> DataFrame:
     """Add dest_fanout, port_fanout and flow_count to flows.
 
@@ -32,17 +32,17 @@ def source_behaviour(
     * ``replay_visible``: what a packet-by-packet replay would see when it finalizes the flow; needs
       ``replay_exact`` flows and the packet table.
 
-    Only the newest ``source_cap`` opened flows of a source are remembered, in both modes.
+    With a cap, only the newest opened flows of a source are remembered.
     """
     if mode == "past_only":
-        rows, hot = _past_only(flows, cfg, shape.sources)
+        rows = _past_only(flows, cfg, cells)
     elif mode == "replay_visible":
         if packets is None:
             raise ValueError("replay_visible needs the packet table")
-        rows, hot = _replay_visible(flows, packets, cfg, shape)
+        rows = _replay_visible(flows, packets, cfg, cells)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return _count_covering(rows, hot)
+    return _count_covering(rows, cells)
 
 
 def _payload(flows: DataFrame) -> DataFrame:
@@ -55,10 +55,8 @@ def _payload(flows: DataFrame) -> DataFrame:
     )
 
 
-def _past_only(flows: DataFrame, cfg: FlowConfig, hot: HotKeys):
+def _past_only(flows: DataFrame, cfg: FlowConfig, cells: int | None) -> DataFrame:
     """Visibility in time: from the flow's start until the window passes or the cap evicts it."""
-    if hot:
-        flows = materialize(flows)
     rows = _payload(flows).withColumns(
         {
             "first": F.col("flow.start_us"),
@@ -66,32 +64,24 @@ def _past_only(flows: DataFrame, cfg: FlowConfig, hot: HotKeys):
             "probe": F.col("flow.last_us"),
         }
     )
-    rows = _nth_newer(rows, "first", cfg.source_cap, hot, ["first", "tie"], "first")
+    rows = _nth_newer(rows, "first", cfg.openings("past_only"), ["first", "tie"], cells)
     end = F.least(F.col("first") + cfg.source_window_us, F.col("nth") - 1)
-    return rows.withColumn("last", end).drop("nth"), hot
+    return rows.withColumn("last", end).drop("nth")
 
 
-def _nth_newer(
-    rows: DataFrame, column: str, n: int, hot: HotKeys, order: list[str], split_on: str
-) -> DataFrame:
+def _nth_newer(rows: DataFrame, column: str, n: int | None, order: list[str], cells: int | None) -> DataFrame:
     """Add ``nth``: ``column`` of the n-th later row of the same source, null if there is none."""
-    if not hot:
-        w = Window.partitionBy("a_ip").orderBy(*order)
-        return rows.withColumn("nth", F.lead(column, n).over(w))
-    numbered = running(
-        hot.split(rows, ["a_ip"], split_on).withColumn("one", F.lit(1)),
-        "a_ip",
-        order,
-        {"open_no": ("sum", "one")},
-        "split",
-    ).drop("one", "split")
+    if n is None:
+        return rows.withColumn("nth", F.lit(None).cast("long"))
+    numbered = running(rows.withColumn("one", F.lit(1)), ["a_ip"], order, {"open_no": ("sum", "one")}, cells)
+    numbered = written(numbered.drop("one"), "openings")
     later = numbered.filter(F.col("open_no") > n).select(
         "a_ip", (F.col("open_no") - n).alias("open_no"), F.col(column).alias("nth")
     )
     return numbered.join(later, ["a_ip", "open_no"], "left").drop("open_no")
 
 
-def _replay_visible(flows: DataFrame, packets: DataFrame, cfg: FlowConfig, shape: Shape):
+def _replay_visible(flows: DataFrame, packets: DataFrame, cfg: FlowConfig, cells: int | None) -> DataFrame:
     """Visibility in finalization steps: the steps of the source at which the flow is remembered.
 
     A source's flows are finalized one after the other (its step number is ``probe``). At a step,
@@ -99,42 +89,24 @@ def _replay_visible(flows: DataFrame, packets: DataFrame, cfg: FlowConfig, shape
     end seen so far minus the window have been forgotten. Both limits only move forward, so each
     flow is visible during one interval of steps.
     """
-    cuts = shape.time if shape.time is not None else Cuts.measure(packets, "t_us")
-    total = packets.count()
-    in_rank = Cuts(tuple(total * i / (len(cuts.points) + 1) for i in range(1, len(cuts.points) + 1)))
-    hot = HotKeys(shape.sources.hashes, in_rank)
-    split = "split" if hot else None
-
-    # The packet that triggers finalization; total + 1 stands for the final flush.
+    times = packets.select("t_us")
+    # The packet that triggers finalization; one after the last stands for the final flush.
     asked = flows.withColumn("idle_at", F.col("last_us") + F.col("tmo_us"))
-    timed = count_before(asked, "idle_at", packets, "t_us", cuts, "n_before").drop("idle_at")
+    timed = count_before(asked, "idle_at", times, "t_us", "n_before", cells).drop("idle_at")
     timed = timed.withColumn(
         "trigger", F.when(F.col("closed"), F.col("last_ord")).otherwise(F.col("n_before") + 1)
     ).drop("n_before")
-    if hot:
-        timed = materialize(timed)
 
-    # Step numbers and the latest end so far, per source in order of finalization. Flushed flows
-    # share one trigger, so their split follows their creation order instead.
-    steps = hot.split(timed, ["a_ip"], "trigger")
-    if hot:
-        created = in_rank.assign(steps, "first_ord", "created_bucket")
-        in_flush = (F.col("split") >= 0) & (F.col("trigger") > total)
-        steps = created.withColumn(
-            "split",
-            F.when(in_flush, F.col("created_bucket") + len(in_rank.points) + 1).otherwise(F.col("split")),
-        ).drop("created_bucket")
+    # Step numbers and the latest end so far, per source in order of finalization.
     steps = running(
-        steps.withColumn("one", F.lit(1)),
-        "a_ip",
+        timed.withColumn("one", F.lit(1)),
+        ["a_ip"],
         ["trigger", F.desc("closed"), "first_ord"],
         {"step": ("sum", "one"), "seen_until": ("max", "last_us")},
-        split,
-    ).drop("one", "split")
+        cells,
+    ).drop("one")
     steps = steps.withColumn("forget_before", F.col("seen_until") - cfg.source_window_us)
-    steps = count_before(steps, "forget_before", packets, "t_us", cuts, "forgotten")
-    if hot:
-        steps = materialize(steps)
+    steps = count_before(steps, "forget_before", times, "t_us", "forgotten", cells)
 
     # Meet steps and openings in packet order: a step forgets (0) before a packet opens a flow (1),
     # and looks (2) after it.
@@ -160,11 +132,11 @@ def _replay_visible(flows: DataFrame, packets: DataFrame, cfg: FlowConfig, shape
         "probe",
     )
     met = running(
-        hot.split(met, ["a_ip"], "at"),
-        "a_ip",
+        met,
+        ["a_ip"],
         ["at", "kind"],
         {"n_forgets": ("sum", "one_forgets"), "n_looks": ("sum", "one_looks")},
-        split,
+        cells,
     ).filter(F.col("kind") == 1)
     rows = met.select(
         "a_ip",
@@ -177,12 +149,11 @@ def _replay_visible(flows: DataFrame, packets: DataFrame, cfg: FlowConfig, shape
         F.col("at").alias("tie"),
         "probe",
     )
-    rows = _nth_newer(rows, "first", cfg.source_cap, hot, ["tie"], "tie")
-    rows = rows.withColumn("last", F.least("until", F.col("nth") - 1)).drop("until", "nth")
-    return rows, hot
+    rows = _nth_newer(rows, "first", cfg.openings("replay_visible"), ["tie"], cells)
+    return rows.withColumn("last", F.least("until", F.col("nth") - 1)).drop("until", "nth")
 
 
-def _count_covering(rows: DataFrame, hot: HotKeys) -> DataFrame:
+def _count_covering(rows: DataFrame, cells: int | None) -> DataFrame:
     """Per flow, what is visible at its probe position.
 
     ``rows``: a_ip, b_ip, b_port, flow_id, flow (the row to return), the interval [first, last] in
@@ -211,13 +182,16 @@ def _count_covering(rows: DataFrame, hot: HotKeys) -> DataFrame:
     )
     visible = F.col("first") <= F.col("last")
     kinds = kinds.filter((F.col("kind") == 0) | (F.col("v").isNotNull() & visible))
-    if hot:
-        kinds = _merge_inside_buckets(kinds, hot)
-    w = Window.partitionBy("a_ip", "kind", "v").orderBy("first", "tie")
-    before, after = F.lag("last").over(w), F.lead("first").over(w)
-    ends = kinds.withColumns({"before": before, "after": after})
-    opens = visible & (F.col("before").isNull() | (F.col("first") > F.col("before")))
-    closes = visible & (F.col("after").isNull() | (F.col("after") > F.col("last")))
+    table = ranged(kinds, ["a_ip", "kind", "v", "first", "tie"], "presence", cells)
+    ends = neighbour(table, ["a_ip", "kind", "v", "last"], "prev", -1)
+    ends = neighbour(ends, ["a_ip", "kind", "v", "first"], "next", 1)
+
+    def same(side):
+        return (F.col(f"{side}.a_ip") == F.col("a_ip")) & (F.col(f"{side}.kind") == F.col("kind")) & (F.col(f"{side}.v") == F.col("v"))
+
+    before, after = F.when(same("prev"), F.col("prev.last")), F.when(same("next"), F.col("next.first"))
+    opens = visible & (before.isNull() | (F.col("first") > before))
+    closes = visible & (after.isNull() | (after > F.col("last")))
 
     def event(at, sign, is_probe):
         return F.struct(at.alias("at"), F.lit(sign).alias("sign"), F.lit(is_probe).alias("is_probe"))
@@ -245,29 +219,10 @@ def _count_covering(rows: DataFrame, hot: HotKeys) -> DataFrame:
         ],
     )
     counted = running(
-        hot.split(events, ["a_ip"], "at"),
-        "a_ip",
-        ["at"],
+        events.withColumn("asks", F.col("flow").isNotNull()),
+        ["a_ip"],
+        ["at", "asks"],
         {c: ("sum", f"d_{c}") for c in COUNTS},
-        "split" if hot else None,
-        peers=True,
+        cells,
     )
     return counted.filter(F.col("flow").isNotNull()).select("flow.*", *COUNTS)
-
-
-def _merge_inside_buckets(kinds: DataFrame, hot: HotKeys) -> DataFrame:
-    """For hot sources, reduce each bucket to one row per merged interval before it meets others."""
-    placed = hot.split(kinds, ["a_ip"], "first")
-    w = Window.partitionBy("a_ip", "kind", "v", "split").orderBy("first", "tie")
-    apart = F.lag("last").over(w)
-    marked = placed.withColumn(
-        "starts", F.when(apart.isNull() | (F.col("first") > apart), 1).otherwise(0)
-    ).withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("a_ip", "kind", "v", "split", "island")
-    merged = marked.withColumn("reach", F.max("last").over(whole)).filter(
-        (F.col("split") < 0) | (F.col("kind") == 0) | (F.col("starts") == 1)
-    )
-    wide = (F.col("split") >= 0) & (F.col("kind") != 0)
-    return merged.withColumn("last", F.when(wide, F.col("reach")).otherwise(F.col("last"))).drop(
-        "split", "starts", "island", "reach"
-    )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,21 @@ from flowlens.config import (
     ATTACK_LABELS,
     CLASSES,
     FEATURE_COLUMNS,
+    MICROS,
     SEED,
     SEQUENCE_LENGTH,
     TRAIN_FRACTION,
     VALIDATION_FRACTION,
 )
-from flowlens.operators.ordering import Cuts, HotKeys, rows_at_ranks
+from flowlens.operators.ordering import ranged, rows_at_ranks, spanning
+from flowlens.shipping import ship
+from flowlens.storage import written
+
+ship(__name__)
 
-MAX_BROADCAST_ROWS = 100_000
 HASH_RANGE = 1 << 31
-HASH_CUTS = Cuts(tuple(HASH_RANGE * i / 256 for i in range(1, 256)))
+LOG_CELL_SECONDS = 600
+LOG_SALTS = 16
 
 
 # --- Labels ------------------------------------------------------------------------------------
@@ -55,6 +62,12 @@ def require_known_labels(df: DataFrame) -> DataFrame:
     return df
 
 
+def known_label(label: Column) -> Column:
+    """The label; one outside the class list is an error where it is read."""
+    wrong = F.raise_error(F.concat(F.lit("label outside the class list: "), label)).cast("string")
+    return F.when(label.isNull() | label_index(label).isNotNull(), label).otherwise(wrong)
+
+
 def encode_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("label_idx", label_index(F.col("label")))
 
@@ -93,58 +106,73 @@ def join_labels(flows: DataFrame, labels: DataFrame) -> DataFrame:
     return flows.join(labels.select("flow_id", "label"), "flow_id", "left")
 
 
+def _latest_started(group: pd.DataFrame) -> pd.DataFrame:
+    """For the flows of one (host pair, time cell, salt), the latest started entry that covers each start.
+
+    One pass in order of time: entries enter a heap when they start, latest and then lowest id on top, and
+    leave it when they are on top and over.
+    """
+    entries = group[group["flow_id"].isna()].sort_values(["at", "experiment_id"], kind="stable")
+    flows = group[group["flow_id"].notna()].sort_values("at", kind="stable")
+    start, end, number = (entries[c].tolist() for c in ("at", "end_us", "experiment_id"))
+    heap: list[tuple] = []
+    found, k = [], 0
+    for at in flows["at"].tolist():
+        while k < len(start) and start[k] <= at:
+            heapq.heappush(heap, (-start[k], number[k], end[k]))
+            k += 1
+        while heap and heap[0][2] < at:
+            heapq.heappop(heap)
+        found.append(heap[0][1] if heap else None)
+    return pd.DataFrame({"flow_id": flows["flow_id"].tolist(), "experiment_id": found}, dtype=object)
+
+
 def label_by_experiment(flows: DataFrame, experiments: DataFrame) -> DataFrame:
     """Label flows from an experiment log.
 
     A flow takes the attack of the experiment between the same two hosts whose closed time window
-    contains the flow's start; of several the latest started, then the lowest id; else benign. The
-    log is gathered per host pair, so every flow meets at most one row and is never multiplied. The
-    gathered log is broadcast only while it is small.
-    """
-
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("ip_lo"), F.greatest(x, y).alias("ip_hi")]
+    contains the flow's start; of several the latest started, then the lowest id; else benign.
 
+    Flows and entries meet by host pair and time cell; an entry stands in every cell it covers, and flows
+    of a pair are dealt over salts, so a busy pair is many small groups. In a group one sweep in order of
+    time serves all flows: no flow is paired with the entries of its hosts.
+    """
+    width = LOG_CELL_SECONDS * MICROS
+    pair = [F.least("x", "y").alias("ip_lo"), F.greatest("x", "y").alias("ip_hi")]
+    cell = F.floor(F.col("at") / width)
+    asked = flows.select(F.col("a_ip").alias("x"), F.col("b_ip").alias("y"), "flow_id", F.col("start_us").alias("at"))
+    asked = asked.select(
+        *pair,
+        cell.alias("cell"),
+        F.pmod(F.xxhash64("flow_id"), F.lit(LOG_SALTS)).cast("int").alias("salt"),
+        "flow_id",
+        "at",
+        F.lit(None).cast("long").alias("end_us"),
+        F.lit(None).cast("long").alias("experiment_id"),
+    )
+    log = experiments.where("start_us <= end_us").select(
+        F.col("src_ip").alias("x"), F.col("dst_ip").alias("y"), F.col("start_us").alias("at"), "end_us", "experiment_id"
+    )
+    log = log.select(
+        *pair,
+        F.explode(F.sequence(cell, F.floor(F.col("end_us") / width))).alias("cell"),
+        F.lit(None).cast("string").alias("flow_id"),
+        "at",
+        "end_us",
+        F.col("experiment_id").cast("long").alias("experiment_id"),
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LOG_SALTS - 1))))
+    both = asked.unionByName(log)
+    hits = both.groupBy("ip_lo", "ip_hi", "cell", "salt").applyInPandas(
+        _latest_started, "flow_id string, experiment_id long"
+    )
     attack = F.create_map(*[F.lit(x) for item in ATTACK_LABELS.items() for x in item])
-    entries = experiments.select(
-        *pair("src_ip", "dst_ip"),
-        F.struct(
-            "start_us",
-            (-F.col("experiment_id")).alias("minus_id"),
-            "end_us",
-            "experiment_id",
-            F.try_element_at(attack, F.col("attack_type")).alias("label"),
-        ).alias("entry"),
+    kinds = experiments.select(F.col("experiment_id").cast("long").alias("hit"), "attack_type")
+    hits = hits.where("experiment_id IS NOT NULL").withColumnRenamed("experiment_id", "hit")
+    labels = hits.join(kinds, "hit").select(
+        "flow_id", F.col("hit").alias("experiment_id"), F.try_element_at(attack, F.col("attack_type")).alias("label")
     )
-    small = entries.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    if small:
-        log = F.broadcast(entries.groupBy("ip_lo", "ip_hi").agg(F.collect_list("entry").alias("entries")))
-        keyed = flows.withColumns(dict(zip(["ip_lo", "ip_hi"], pair("a_ip", "b_ip"))))
-        hit = F.array_max(
-            F.filter(
-                "entries",
-                lambda e: (e.start_us <= F.col("start_us")) & (F.col("start_us") <= e.end_us),
-            )
-        )
-        joined = keyed.join(log, ["ip_lo", "ip_hi"], "left").withColumn("hit", hit).drop("entries")
-    else:
-        # Both sides meet by host pair; candidates are reduced to one per flow.
-        left = flows.withColumns(dict(zip(["ip_lo", "ip_hi"], pair("a_ip", "b_ip"))))
-        inside = (F.col("entry.start_us") <= F.col("start_us")) & (F.col("start_us") <= F.col("entry.end_us"))
-        best = (
-            left.select("flow_id", "ip_lo", "ip_hi", "start_us")
-            .join(entries, ["ip_lo", "ip_hi"])
-            .filter(inside)
-            .groupBy("flow_id")
-            .agg(F.max("entry").alias("hit"))
-        )
-        joined = left.join(best, "flow_id", "left")
-    return joined.withColumns(
-        {
-            "experiment_id": F.col("hit.experiment_id"),
-            "label": F.coalesce(F.col("hit.label"), F.lit("benign")),
-        }
-    ).drop("hit", "ip_lo", "ip_hi")
+    joined = flows.join(labels, "flow_id", "left")
+    return joined.withColumn("label", F.coalesce("label", F.lit("benign")))
 
 
 # --- Splits ------------------------------------------------------------------------------------
@@ -153,14 +181,13 @@ def label_by_experiment(flows: DataFrame, experiments: DataFrame) -> DataFrame:
 def chronological_split(
     df: DataFrame,
     order: Sequence[str],
-    cuts: Cuts,
     train: float = TRAIN_FRACTION,
     validation: float = VALIDATION_FRACTION,
 ) -> DataFrame:
     """Add ``part``: train, val or test, by position in time.
 
-    Only the two boundary rows are looked up, inside the buckets that hold them; the table itself
-    is not shuffled.
+    The two boundary rows are looked up by rank among the order columns; the table itself is not
+    shuffled.
     """
     n = df.agg(F.count(F.lit(1)).alias("n"))
     wanted = n.select(
@@ -173,7 +200,7 @@ def chronological_split(
             )
         ).alias("w")
     ).select("w.name", "w.rank")
-    found = rows_at_ranks(df.select(*order), order, cuts, wanted)
+    found = rows_at_ranks(df.select(*order), order, wanted)
     edges = found.agg(
         *[F.max(F.when(F.col("name") == e, F.struct(*order))).alias(e) for e in ("train_end", "val_end")]
     )
@@ -185,8 +212,9 @@ def chronological_split(
 
 
 def row_hash(column: str, seed: int = SEED) -> Column:
-    """A reproducible number in [0, HASH_RANGE) per row; recomputed tasks see the same value."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(HASH_RANGE))
+    """A reproducible number in [0, HASH_RANGE) per row, the same in any engine that has MD5."""
+    digest = F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(column).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % HASH_RANGE
 
 
 def stratified_split(
@@ -198,8 +226,8 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``part`` with the same shares inside every label, to the row.
 
-    Rows are ordered by hash inside their label and only the boundary rows are looked up, so a
-    label with most of the table needs no task of its own.
+    Rows are ordered by hash inside their label and only the boundary rows are looked up; a label with
+    most of the table spans as many ranges as it needs.
     """
     hashed = df.withColumn("h", row_hash(id_column, seed))
     order = ["h", id_column]
@@ -220,7 +248,7 @@ def stratified_split(
         )
         .select("label", "w.name", "w.rank")
     )
-    found = rows_at_ranks(hashed.select("label", *order), order, HASH_CUTS, wanted, ["label"])
+    found = rows_at_ranks(hashed.where("label IS NOT NULL").select("label", *order), order, wanted, "label")
     edges = found.groupBy("label").agg(
         *[F.max(F.when(F.col("name") == e, F.struct(*order))).alias(e) for e in ("train_end", "val_end")]
     )
@@ -237,8 +265,7 @@ def stratified_split(
 
 def group_split(df: DataFrame, group: str, test_percent: int = 20, seed: int = SEED) -> DataFrame:
     """Add ``part``: whole groups go to train or test."""
-    share = F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(100))
-    return df.withColumn("part", F.when(share < test_percent, "test").otherwise("train"))
+    return df.withColumn("part", F.when(row_hash(group, seed) % 100 < test_percent, "test").otherwise("train"))
 
 
 # --- Sequences ---------------------------------------------------------------------------------
@@ -250,37 +277,35 @@ def host_sequences(
     order: Sequence[str],
     columns: Sequence[str] = tuple(FEATURE_COLUMNS),
     length: int = SEQUENCE_LENGTH,
-    hot: HotKeys = HotKeys(),
+    cells: int | None = None,
 ) -> DataFrame:
     """Add ``sequence``: the host's last ``length`` rows up to this one, oldest first.
 
     Shorter histories repeat their earliest row at the front. Apply to each part of a split by
-    itself, so that no part sees another. Rows of hot hosts are windowed per time bucket and get
-    the last rows of the host's earlier buckets in front.
+    itself, so that no part sees another. Rows are dealt into ranges of (host, order); a host that
+    spans ranges gets the last rows of its earlier ranges in front.
     """
     features = F.array(*[F.col(c).cast("double") for c in columns])
-    rows = hot.split(df.withColumn("x", features), [host], order[0])
-    keys = [host, "split"] if hot else [host]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(length - 1), 0)
-    rows = rows.withColumn("seen", F.collect_list("x").over(w))
-    if hot:
-        newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-        last = (
-            rows.filter("split >= 0")
-            .withColumn("from_end", F.row_number().over(newest))
-            .filter(F.col("from_end") < length)
-            .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct(*order, "x"))).alias("tail"))
-        )
-        # At most MAX_BUCKETS rows of length - 1 entries per hot host.
-        before = Window.partitionBy(host).orderBy("split").rowsBetween(-(length - 1), -1)
-        carry = last.select(
-            *keys, F.transform(F.flatten(F.collect_list("tail").over(before)), lambda e: e.x).alias("carry")
-        )
-        rows = rows.join(F.broadcast(carry), keys, "left").withColumn(
-            "seen", F.concat(F.coalesce("carry", F.array().cast("array<array<double>>")), "seen")
-        )
-        size = F.size("seen")
-        rows = rows.withColumn("seen", F.slice("seen", F.greatest(size - length + 1, F.lit(1)), length)).drop("carry")
+    table = ranged(df.withColumn("x", features), [host, *order], "host-rows", cells)
+    keys = [host, "cell"]
+    w = Window.partitionBy("cell", host).orderBy("place").rowsBetween(-(length - 1), 0)
+    rows = table.withColumn("seen", F.collect_list("x").over(w))
+    newest = Window.partitionBy("cell", host).orderBy(F.desc("place"))
+    last = (
+        table.join(spanning(table, [host]), host, "left_semi")
+        .withColumn("from_end", F.row_number().over(newest))
+        .filter(F.col("from_end") < length)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("tail"))
+    )
+    before = Window.partitionBy(host).orderBy("cell").rowsBetween(-(length - 1), -1)
+    carry = last.select(
+        *keys, F.transform(F.flatten(F.collect_list("tail").over(before)), lambda e: e.x).alias("carry")
+    )
+    rows = rows.join(written(carry, "host-carry"), keys, "left").withColumn(
+        "seen", F.concat(F.coalesce("carry", F.array().cast("array<array<double>>")), "seen")
+    )
+    size = F.size("seen")
+    rows = rows.withColumn("seen", F.slice("seen", F.greatest(size - length + 1, F.lit(1)), length)).drop("carry")
     padding = F.array_repeat(F.element_at("seen", 1), F.lit(length) - F.size("seen"))
-    return rows.withColumn("sequence", F.concat(padding, "seen")).drop("x", "seen", "split")
+    return rows.withColumn("sequence", F.concat(padding, "seen")).drop("x", "seen", "cell", "place")

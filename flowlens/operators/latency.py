@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.config import RATE_WINDOW_SECONDS, TARGET_RATES
-from flowlens.operators.ordering import Cuts, rows_at_ranks
+from flowlens.operators.ordering import rows_at_ranks
 
 QUANTILES = (0.50, 0.95, 0.99)
 
@@ -27,11 +27,11 @@ def _ranks(scoped: DataFrame, wanted) -> DataFrame:
     return counts.select("scope", F.explode(F.array(*wanted(F.col("n")))).alias("w")).select("scope", "w.*")
 
 
-def latency_summary(df: DataFrame, branch: str, value: str, tie: str, cuts: Cuts) -> DataFrame:
+def latency_summary(df: DataFrame, branch: str, value: str, tie: str) -> DataFrame:
     """Mean, p50, p95, p99 and max, overall and per branch; quantiles interpolate linearly.
 
-    Exact: the neighbours of each quantile are looked up by rank inside the value buckets that hold
-    them, so no group is gathered or sorted as a whole.
+    Exact: the neighbours of each quantile are looked up by rank in ranges of (scope, value, tie), so no
+    group is gathered in one task.
     """
     scoped = _with_overall(df, branch, value, tie)
 
@@ -50,7 +50,7 @@ def latency_summary(df: DataFrame, branch: str, value: str, tie: str, cuts: Cuts
                 )
         return entries
 
-    found = rows_at_ranks(scoped, ["x", "tie"], cuts, _ranks(scoped, wanted), ["scope"])
+    found = rows_at_ranks(scoped, ["x", "tie"], _ranks(scoped, wanted), "scope")
     low, high = F.max(F.when(F.col("side") == "lo", F.col("x"))), F.max(F.when(F.col("side") == "hi", F.col("x")))
     points = found.groupBy("scope", "q").agg((low + (high - low) * F.max("share")).alias("v"))
     wide = points.groupBy("scope").agg(
@@ -64,7 +64,7 @@ def latency_summary(df: DataFrame, branch: str, value: str, tie: str, cuts: Cuts
     )
 
 
-def latency_nearest_rank(df: DataFrame, branch: str, value: str, tie: str, cuts: Cuts) -> DataFrame:
+def latency_nearest_rank(df: DataFrame, branch: str, value: str, tie: str) -> DataFrame:
     """Median, and p95/p99 as the sorted value at position int(q * n); share of heavy rows."""
     scoped = df.select(
         F.lit("overall").alias("scope"), F.col(value).cast("double").alias("x"), F.col(tie).alias("tie")
@@ -78,7 +78,7 @@ def latency_nearest_rank(df: DataFrame, branch: str, value: str, tie: str, cuts:
             for i, (name, rank) in enumerate(middle + tails)
         ]
 
-    found = rows_at_ranks(scoped, ["x", "tie"], cuts, _ranks(scoped, wanted), ["scope"])
+    found = rows_at_ranks(scoped, ["x", "tie"], _ranks(scoped, wanted), "scope")
     points = found.agg(
         *[F.avg(F.when(F.col("name") == p, F.col("x"))).alias(f"{p}_ms") for p in ("p50", "p95", "p99")]
     )

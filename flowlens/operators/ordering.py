@@ -1,265 +1,133 @@
-"""Global order without a global window, and per-key windows that survive hot keys.
+"""Windows over any order and any key, one plan for every size.
 
-Two facts are measured once, on the driver, and both are bounded whatever the data size:
-
-* ``Cuts``: at most ``MAX_BUCKETS - 1`` cut points that split a numeric order into buckets of about
-  equal row count. Any "over the whole table" window becomes a window per bucket plus a carry taken
-  from a table with one row per bucket.
-* ``HotKeys``: the keys (at most ``MAX_HOT``) that own so many rows that one task should not own
-  them. Their rows get a bucket number in ``split``; all other rows get -1. A window partitioned by
-  (key, split) then never holds more than one bucket of a hot key, and a carry of one row per
-  (hot key, bucket) makes the result exact.
-
-Cut points and hot keys enter plans as literals, so a recomputed task always sees the same buckets.
+A table is dealt into ranges of a total order and written (`ranged`). Spark picks the ranges from the data, so
+each has about the same number of rows, however many of them share a key; a key that owns half of the table
+simply spans many ranges. Every window is then a window per range ("cell"), and what a range needs from those
+before it is a carry: one row per range, or per range and key that spans ranges. Nothing is measured first, no
+key is named in a plan and no number of ranges or keys is limited.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1024
-MIN_BUCKETS = 8
-ROWS_PER_BUCKET = 2_000_000
-MAX_HOT = 1000
-HOT_MIN_ROWS = 2_000_000
-QUANTILE_ERROR = 1e-4
-
-
-@dataclass(frozen=True)
-class Cuts:
-    """Cut points over one numeric column; bucket numbers run from 0 to ``len(points)``."""
-
-    points: tuple[float, ...] = ()
-
-    @staticmethod
-    def measure(df: DataFrame, column: str, buckets: int | None = None) -> Cuts:
-        """About equal-count cuts; ``buckets`` defaults to one per ROWS_PER_BUCKET rows."""
-        if buckets is None:
-            buckets = math.ceil(df.count() / ROWS_PER_BUCKET)
-        buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, buckets))
-        error = max(QUANTILE_ERROR, 0.1 / buckets)
-        shares = [i / buckets for i in range(1, buckets)]
-        return Cuts(tuple(sorted(set(df.approxQuantile(column, shares, error)))))
-
-    def assign(self, df: DataFrame, column: str, out: str) -> DataFrame:
-        """Add the bucket number of ``column`` (binary search in the JVM)."""
-        if not self.points:
-            return df.withColumn(out, F.lit(0))
-        edges = [-math.inf, *self.points, math.inf]
-        as_double = df.withColumn(f"{out}_x", F.col(column).cast("double"))
-        placed = Bucketizer(splits=edges, inputCol=f"{out}_x", outputCol=out).transform(as_double)
-        return placed.withColumn(out, F.col(out).cast("int")).drop(f"{out}_x")
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    """Hashes of the keys to split, and the cuts that split them. Empty means no splitting."""
-
-    hashes: tuple[int, ...] = ()
-    cuts: Cuts = field(default_factory=Cuts)
-
-    def __bool__(self) -> bool:
-        return bool(self.hashes)
-
-    @staticmethod
-    def measure(
-        df: DataFrame,
-        keys: Sequence[str],
-        order: str,
-        min_rows: int = HOT_MIN_ROWS,
-        buckets: int | None = None,
-    ) -> HotKeys:
-        """Keys owning more than max(min_rows, n / MAX_HOT) rows.
-
-        The frequent-item sketch can only report too many keys, never too few; the exact count of
-        its (bounded) candidates removes the rest.
-        """
-        total = df.count()
-        floor = max(min_rows, math.ceil(total / MAX_HOT))
-        if total <= floor:
-            return HotKeys()
-        hashed = df.select(F.xxhash64(*keys).alias("h"))
-        candidates = hashed.stat.freqItems(["h"], support=max(floor / total, 1.0 / MAX_HOT)).first()[0]
-        counted = hashed.filter(F.col("h").isin(list(candidates))).groupBy("h").count()
-        hot = [r["h"] for r in counted.filter(F.col("count") > floor).collect()]
-        if not hot:
-            return HotKeys()
-        return HotKeys(tuple(sorted(hot)), Cuts.measure(df, order, buckets))
-
-    def split(self, df: DataFrame, keys: Sequence[str], order: str, out: str = "split") -> DataFrame:
-        """Add the split number: a bucket for rows of hot keys, -1 for all others."""
-        if not self:
-            return df.withColumn(out, F.lit(-1))
-        placed = self.cuts.assign(df, order, f"{out}_b")
-        is_hot = F.xxhash64(*keys).isin(list(self.hashes))
-        return placed.withColumn(out, F.when(is_hot, F.col(f"{out}_b")).otherwise(-1)).drop(f"{out}_b")
-
-
-def bucket_offsets(df: DataFrame, bucket: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows before each bucket: one row per (by, bucket), at most MAX_BUCKETS per group."""
-    counts = df.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("bucket_rows"))
-    before = (
-        Window.partitionBy(*(by or [F.lit(0)]))
-        .orderBy(bucket)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return counts.withColumn(
-        "bucket_offset", F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).cast("long")
-    )
-
-
-def global_rank(df: DataFrame, order: Sequence[str], cuts: Cuts, out: str = "rank") -> DataFrame:
-    """1-based position in the total order ``order`` (its first column is the one that was cut)."""
-    placed = cuts.assign(df, order[0], "bucket")
-    offsets = bucket_offsets(placed, "bucket").drop("bucket_rows")
-    inside = Window.partitionBy("bucket").orderBy(*order)
-    return (
-        placed.withColumn("in_bucket", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "bucket")
-        .withColumn(out, F.col("bucket_offset") + F.col("in_bucket"))
-        .drop("bucket", "in_bucket", "bucket_offset")
-    )
+from flowlens.storage import numbered, placed, written
 
 
-def global_previous(df: DataFrame, column: str, order: Sequence[str], cuts: Cuts, out: str) -> DataFrame:
-    """Value of ``column`` on the row just before, in the order of the whole table.
+def ranged(df: DataFrame, order: Sequence[Column | str], name: str, cells: int | None = None) -> DataFrame:
+    """`df` in the total order `order`: adds `cell`, which ascends in that order, and `place` in the cell.
 
-    ``column`` must be the cut column, so that a bucket's last value is its largest one.
+    `cells` sets the number of ranges; by default it follows the session's shuffle settings.
     """
-    placed = cuts.assign(df, order[0], "bucket")
-    per_bucket = placed.groupBy("bucket").agg(F.max(column).alias("bucket_last"))
-    chain = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    carry = per_bucket.select("bucket", F.lag("bucket_last").over(chain).alias("carry"))
-    inside = Window.partitionBy("bucket").orderBy(*order)
-    return (
-        placed.withColumn("in_bucket_prev", F.lag(column).over(inside))
-        .join(F.broadcast(carry), "bucket")
-        .withColumn(out, F.coalesce("in_bucket_prev", "carry"))
-        .drop("bucket", "in_bucket_prev", "carry")
-    )
-
-
-def rows_at_ranks(
-    df: DataFrame, order: Sequence[str], cuts: Cuts, wanted: DataFrame, by: Sequence[str] = ()
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(cells, *keys) if cells else df.repartitionByRange(*keys)
+    return placed(dealt.sortWithinPartitions(*keys), name, "cell", "place")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank", cells: int | None = None) -> DataFrame:
+    """1-based position in the total order `order`."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(cells, *keys) if cells else df.repartitionByRange(*keys)
+    made = numbered(dealt.sortWithinPartitions(*keys), "rank", out)
+    return made.withColumn(out, F.col(out) + 1)
+
+
+def neighbour(table: DataFrame, columns: Sequence[str], out: str, step: int) -> DataFrame:
+    """Adds struct `out`: `columns` of the row before (step -1) or after (step 1) in a ranged table."""
+    value = F.struct(*columns)
+    shift = F.lag if step < 0 else F.lead
+    edge = F.max_by(value, F.col("place")) if step < 0 else F.min_by(value, F.col("place"))
+    ends = table.groupBy("cell").agg(edge.alias("edge"))
+    chain = Window.partitionBy(F.lit(0)).orderBy("cell")  # one row per cell
+    carry = written(ends.select("cell", shift("edge").over(chain).alias("carry")), "neighbour-cells")
+    inside = Window.partitionBy("cell").orderBy("place")
+    near = table.withColumn("near", shift(value).over(inside))
+    return near.join(carry, "cell").withColumn(out, F.coalesce("near", "carry")).drop("near", "carry")
+
+
+def spanning(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that lie in more than one cell of a table ranged by them; at most one per cell."""
+    key = F.struct(*keys)
+    ends = table.groupBy("cell").agg(F.min_by(key, F.col("place")).alias("low"), F.max_by(key, F.col("place")).alias("high"))
+    chain = Window.partitionBy(F.lit(0)).orderBy("cell")
+    met = ends.withColumn("before", F.lag("high").over(chain)).where("low = before")
+    return written(met.select("low.*").distinct(), "spanning-keys")
+
+
+MERGE = {
+    "sum": (F.sum, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))),
+    "max": (F.max, F.greatest),
+    "or": (F.bit_or, lambda x, y: F.coalesce(x, F.lit(0)).bitwiseOR(F.coalesce(y, F.lit(0)))),
+}
+
+
+def running_on(
+    table: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, str]], source: DataFrame | None = None
 ) -> DataFrame:
-    """The rows at given 1-based ranks of each group, without ranking the table.
+    """Running aggregates per key of a table ranged by (keys, ...), in its order.
 
-    ``wanted`` holds (by..., rank) and is a parameter-sized table. Only the buckets that contain a
-    wanted rank are sorted; the rest of the table is only counted.
+    `aggs`: output column -> ("sum" | "max" | "or", input column). `source` is the written table that `table`
+    was made from, if its cells and keys can be read more cheaply there.
     """
-    placed = cuts.assign(df, order[0], "bucket")
-    offsets = bucket_offsets(placed, "bucket", by)
-    reaches = (F.col("rank") > F.col("bucket_offset")) & (
-        F.col("rank") <= F.col("bucket_offset") + F.col("bucket_rows")
-    )
-    if by:
-        hits = offsets.join(F.broadcast(wanted), list(by)).filter(reaches)
-    else:
-        hits = offsets.join(F.broadcast(wanted), reaches)
-    needed = hits.select(*by, "bucket", "bucket_offset").distinct()
-    inside = Window.partitionBy(*by, "bucket").orderBy(*order)
-    ranked = (
-        placed.join(F.broadcast(needed), [*by, "bucket"])
-        .withColumn("rank", (F.col("bucket_offset") + F.row_number().over(inside)).cast("long"))
-        .drop("bucket", "bucket_offset")
-    )
-    return ranked.join(F.broadcast(wanted), [*by, "rank"])
+    keys = list(keys)
+    frame = Window.partitionBy("cell", *keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    out = table.withColumns({o: MERGE[kind][0](c).over(frame) for o, (kind, c) in aggs.items()})
+    wide = spanning(source if source is not None else table, keys)
+    parts = table.join(wide, keys, "left_semi").groupBy(*keys, "cell")
+    parts = parts.agg(*[MERGE[kind][0](c).alias(o) for o, (kind, c) in aggs.items()])
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [MERGE[kind][0](o).over(before).alias(f"{o}_carry") for o, (kind, _) in aggs.items()]
+    carry = written(parts.select(*keys, "cell", *carried), "running-carry")
+    joined = out.join(carry, [*keys, "cell"], "left")
+    merged = {o: MERGE[kind][1](F.col(o), F.col(f"{o}_carry")) for o, (kind, _) in aggs.items()}
+    return joined.withColumns(merged).drop(*[f"{o}_carry" for o in aggs])
 
 
 def running(
     df: DataFrame,
-    key: str,
+    keys: Sequence[str],
     order: Sequence[Column | str],
     aggs: dict[str, tuple[str, str]],
-    split: str | None = None,
-    peers: bool = False,
+    cells: int | None = None,
 ) -> DataFrame:
-    """Running aggregates per key: ``aggs`` maps output column to ("sum" | "max", input column).
+    """Running aggregates per key, over all rows up to and including each one in `order`."""
+    return running_on(ranged(df, [*keys, *order], "running", cells), keys, aggs).drop("cell", "place")
 
-    With ``peers`` rows of equal order count for each other. With ``split``, rows of hot keys are
-    aggregated per bucket, and the aggregate of their earlier buckets is merged in; the split must
-    follow the order.
+
+def rows_at_ranks(
+    df: DataFrame, order: Sequence[str], wanted: DataFrame, by: str | None = None, cells: int | None = None
+) -> DataFrame:
+    """The rows at given 1-based ranks, of the table or of each group `by` (not null).
+
+    `wanted` holds (by, rank) and is a parameter-sized table.
     """
-    kinds = {"sum": (F.sum, lambda x, y: x + F.coalesce(y, F.lit(0))), "max": (F.max, F.greatest)}
-    frame = (Window.partitionBy(key, split) if split else Window.partitionBy(key)).orderBy(*order)
-    span = frame.rangeBetween if peers else frame.rowsBetween
-    frame = span(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumns({o: kinds[kind][0](c).over(frame) for o, (kind, c) in aggs.items()})
-    if not split:
-        return out
-    parts = (
-        df.filter(F.col(split) >= 0)
-        .groupBy(key, split)
-        .agg(*[kinds[kind][0](c).alias(o) for o, (kind, c) in aggs.items()])
-    )
-    before = Window.partitionBy(key).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.select(
-        key, split, *[kinds[kind][0](o).over(before).alias(f"{o}_carry") for o, (kind, _) in aggs.items()]
-    )
-    # One row per (hot key, bucket): at most MAX_HOT * MAX_BUCKETS small rows.
-    joined = out.join(F.broadcast(carry), [key, split], "left")
-    return joined.withColumns(
-        {o: kinds[kind][1](F.col(o), F.col(f"{o}_carry")) for o, (kind, _) in aggs.items()}
-    ).drop(*[f"{o}_carry" for o in aggs])
+    keys = [by] if by else []
+    columns = [*keys, *order]
+    dealt = df.repartitionByRange(cells, *columns) if cells else df.repartitionByRange(*columns)
+    made = numbered(dealt.sortWithinPartitions(*columns), "ranks", "rank", by, ordered=True)
+    return made.withColumn("rank", F.col("rank") + 1).join(F.broadcast(wanted), [*keys, "rank"])
 
 
 def count_before(
-    probes: DataFrame, at: str, points: DataFrame, time: str, cuts: Cuts, out: str
+    probes: DataFrame, at: str, points: DataFrame, time: str, out: str, cells: int | None = None
 ) -> DataFrame:
-    """For each probe, the number of points whose time is strictly below ``at`` (an as-of rank)."""
+    """For each probe, the number of points whose time is strictly below `at` (an as-of rank)."""
     steps = points.groupBy(time).agg(F.count(F.lit(1)).alias("n"))
     kind = probes.schema
-    moved = probes.select(
-        (F.col(at) - 1).alias("x"), F.lit(0).cast("long").alias("n"), F.struct(*kind.names).alias("row")
-    )
-    both = moved.unionByName(
-        steps.select(F.col(time).alias("x"), "n", F.lit(None).cast(kind).alias("row"))
-    )
-    placed = cuts.assign(both, "x", "bucket")
-    inside = (
-        Window.partitionBy("bucket").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = cuts.assign(points, time, "bucket")
-    carry = bucket_offsets(totals, "bucket")
-    # A probe can fall in a bucket that holds no point: look up the nearest bucket at or below it.
-    bounds = carry.select(
-        "bucket",
-        "bucket_offset",
-        (F.col("bucket_offset") + F.col("bucket_rows")).alias("upto"),
-        F.lead("bucket").over(Window.partitionBy(F.lit(0)).orderBy("bucket")).alias("next_bucket"),
-    )
-    dense = bounds.select(
-        F.explode(
-            F.sequence(F.col("bucket"), F.coalesce(F.col("next_bucket") - 1, F.lit(len(cuts.points))))
-        ).alias("b"),
-        "bucket",
-        "bucket_offset",
-        "upto",
-    ).select(
-        F.col("b").alias("bucket"),
-        F.when(F.col("b") == F.col("bucket"), F.col("bucket_offset")).otherwise(F.col("upto")).alias("base"),
+    seen = steps.select(F.col(time).alias("x"), F.lit(0).alias("side"), "n", F.lit(None).cast(kind).alias("row"))
+    asked = probes.select(
+        (F.col(at) - 1).alias("x"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("n"), F.struct(*kind.names).alias("row")
     )
-    counted = placed.withColumn("inside", F.sum("n").over(inside)).filter(F.col("row").isNotNull())
-    return (
-        counted.join(F.broadcast(dense), "bucket", "left")
-        .withColumn(out, F.coalesce("base", F.lit(0)) + F.col("inside"))
-        .select("row.*", out)
-    )
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several later steps read, where a checkpoint folder is set.
-
-    A reliable checkpoint survives lost executors; without a folder the plan is left as it is.
-    """
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df
+    table = ranged(seen.unionByName(asked), ["x", "side"], "count-before", cells)
+    chain = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = table.groupBy("cell").agg(F.sum("n").alias("n"))  # one row per cell
+    base = written(totals.select("cell", F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("base")), "count-cells")
+    inside = Window.partitionBy("cell").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    counted = table.withColumn("inside", F.sum("n").over(inside)).where("side = 1").join(base, "cell")
+    return counted.withColumn(out, F.col("base") + F.col("inside")).select("row.*", out)
 
 
 def exact_flag(condition: Column) -> Column:

@@ -2,59 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.config import DEFAULT, FlowConfig
 from flowlens.functions.measures import text_entropy
 from flowlens.functions.network import closes_flow, timeout_us, with_endpoints
-from flowlens.operators.ordering import (
-    HOT_MIN_ROWS,
-    Cuts,
-    HotKeys,
-    exact_flag,
-    global_previous,
-    global_rank,
-)
+from flowlens.operators.ordering import exact_flag, global_rank, neighbour, ranged, running_on
 
 ORDER = ["t_us", "seq"]
 
 
-@dataclass(frozen=True)
-class Shape:
-    """What was measured about a packet table; the default suits small or even data."""
-
-    time: Cuts | None = None
-    keys: HotKeys = HotKeys()
-    sources: HotKeys = HotKeys()
-
-    @staticmethod
-    def measure(
-        packets: DataFrame,
-        min_rows: int = HOT_MIN_ROWS,
-        buckets: int | None = None,
-        time: bool = True,
-    ) -> Shape:
-        """Hot flow keys and hot sources of a packet table, and (with ``time``) its time cuts.
-
-        Small tables cost one count; larger ones a pass over the key columns.
-        """
-        keys = sources = HotKeys()
-        if packets.count() > min_rows:
-            keyed = with_endpoints(packets)
-            keys = HotKeys.measure(keyed, ["flow_key"], "t_us", min_rows, buckets)
-            sources = HotKeys.measure(keyed, ["a_ip"], "t_us", min_rows, buckets)
-        cuts = Cuts.measure(packets, "t_us", buckets) if time else None
-        return Shape(cuts, keys, sources)
-
-
 def mark_flows(
-    packets: DataFrame,
-    cfg: FlowConfig = DEFAULT,
-    mode: str = "event_gap",
-    shape: Shape = Shape(),
+    packets: DataFrame, cfg: FlowConfig = DEFAULT, mode: str = "event_gap", cells: int | None = None
 ) -> DataFrame:
     """Number the flows of every key: adds flow_key, flow_no, is_new, gap_us and close.
 
@@ -64,6 +24,8 @@ def mark_flows(
     * ``event_gap``: idle time is measured between packets of the key.
     * ``replay_exact``: idle flows are only noticed when another packet arrives, so idle time runs
       from the key's previous packet to the packet just before this one in the whole capture.
+
+    Packets are dealt into ranges of (key, time), so a key's previous packet is the row before.
     """
     df = with_endpoints(packets).withColumns(
         {
@@ -72,93 +34,34 @@ def mark_flows(
         }
     )
     if mode == "replay_exact":
-        cuts = shape.time if shape.time is not None else Cuts.measure(packets, "t_us")
-        df = global_rank(df, ORDER, cuts, "ord")
-        df = global_previous(df, "t_us", ORDER, cuts, "idle_until")
+        ordered = ranged(df, ORDER, "capture-order", cells)
+        df = neighbour(ordered, ["t_us"], "just_before", -1).drop("cell", "place")
+        df = global_rank(df, ORDER, "ord", cells)
+        df = df.withColumn("idle_until", F.col("just_before.t_us")).drop("just_before")
     elif mode == "event_gap":
         df = df.withColumn("idle_until", F.col("t_us"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
 
-    df = shape.keys.split(df, ["flow_key"], "t_us")
-    split = ["split"] if shape.keys else []
-    w = Window.partitionBy("flow_key", *split).orderBy(*ORDER)
-    df = df.withColumns({"prev_t": F.lag("t_us").over(w), "prev_close": F.lag("close").over(w)})
-    if shape.keys:
-        df = _carry_previous(df)
-    df = df.withColumn(
-        "is_new",
-        exact_flag(
-            F.col("prev_t").isNull()
-            | (F.col("idle_until") - F.col("prev_t") >= F.col("tmo_us"))
-            | F.col("prev_close")
-        ),
-    )
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("flow_no", F.sum("is_new").over(running))
-    if shape.keys:
-        df = _carry_numbers(df)
-    return df.withColumn(
-        "gap_us", F.when(F.col("is_new") == 0, F.col("t_us") - F.col("prev_t"))
-    ).drop("prev_t", "prev_close", "idle_until", "tmo_us")
-
-
-def _carry_previous(df: DataFrame) -> DataFrame:
-    """Give the first packet of each hot bucket its predecessor from the bucket before."""
-    last = (
-        df.filter("split >= 0")
-        .groupBy("flow_key", "split")
-        .agg(F.max(F.struct("t_us", "seq", "close")).alias("last"))
-    )
-    chain = Window.partitionBy("flow_key").orderBy("split")
-    carry = last.select("flow_key", "split", F.lag("last").over(chain).alias("carry"))
-    return (
-        df.join(F.broadcast(carry), ["flow_key", "split"], "left")
-        .withColumns(
-            {
-                "prev_close": F.coalesce("prev_close", "carry.close"),
-                "prev_t": F.coalesce("prev_t", "carry.t_us"),
-            }
-        )
-        .drop("carry")
-    )
-
-
-def _carry_numbers(df: DataFrame) -> DataFrame:
-    """Continue the flow numbers of hot keys across buckets."""
-    opened = df.filter("split >= 0").groupBy("flow_key", "split").agg(F.sum("is_new").alias("n"))
-    before = (
-        Window.partitionBy("flow_key").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = opened.select("flow_key", "split", F.sum("n").over(before).alias("n_before"))
-    return (
-        df.join(F.broadcast(carry), ["flow_key", "split"], "left")
-        .withColumn("flow_no", F.col("flow_no") + F.coalesce("n_before", F.lit(0)))
-        .drop("n_before")
-    )
+    table = ranged(df, ["flow_key", *ORDER], "packets-by-key", cells)
+    near = neighbour(table, ["flow_key", "t_us", "close"], "prev", -1)
+    same = F.col("prev.flow_key") == F.col("flow_key")
+    prev_t = F.when(same, F.col("prev.t_us"))
+    fresh = prev_t.isNull() | (F.col("idle_until") - prev_t >= F.col("tmo_us")) | F.col("prev.close")
+    near = near.withColumns({"is_new": exact_flag(fresh), "prev_t": prev_t})
+    near = running_on(near, ["flow_key"], {"flow_no": ("sum", "is_new")}, table)
+    gap = F.when(F.col("is_new") == 0, F.col("t_us") - F.col("prev_t"))
+    return near.withColumn("gap_us", gap).drop("prev", "prev_t", "idle_until", "tmo_us", "cell", "place")
 
 
-def _weigh_history(marked: DataFrame, cfg: FlowConfig, shape: Shape) -> DataFrame:
-    """Mark the packets that count in totals and those in the capped packet history.
+def _weigh_history(marked: DataFrame, cap: int | None) -> DataFrame:
+    """Mark the packets that count in totals and those in the packet history.
 
-    Without hot keys one more pass over the same sorted window looks ``history_cap`` packets
-    ahead. With hot keys the newest packets of each flow are cut out by rank, which Spark limits
-    on the map side, and added as extra rows that count in the history only.
+    Without a cap every packet counts in both. With one, the newest packets of each flow are cut out by
+    rank, which Spark limits on the map side, and added as rows that count in the history only.
     """
-    cap = cfg.history_cap
-    if not shape.keys:
-        w = Window.partitionBy("flow_key").orderBy(*ORDER)
-
-        ahead = marked.withColumns(
-            {"at_cap": F.lead("flow_no", cap).over(w), "below_cap": F.lead("flow_no", cap - 1).over(w)}
-        )
-
-        def ended(column: str):
-            return exact_flag(F.col(column).isNull() | (F.col(column) != F.col("flow_no")))
-
-        return ahead.withColumns(
-            {"in_total": F.lit(1), "in_history": ended("at_cap"), "gap_in_history": ended("below_cap")}
-        ).drop("at_cap", "below_cap")
+    if cap is None:
+        return marked.withColumns({"in_total": F.lit(1), "in_history": F.lit(1), "gap_in_history": F.lit(1)})
     newest = Window.partitionBy("flow_key", "flow_no").orderBy(*[F.desc(c) for c in ORDER])
     tail = (
         marked.withColumn("from_end", F.row_number().over(newest))
@@ -172,9 +75,7 @@ def _weigh_history(marked: DataFrame, cfg: FlowConfig, shape: Shape) -> DataFram
         )
         .drop("from_end")
     )
-    every = marked.withColumns(
-        {"in_total": F.lit(1), "in_history": F.lit(0), "gap_in_history": F.lit(0)}
-    )
+    every = marked.withColumns({"in_total": F.lit(1), "in_history": F.lit(0), "gap_in_history": F.lit(0)})
     return every.unionByName(tail)
 
 
@@ -182,15 +83,15 @@ def build_flows(
     packets: DataFrame,
     cfg: FlowConfig = DEFAULT,
     mode: str = "event_gap",
-    shape: Shape = Shape(),
+    cells: int | None = None,
 ) -> DataFrame:
     """One row per flow with everything the features need, still in exact integer form.
 
     Two chained aggregations, by (flow, packet size) and then by flow: the first is the histogram
-    behind the size entropy. Both reuse the partitioning by flow_key that the windows made.
+    behind the size entropy. Both combine rows before they are shuffled, so a hot flow stays small.
     """
-    marked = mark_flows(packets, cfg, mode, shape)
-    rows = _weigh_history(marked, cfg, shape)
+    marked = mark_flows(packets, cfg, mode, cells)
+    rows = _weigh_history(marked, cfg.history(mode))
     if "ord" not in rows.columns:
         rows = rows.withColumn("ord", F.lit(None).cast("long"))
     counted = F.col("in_total") == 1
@@ -304,17 +205,17 @@ def lifecycle_counts(flows: DataFrame) -> DataFrame:
     )
 
 
-def dense_flow_ids(flows: DataFrame, cuts: Cuts) -> DataFrame:
+def dense_flow_ids(flows: DataFrame) -> DataFrame:
     """Replace the hash id by flow-000001, flow-000002, ... in order of creation."""
-    ranked = global_rank(flows, ["start_us", "start_seq"], cuts, "n")
+    ranked = global_rank(flows, ["start_us", "start_seq"], "n")
     return ranked.withColumn("flow_id", F.format_string("flow-%06d", "n")).drop("n")
 
 
-def peak_concurrency(flows: DataFrame, cuts: Cuts, capacity: int = 50_000) -> DataFrame:
+def peak_concurrency(flows: DataFrame, capacity: int = 50_000, cells: int | None = None) -> DataFrame:
     """Largest number of flows open at one time (first packet to last packet, both included).
 
-    Open and end events are summed per instant first; each bucket then yields its total and its
-    highest running sum, so only one row per bucket meets in the last step.
+    Open and end events are summed per instant first; each range of time then yields its total and its
+    highest running sum, so only one row per range meets in the last step.
     """
     events = flows.select(
         F.explode(
@@ -325,19 +226,15 @@ def peak_concurrency(flows: DataFrame, cuts: Cuts, capacity: int = 50_000) -> Da
         ).alias("e")
     )
     steps = events.groupBy(F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
-    placed = cuts.assign(steps, "t", "bucket")
-    inside = Window.partitionBy("bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    per_bucket = (
-        placed.withColumn("level", F.sum("d").over(inside))
-        .groupBy("bucket")
+    table = ranged(steps, ["t"], "open-flows", cells)
+    inside = Window.partitionBy("cell").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    per_cell = (
+        table.withColumn("level", F.sum("d").over(inside))
+        .groupBy("cell")
         .agg(F.sum("d").alias("total"), F.max("level").alias("top"))
     )
-    before = (
-        Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("total").over(before), F.lit(0))
-    peak = per_bucket.withColumn("level", base + F.col("top")).agg(
-        F.max("level").cast("long").alias("peak_flows")
-    )
+    peak = per_cell.withColumn("level", base + F.col("top")).agg(F.max("level").cast("long").alias("peak_flows"))
     over = F.greatest(F.col("peak_flows") - F.lit(capacity), F.lit(0)).cast("long")
     return peak.withColumns({"capacity": F.lit(capacity).cast("long"), "over_capacity": over})

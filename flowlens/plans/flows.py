@@ -11,7 +11,8 @@ from flowlens.config import DEFAULT, FlowConfig
 from flowlens.functions.network import dns_name
 from flowlens.operators.behaviour import source_behaviour
 from flowlens.operators.features import RAW_SUMS, contract_columns, with_measures
-from flowlens.operators.sessionize import Shape, build_flows, with_reason
+from flowlens.operators.sessionize import build_flows, with_reason
+from flowlens.storage import written
 
 
 def clean_packets(packets: DataFrame) -> DataFrame:
@@ -24,28 +25,25 @@ def extract_features(
     packets: DataFrame,
     cfg: FlowConfig = DEFAULT,
     replay: bool = False,
-    shape: Shape | None = None,
     keep: Sequence[str] = (),
+    cells: int | None = None,
 ) -> DataFrame:
-    """Packet table -> contract feature rows, in two shuffles (by flow key, then by source).
+    """Packet table -> contract feature rows: packets are dealt by (flow key, time), flows by (source, time).
 
     ``keep`` adds internal flow columns, such as start_us or finalize_reason. ``replay`` selects the
-    packet-by-packet semantics instead of the event-time ones. ``shape`` (hot keys and sources, time
-    cuts) is measured unless given.
+    packet-by-packet semantics instead of the event-time ones. ``cells`` sets the number of ranges.
     """
-    shape = shape if shape is not None else Shape.measure(packets, time=replay)
     packets = clean_packets(packets)
-    flows = build_flows(packets, cfg, "replay_exact" if replay else "event_gap", shape)
+    flows = build_flows(packets, cfg, "replay_exact" if replay else "event_gap", cells)
     if "finalize_reason" in keep:
         flows = with_reason(flows, packets)
+    # Measured and written once: what follows, by source, carries finished numbers and reads them again.
+    measured = written(with_measures(flows).drop(*RAW_SUMS), "measured-flows")
     mode = "replay_visible" if replay else "past_only"
-    # Measured while still spread by flow key: the next shuffle, by source, carries finished numbers.
-    measured = with_measures(flows).drop(*RAW_SUMS)
-    seen = source_behaviour(measured, cfg, shape, mode, packets if replay else None)
+    seen = source_behaviour(measured, cfg, mode, packets if replay else None, cells)
     return contract_columns(seen, keep)
 
 
 def measured_flows(packets: DataFrame, cfg: FlowConfig = DEFAULT, replay: bool = False) -> DataFrame:
-    """The flow table of a packet table, hot keys measured and split."""
-    shape = Shape.measure(packets, time=replay)
-    return build_flows(packets, cfg, "replay_exact" if replay else "event_gap", shape)
+    """The flow table of a packet table."""
+    return build_flows(packets, cfg, "replay_exact" if replay else "event_gap")

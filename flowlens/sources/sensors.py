@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.config import MICROS
 from flowlens.functions.network import protocol_of_number
+from flowlens.operators.ordering import global_rank
 
 # Field dump columns (one row per packet) -> packet columns.
 FIELD_DUMP = {
@@ -41,8 +42,8 @@ def packets_of_field_dump(raw: DataFrame) -> DataFrame:
         _micros(F.col("t_us")).alias("t_us"),
         F.col("packet_length").cast("int"),
     )
-    # Packets of equal time keep a stable order whatever file they came from.
-    return typed.withColumn("seq", F.xxhash64(*typed.columns))
+    # The rank in time, then by all fields: unique, and the same whatever file a packet came from.
+    return global_rank(typed, ["t_us", *[c for c in typed.columns if c != "t_us"]], "seq")
 
 
 def read_connection_log(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from flowlens.config import CATEGORICAL_COLUMNS
 from flowlens.functions.network import dns_name, tls_seen
-from flowlens.operators.dataset import require_known_labels
+from flowlens.operators.dataset import known_label
 from flowlens.operators.features import complete_features
+from flowlens.operators.ordering import global_rank
 
 PACKET_SCHEMA = T.StructType(
     [
@@ -65,21 +66,45 @@ FLOW_SCHEMA = T.StructType(
 )
 
 
+def _csv_headers(spark: SparkSession, path: str, names: set[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files of a CSV folder; a header is a line of names two of which are known, or all."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    fields = F.transform(F.split(F.regexp_replace("value", '["\\r]', ""), ","), F.trim)
+    known = F.size(F.array_intersect(fields, F.array(*map(F.lit, sorted(names)))))
+    heads = lines.select("file", fields.alias("fields")).where(known >= F.least(F.lit(2), F.size(fields)))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in heads.groupBy("file").agg(F.min("fields").alias("fields")).orderBy("file").collect():
+        out.setdefault(tuple(row["fields"]), []).append(row["file"])
+    return out
+
+
 def _load(spark: SparkSession, path: str, form: str, schema: T.StructType) -> DataFrame:
-    reader = spark.read
     if form == "csv":
-        # The header names the columns, so files may order or omit them.
-        names = reader.option("header", True).csv(path).columns
+        # Files may order or omit columns: each is read by its own header, then they meet by name.
         types = {f.name: f.dataType for f in schema}
-        ordered = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-        return reader.option("header", True).schema(ordered).csv(path)
+        made = None
+        for names, files in _csv_headers(spark, path, set(types)).items():
+            own = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+            part = spark.read.option("header", True).option("enforceSchema", False).schema(own).csv(files)
+            part = part.select("*", *_line_order())
+            made = part if made is None else made.unionByName(part, allowMissingColumns=True)
+        return made if made is not None else spark.createDataFrame([], schema).select("*", *_line_order(False))
     if form == "json":
-        return reader.schema(schema).json(path)
+        return spark.read.schema(schema).json(path).select("*", *_line_order())
     if form == "parquet":
-        return reader.parquet(path)
+        return spark.read.parquet(path).select("*", *_line_order())
     raise ValueError(f"unknown format {form!r}")
 
 
+LINE_ORDER = ["_file", "_block", "_line"]
+
+
+def _line_order(files: bool = True) -> list:
+    """File, start of the block and place in it of each row: the order of rows in the files."""
+    file, block = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start")) if files else (F.lit(""), F.lit(0))
+    return [file.alias("_file"), block.alias("_block"), F.monotonically_increasing_id().alias("_line")]
+
+
 def normalize_packets(packets: DataFrame) -> DataFrame:
     """The packet schema from a table that may lack the derived or optional columns."""
 
@@ -101,19 +126,22 @@ def normalize_packets(packets: DataFrame) -> DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    return normalize_packets(_load(spark, path, form, PACKET_SCHEMA))
+    return normalize_packets(_load(spark, path, form, PACKET_SCHEMA).drop(*LINE_ORDER))
 
 
 def read_flows(spark: SparkSession, path: str, form: str = "csv", labelled: bool = True) -> DataFrame:
-    """A flow feature file with all model columns filled; unknown labels are an error.
+    """A flow feature file with all model columns filled, and ``row_order`` from 1.
 
-    Where the file has a ``timestamp`` column it is the time order of later splits and sequences.
+    The order is that of ``timestamp`` where there is one, then that of the files and their lines. With
+    ``labelled`` an unknown label is an error when the label is read.
     """
     extra = [T.StructField("label", T.StringType()), T.StructField("timestamp", T.DoubleType())]
     rows = _load(spark, path, form, T.StructType(FLOW_SCHEMA.fields + extra))
+    order = (["timestamp"] if "timestamp" in rows.columns else []) + LINE_ORDER
+    rows = global_rank(rows, order, "row_order").drop(*LINE_ORDER)
     texts = [c for c in CATEGORICAL_COLUMNS if c in rows.columns]
     rows = complete_features(rows.fillna("", subset=texts))
-    return require_known_labels(rows) if labelled else rows
+    return rows.withColumn("label", known_label(F.col("label"))) if labelled else rows
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.storage import written
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -17,14 +16,6 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
-
-
 def stream_files(
     spark: SparkSession,
     path: str,
@@ -50,6 +41,43 @@ def event_time(df: DataFrame, t_us: str, lateness: str) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(F.col(t_us))).withWatermark("ts", lateness)
 
 
+def beyond_clock(timed: DataFrame, condition: Column) -> DataFrame:
+    """The rows that fulfil `condition`, filtered after the watermark has seen them all.
+
+    The condition is tied to ``ts``: a filter without it would be moved below the watermark, and rows that
+    only move the clock would never reach it.
+    """
+    return timed.filter(F.when(F.col("ts").isNotNull(), condition).otherwise(False))
+
+
+def as_files(df: DataFrame, folder: str, t_us: str, tie: str, block_s: int = 300, end: bool = True) -> str:
+    """A table as files to replay, one a block of time, each row up to one block away from its own.
+
+    Within a file rows are in no order either. ``end`` adds a last row without anything but a time, which
+    moves the watermark to the table's end. Returns the lateness that covers the disorder.
+    """
+    width = block_s * 1_000_000
+    late = width + 1_000_000
+    shift = F.pmod(F.xxhash64(tie), F.lit(width))
+    block = F.floor((F.col(t_us) + shift) / width).cast("long")
+    held = written(df.withColumn("_block", block), "replay")
+    low, high, last = held.agg(F.min("_block"), F.max("_block"), F.max(t_us)).first()
+    for k in range(low, high + 1):  # one file after the other: a stream takes the oldest first
+        part = held.where(F.col("_block") == k).drop("_block")
+        part.repartition(1).sortWithinPartitions(F.xxhash64(tie, F.lit(1))).write.mode("append").parquet(folder)
+    if end:
+        clock = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != t_us]
+        row = df.sparkSession.range(1).select(*clock, F.lit(-(-last // 1000) * 1000 + late).cast("long").alias(t_us))
+        row.select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
+    return f"{late // 1_000_000} seconds"
+
+
+def late_rows(job) -> int:
+    """Rows that a query dropped because they came behind the watermark."""
+    states = [op for p in job.recentProgress for op in p["stateOperators"]]
+    return sum(op["numRowsDroppedByWatermark"] for op in states)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Process everything that is there into a Parquet folder, then stop."""
     job = (

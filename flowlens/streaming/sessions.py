@@ -15,7 +15,7 @@ from flowlens.config import DEFAULT, FlowConfig
 from flowlens.functions.measures import text_entropy
 from flowlens.functions.network import closes_flow, timeout_us, with_endpoints
 from flowlens.shipping import ship
-from flowlens.streaming.common import event_time, run_available, use_state_store
+from flowlens.streaming.common import beyond_clock, event_time, run_available, use_state_store
 
 ship(__name__)
 
@@ -45,6 +45,28 @@ STATE = T.StructType(
         T.StructField("times", T.ArrayType(T.LongType())),
     ]
 )
+WAITING = T.StructType(
+    [
+        T.StructField("t_us", T.LongType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("a_ip", T.StringType()),
+        T.StructField("b_ip", T.StringType()),
+        T.StructField("a_port", T.IntegerType()),
+        T.StructField("b_port", T.IntegerType()),
+        T.StructField("protocol", T.StringType()),
+        T.StructField("is_forward", T.BooleanType()),
+        T.StructField("packet_length", T.IntegerType()),
+        T.StructField("close", T.BooleanType()),
+        T.StructField("dns_query_length", T.IntegerType()),
+        T.StructField("dns_entropy", T.DoubleType()),
+        T.StructField("dns_record_type", T.StringType()),
+        T.StructField("tls_sni", T.StringType()),
+    ]
+)
+WAITING_KINDS = [
+    {"long": int, "integer": int, "boolean": bool, "double": float, "string": str}[f.dataType.typeName()] for f in WAITING
+]
+STREAM_HISTORY = 65_536  # packets of an open flow whose sizes and times its state keeps, unless a cap is set
 OUTPUT = T.StructType(
     [T.StructField("flow_key", T.StringType())]
     + STATE.fields
@@ -57,22 +79,66 @@ def _optional(value):
 
 
 class FlowSessions(StatefulProcessor):
-    """State per flow key: the open flow. A timer at its last packet plus the timeout closes it."""
+    """State per flow key: the open flow, and packets that wait until the watermark has passed them.
+
+    So packets extend a flow in order of time whatever batch they come in. A timer at the flow's last
+    packet plus the timeout closes it.
+    """
 
-    def __init__(self, history_cap: int):
-        self.cap = history_cap
+    def __init__(self, history: int):
+        self.cap = history
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("flow", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.timeout = handle.getValueState("timeout", T.StructType([T.StructField("us", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packets = pd.concat(list(rows)).sort_values(["t_us", "seq"], kind="stable")
-        timeout = int(packets["tmo_us"].iloc[0])
+        packets = pd.concat(list(rows))
+        self.timeout.update((int(packets["tmo_us"].iloc[0]),))
+        columns = [[None if pd.isna(v) else t(v) for v in packets[c]] for c, t in zip(WAITING.names, WAITING_KINDS)]
+        self.waiting.appendList(list(zip(*columns)))
+        self.handle.registerTimer(self._passed(int(packets["t_us"].min())))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        timeout = self.timeout.get()[0]
         held = dict(zip(STATE.names, self.open.get())) if self.open.exists() else None
-        if held is not None:
-            self.handle.deleteTimer(self._deadline(held["last_us"], timeout))
-        times = packets["t_us"].to_numpy()
+        packets = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=WAITING.names)
+        packets = packets.sort_values(["t_us", "seq"], kind="stable")
+        ready = packets["t_us"] <= now
+        held, done = self._advance(held, packets[ready], timeout)
+        if held is not None and held["last_us"] + timeout <= now:
+            done.append((held, "timeout"))
+            held = None
+        later = packets[~ready]
+        if len(later):
+            self.waiting.put([tuple(_optional(v) for v in r) for r in later.itertuples(index=False)])
+            self.handle.registerTimer(self._passed(int(later["t_us"].iloc[0])))
+        else:
+            self.waiting.clear()
+        if held is None:
+            self.open.clear()
+        else:
+            self.open.update(tuple(held[n] for n in STATE.names))
+            self.handle.registerTimer(self._passed(held["last_us"] + timeout))
+        if done:
+            yield self._frame(key[0], done)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _passed(us: int) -> int:
+        return -(-us // 1000)
+
+    def _advance(self, held: dict | None, packets: pd.DataFrame, timeout: int) -> tuple[dict | None, list]:
+        """The open flow after packets in order of time, and the flows that ended on the way."""
+        if not len(packets):
+            return held, []
+        times = packets["t_us"].to_numpy(dtype=np.int64)
         closing = packets["close"].to_numpy(dtype=bool)
         # A packet starts a flow after a long gap or after the packet that closed the one before.
         starts = np.empty(len(times), dtype=bool)
@@ -91,26 +157,7 @@ class FlowSessions(StatefulProcessor):
             elif hi < len(times):
                 done.append((held, "timeout"))
                 held = None
-        if held is None:
-            self.open.clear()
-        else:
-            self.open.update(tuple(held[n] for n in STATE.names))
-            self.handle.registerTimer(self._deadline(held["last_us"], timeout))
-        if done:
-            yield self._frame(key[0], done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            held = dict(zip(STATE.names, self.open.get()))
-            self.open.clear()
-            yield self._frame(key[0], [(held, "timeout")])
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _deadline(last_us: int, timeout: int) -> int:
-        return -(-(last_us + timeout) // 1000)
+        return held, done
 
     def _extend(self, held: dict | None, part: pd.DataFrame) -> dict:
         """The open flow after more of its packets."""
@@ -137,9 +184,9 @@ class FlowSessions(StatefulProcessor):
                 held[name] = 0
             for name in ("a_port", "b_port"):
                 held[name] = None if held[name] is None else int(held[name])
-        size = part["packet_length"].to_numpy()
+        size = part["packet_length"].to_numpy(dtype=np.int64)
         forward = part["is_forward"].to_numpy(dtype=bool)
-        dns = part[part["dns_query_length"].notna()]
+        dns = part[pd.notna(part["dns_query_length"])]
         sni = part.loc[part["tls_sni"].notna() & (part["tls_sni"] != ""), "tls_sni"]
         held["last_us"] = max(held["last_us"], int(part["t_us"].iloc[-1]))
         held["packet_count"] += len(part)
@@ -148,7 +195,7 @@ class FlowSessions(StatefulProcessor):
         held["fwd_bytes"] += int(size[forward].sum())
         held["n_dns"] += len(dns)
         held["dns_len"] += int(dns["dns_query_length"].sum())
-        held["dns_ent"] += float(dns["dns_entropy"].sum())
+        held["dns_ent"] += float(dns["dns_entropy"].astype(float).sum())
         if len(dns):
             held["dns_record_type"] = _optional(dns["dns_record_type"].iloc[-1]) or ""
         held["n_tls"] += len(sni)
@@ -168,14 +215,18 @@ class FlowSessions(StatefulProcessor):
         return frame
 
 
-def session_stream(packets: DataFrame, cfg: FlowConfig = DEFAULT, lateness: str = "0 seconds") -> DataFrame:
+def session_stream(packets: DataFrame, lateness: str, cfg: FlowConfig = DEFAULT) -> DataFrame:
     """Finalized flows of a packet stream, in the raw form that ``finish`` completes.
 
-    Packets later than ``lateness`` behind the newest one are dropped by the watermark (their number
-    is in the query's progress). Idle flows expire by event time as the watermark advances.
+    ``lateness`` must cover how far packets come out of order; later ones are dropped by the watermark and
+    counted in the query's progress (``late_rows``). A row without addresses only moves the clock. Idle
+    flows expire by event time as the watermark advances.
     """
     use_state_store(packets.sparkSession)
-    keyed = with_endpoints(packets).select(
+    addressed = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
+    live = beyond_clock(event_time(packets, "t_us", lateness), addressed)
+    timed = with_endpoints(live).select(
+        "ts",
         "flow_key",
         "seq",
         "t_us",
@@ -193,9 +244,8 @@ def session_stream(packets: DataFrame, cfg: FlowConfig = DEFAULT, lateness: str
         "dns_record_type",
         "tls_sni",
     )
-    timed = event_time(keyed, "t_us", lateness)
     return timed.groupBy("flow_key").transformWithStateInPandas(
-        statefulProcessor=FlowSessions(cfg.history_cap),
+        statefulProcessor=FlowSessions(cfg.history_cap or STREAM_HISTORY),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
@@ -242,15 +292,17 @@ def finish(raw: DataFrame) -> DataFrame:
 
 
 def sessionize_available(
-    packets: DataFrame, folder: str, cfg: FlowConfig = DEFAULT, lateness: str = "0 seconds", flush: bool = True
+    packets: DataFrame, folder: str, lateness: str, cfg: FlowConfig = DEFAULT, flush: bool = True
 ) -> DataFrame:
     """Run a packet stream over everything available; return its flows, open ones flushed.
 
+    Packets that the watermark has not passed stay in the checkpoint: end the input with a clock row.
+
     Without ``flush`` the open flows stay in the checkpoint and a later run continues them.
     """
     spark = packets.sparkSession
     out, checkpoint = f"{folder}/flows", f"{folder}/checkpoint"
-    run_available(session_stream(packets, cfg, lateness), out, checkpoint)
+    run_available(session_stream(packets, lateness, cfg), out, checkpoint)
     done = spark.read.schema(OUTPUT).parquet(out)
     if flush:
         done = done.unionByName(open_flows(spark, checkpoint))

@@ -24,7 +24,7 @@ from flowlens.config import (
 )
 from flowlens.operators.alerts import class_bit
 from flowlens.shipping import ship
-from flowlens.streaming.common import event_time, use_state_store
+from flowlens.streaming.common import beyond_clock, event_time, use_state_store
 
 ship(__name__)
 
@@ -62,6 +62,11 @@ INCIDENTS = T.StructType(
 )
 
 
+def _passed(t_us: int) -> int:
+    """The first watermark, in milliseconds, at which no row of time t_us can come any more."""
+    return -(-t_us // 1000)
+
+
 def behaviour_events(flows: DataFrame) -> DataFrame:
     """Flows as opening and probing events: (a_ip, t_us, is_probe, flow_id, b_ip, b_port)."""
     event = F.explode(
@@ -94,14 +99,13 @@ class SourceWindow(StatefulProcessor):
             self.opens.appendList(list(zip(opened["t_us"].tolist(), opened["kind"].tolist(), opened["v"].tolist())))
         if len(asked):
             self.probes.appendList(list(zip(asked["t_us"].tolist(), asked["flow_id"].tolist())))
-            for ms in sorted({t // 1000 for t in asked["t_us"].tolist()})[-1:]:
-                self.handle.registerTimer(ms)
+            self.handle.registerTimer(_passed(int(asked["t_us"].max())))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         waiting = pd.DataFrame(list(self.probes.get()), columns=HELD_PROBES.names)
-        ready = waiting["t_us"] // 1000 <= now
+        ready = waiting["t_us"] <= now * 1000
         opens = pd.DataFrame(list(self.opens.get()), columns=HELD_OPENS.names).sort_values("t_us", kind="stable")
         out = []
         for kind in (0, 1, 2):
@@ -112,7 +116,7 @@ class SourceWindow(StatefulProcessor):
         _replace(self.opens, kept)
         _replace(self.probes, later)
         if len(later):
-            self.handle.registerTimer(int(later["t_us"].max()) // 1000)
+            self.handle.registerTimer(_passed(int(later["t_us"].max())))
         if ready.any():
             yield pd.DataFrame(
                 {
@@ -150,10 +154,13 @@ def _replace(state, frame: pd.DataFrame) -> None:
 
 
 def behaviour_stream(
-    events: DataFrame, cfg: FlowConfig = DEFAULT, lateness: str = "0 seconds", salts: int = 1
+    events: DataFrame, lateness: str, cfg: FlowConfig = DEFAULT, salts: int = 16
 ) -> DataFrame:
     """Source behaviour of each probe, once the watermark has passed it.
 
+    ``lateness`` must cover how far rows come out of order; later ones are dropped, and counted in the
+    query's progress (``late_rows``).
+
     ``salts`` spreads a source over several tasks: every value of a source lives in one of them and
     each probe asks all, so that the sums per flow_id (``combine_salts``) are exact.
     """
@@ -167,7 +174,7 @@ def behaviour_stream(
         F.sequence(F.lit(0), F.lit(salts - 1)),
         lambda s: F.struct(F.lit(-1).alias("kind"), s.cast("string").alias("v")),
     )
-    timed = event_time(events, "t_us", lateness)
+    timed = beyond_clock(event_time(events, "t_us", lateness), F.col("a_ip").isNotNull())
     long = timed.withColumn("item", F.explode(F.when(F.col("is_probe"), everywhere).otherwise(values)))
     salted = long.filter(F.col("item.v").isNotNull()).select(
         "a_ip",
@@ -194,6 +201,28 @@ def combine_salts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("flow_id").agg(*[F.sum(c).alias(c) for c in names])
 
 
+def _trailing(times: np.ndarray, bits: np.ndarray, risks: np.ndarray, window: int):
+    """Count, classes and highest risk in [t - window, t] for each of the sorted times.
+
+    Spans as long as the window: what is seen is the end of one span and the beginning of the next, so a
+    running aggregate in each direction is enough.
+    """
+    lo, hi = np.searchsorted(times, times - window, "left"), np.searchsorted(times, times, "right")
+    span = times // window
+    edges = np.flatnonzero(np.r_[True, span[1:] != span[:-1], True])
+    forward = [np.empty_like(bits), np.empty_like(risks)]
+    back = [np.empty_like(bits), np.empty_like(risks)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        for out, values, join in ((0, bits, np.bitwise_or), (1, risks, np.maximum)):
+            forward[out][a:b] = join.accumulate(values[a:b])
+            back[out][a:b] = join.accumulate(values[a:b][::-1])[::-1]
+    one = span[lo] == span  # the window starts in its own span: its other half is empty
+    last = hi - 1
+    classes = np.where(one, forward[0][last], forward[0][last] | back[0][lo])
+    risk = np.where(one, forward[1][last], np.maximum(forward[1][last], back[1][lo]))
+    return hi - lo, classes, risk
+
+
 class SourceIncidents(StatefulProcessor):
     """State per source: alerts of the last window; each is answered when the watermark passes it."""
 
@@ -208,7 +237,7 @@ class SourceIncidents(StatefulProcessor):
         batch = pd.concat(list(rows))
         columns = [batch[c].tolist() for c in HELD_ALERTS.names[:-1]]
         self.alerts.appendList([(*row, False) for row in zip(*columns)])
-        self.handle.registerTimer(int(batch["t_us"].max()) // 1000)
+        self.handle.registerTimer(_passed(int(batch["t_us"].max())))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -216,23 +245,21 @@ class SourceIncidents(StatefulProcessor):
         held = pd.DataFrame(list(self.alerts.get()), columns=HELD_ALERTS.names).sort_values("t_us", kind="stable")
         times = held["t_us"].to_numpy()
         bits, risks = held["bits"].to_numpy(), held["risk_score"].to_numpy()
-        ready = (times // 1000 <= now) & ~held["answered"].to_numpy(dtype=bool)
-        rows = []
-        for i in np.flatnonzero(ready):
-            lo = np.searchsorted(times, times[i] - self.window, side="left")
-            hi = np.searchsorted(times, times[i], side="right")
-            classes = int(np.bitwise_or.reduce(bits[lo:hi]))
-            risk = float(risks[lo:hi].max())
-            n = classes.bit_count()
-            if n >= INCIDENT_CLASSES or risk > INCIDENT_RISK:
-                names = ",".join(c for j, c in enumerate(CLASSES) if classes >> j & 1)
-                rows.append((key[0], int(held["alert_id"].iloc[i]), int(times[i]), int(hi - lo), n, names, risk))
+        ready = (times <= now * 1000) & ~held["answered"].to_numpy(dtype=bool)
+        n, classes, risk = _trailing(times, bits, risks, self.window)
+        n_classes = sum(((classes >> j) & 1 for j in range(len(CLASSES))), np.zeros(len(times), np.int64))
+        shown = np.flatnonzero(ready & ((n_classes >= INCIDENT_CLASSES) | (risk > INCIDENT_RISK)))
+        rows = [
+            (key[0], int(held["alert_id"].iloc[i]), int(times[i]), int(n[i]), int(n_classes[i]),
+             ",".join(c for j, c in enumerate(CLASSES) if int(classes[i]) >> j & 1), float(risk[i]))
+            for i in shown
+        ]
         held["answered"] = held["answered"].to_numpy(dtype=bool) | ready
         waiting = times[~held["answered"].to_numpy(dtype=bool)]
         oldest = min([now * 1000, *waiting.tolist()]) - self.window
         _replace(self.alerts, held[times >= oldest])
         if len(waiting):
-            self.handle.registerTimer(int(waiting.max()) // 1000)
+            self.handle.registerTimer(_passed(int(waiting.max())))
         if rows:
             yield pd.DataFrame(rows, columns=INCIDENTS.names).astype({"class_count": "int32"})
 
@@ -241,14 +268,19 @@ class SourceIncidents(StatefulProcessor):
 
 
 def incident_stream(
-    alerts: DataFrame, window_s: int = INCIDENT_WINDOW_SECONDS, lateness: str = "0 seconds"
+    alerts: DataFrame, lateness: str, window_s: int = INCIDENT_WINDOW_SECONDS
 ) -> DataFrame:
-    """Incidents of an alert stream (alert_id, src_ip, t_us, threat_class, risk_score)."""
+    """Incidents of an alert stream (alert_id, src_ip, t_us, threat_class, risk_score).
+
+    An alert is answered when the watermark has passed it; ``lateness`` must cover the disorder.
+    """
     use_state_store(alerts.sparkSession)
-    hostile = alerts.filter(F.col("threat_class") != "benign").select(
-        "src_ip", "t_us", "alert_id", class_bit(F.col("threat_class")).alias("bits"), "risk_score"
+    live = F.coalesce(F.col("threat_class") != "benign", F.lit(False)) & F.col("src_ip").isNotNull()
+    timed = beyond_clock(event_time(alerts, "t_us", lateness), live)
+    hostile = timed.select(
+        "ts", "src_ip", "t_us", "alert_id", class_bit(F.col("threat_class")).alias("bits"), "risk_score"
     )
-    return event_time(hostile, "t_us", lateness).groupBy("src_ip").transformWithStateInPandas(
+    return hostile.groupBy("src_ip").transformWithStateInPandas(
         statefulProcessor=SourceIncidents(window_s * MICROS),
         outputStructType=INCIDENTS,
         outputMode="Append",
@@ -257,7 +289,19 @@ def incident_stream(
 
 
 class HostSequences(StatefulProcessor):
-    """State per host: its last rows. A host idle for the time to live (event time) is forgotten."""
+    """State per host: its last rows, and rows that wait for the watermark.
+
+    A host idle for the time to live (event time) is forgotten.
+    """
+
+    WAITING = T.StructType(
+        [
+            T.StructField("t_us", T.LongType()),
+            T.StructField("tie", T.LongType()),
+            T.StructField("flow_id", T.StringType()),
+            T.StructField("x", T.ArrayType(T.DoubleType())),
+        ]
+    )
 
     def __init__(self, length: int, ttl_ms: int):
         self.length, self.ttl = length, ttl_ms
@@ -266,28 +310,41 @@ class HostSequences(StatefulProcessor):
         self.handle = handle
         row = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
         self.recent = handle.getListState("recent", row)
-        self.expiry = handle.getValueState("expiry", T.StructType([T.StructField("ms", T.LongType())]))
+        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.newest = handle.getValueState("newest", T.StructType([T.StructField("ms", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t_us", "tie"], kind="stable")
-        known = [list(r[0]) for r in self.recent.get()]
-        seen = known + [list(x) for x in batch["x"]]
-        made = []
-        for i in range(len(known), len(seen)):
-            window = seen[max(0, i - self.length + 1) : i + 1]
-            made.append([window[0]] * (self.length - len(window)) + window)
-        self.recent.put([(x,) for x in seen[-self.length :]])
-        if self.expiry.exists():
-            self.handle.deleteTimer(self.expiry.get()[0])
-        expires = int(batch["t_us"].iloc[-1]) // 1000 + self.ttl
-        self.expiry.update((expires,))
-        self.handle.registerTimer(expires)
-        yield pd.DataFrame({"flow_id": batch["flow_id"].to_numpy(), "sequence": made})
+        batch = pd.concat(list(rows))
+        self.waiting.appendList(
+            [(int(t), int(n), f, [float(v) for v in x]) for t, n, f, x in zip(*(batch[c] for c in self.WAITING.names))]
+        )
+        last = _passed(int(batch["t_us"].max()))
+        self.newest.update((max(last, self.newest.get()[0]) if self.newest.exists() else last,))
+        self.handle.registerTimer(last)
+        self.handle.registerTimer(self.newest.get()[0] + self.ttl)
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.recent.clear()
-        self.expiry.clear()
-        return iter([])
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in held if r[0] <= now * 1000]
+        later = held[len(ready) :]
+        if ready:
+            known = [list(r[0]) for r in self.recent.get()]
+            seen = known + [list(r[3]) for r in ready]
+            table = np.array(seen, dtype=float)
+            ends = np.arange(len(known), len(seen))[:, None] + np.arange(1 - self.length, 1)
+            self.recent.put([(x,) for x in seen[-self.length :]])
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer(_passed(later[-1][0]))
+            else:
+                self.waiting.clear()
+            # short histories repeat their first row
+            yield pd.DataFrame({"flow_id": [r[2] for r in ready], "sequence": table[np.maximum(ends, 0)].tolist()})
+        elif not later and self.newest.exists() and now >= self.newest.get()[0] + self.ttl:
+            self.recent.clear()
+            self.newest.clear()
 
     def close(self) -> None:
         pass
@@ -298,17 +355,20 @@ def sequence_stream(
     host: str,
     t_us: str,
     tie: str,
+    lateness: str,
     columns: Sequence[str] = tuple(FEATURE_COLUMNS),
     length: int = SEQUENCE_LENGTH,
     ttl_s: int = 86_400,
-    lateness: str = "0 seconds",
 ) -> DataFrame:
-    """(flow_id, sequence) of every flow of a stream, in arrival order."""
+    """(flow_id, sequence) of every flow of a stream, in order of time.
+
+    A host's rows wait until the watermark has passed them, so ``lateness`` must cover the disorder.
+    """
     use_state_store(flows.sparkSession)
     rows = flows.select(
         F.col(host).alias("host"),
         F.col(t_us).alias("t_us"),
-        F.col(tie).alias("tie"),
+        F.col(tie).cast("long").alias("tie"),
         "flow_id",
         F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
     )
@@ -318,7 +378,8 @@ def sequence_stream(
             T.StructField("sequence", T.ArrayType(T.ArrayType(T.DoubleType()))),
         ]
     )
-    return event_time(rows, "t_us", lateness).groupBy("host").transformWithStateInPandas(
+    live = beyond_clock(event_time(rows, "t_us", lateness), F.col("host").isNotNull())
+    return live.groupBy("host").transformWithStateInPandas(
         statefulProcessor=HostSequences(length, ttl_s * 1000),
         outputStructType=out,
         outputMode="Append",

@@ -88,3 +88,35 @@ def loop(rows, cfg):
     for k in list(active):
         finish(k, "flush")
     return out
+
+
+def labelled_flows(spark, n, seed=1):
+    """Flow rows whose size and pace tell their class: three levels of packets, three of duration."""
+    from pyspark.sql import functions as F
+
+    from flowlens.config import CLASSES
+    from flowlens.operators.dataset import class_name
+    from flowlens.sources.tables import FLOW_SCHEMA
+
+    draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1000)) / 1000.0
+    kind = (F.col("id") % len(CLASSES)).cast("int")
+    made = {
+        "flow_id": F.format_string("flow-%05d", "id"),
+        "src_ip": F.format_string("10.9.0.%d", F.col("id") % 11),
+        "dst_ip": F.lit("10.9.1.1"),
+        "protocol": F.when(kind % 2 == 0, "tcp").otherwise("udp"),
+        "packet_count": (F.pow(F.lit(8.0), kind % 3) * (2 + draw(1))).cast("long"),
+        "byte_count": (F.pow(F.lit(8.0), kind % 3) * 100 * (2 + draw(2))).cast("long"),
+        "duration": F.pow(F.lit(9.0), F.floor(kind / 3)) * (1 + draw(3)),
+        "entropy": kind * 0.5 + draw(4) * 0.2,
+        "packet_rate": (kind + 1) * 3 + draw(5),
+        "byte_rate": (7 - kind) * 500 + 100 * draw(6),
+        "avg_packet_size": (kind * 3 % 7) * 90 + 20 * draw(7),
+        "dest_fanout": (kind * 5 % 7) * 4 + F.floor(3 * draw(8)),
+        "iat_mean": (kind * 2 % 7) * 0.4 + 0.1 * draw(9),
+    }
+    columns = []
+    for field in FLOW_SCHEMA:
+        empty = F.lit("") if field.dataType.typeName() == "string" else F.lit(0)
+        columns.append(made.get(field.name, empty).cast(field.dataType).alias(field.name))
+    return spark.range(n).select(*columns, class_name(kind).alias("label"), F.col("id").alias("seq"))

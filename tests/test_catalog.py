@@ -15,7 +15,6 @@ SAMPLE = [
     "flows_replay_exact",
     "captures",
     "interval_labels",
-    "synthetic_flows",
     "theta_select",
     "baseline_comparison",
     "class_report",

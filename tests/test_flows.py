@@ -5,16 +5,14 @@ from pyspark.sql import functions as F
 from flowlens.config import FlowConfig
 from flowlens.operators.behaviour import source_behaviour
 from flowlens.operators.features import contract_check, with_measures
-from flowlens.operators.ordering import Cuts, HotKeys
-from flowlens.operators.sessionize import Shape, build_flows, dense_flow_ids, peak_concurrency, with_reason
+from flowlens.operators.ordering import running, spanning, ranged
+from flowlens.operators.sessionize import build_flows, dense_flow_ids, peak_concurrency, with_reason
 from flowlens.plans.flows import extract_features
 
 A, B = "10.0.0.1", "10.0.0.2"
 
 
-def forced(df):
-    """Shape that treats every key and source as hot."""
-    return Shape.measure(df, min_rows=1, buckets=8)
+CELLS = (None, 7)  # ranges: as the session's settings give, and so many that keys span them
 
 
 def features(spark, rows, **kw):
@@ -105,8 +103,8 @@ def test_history_cap(spark):
     rows = [(i * S, A, 1, B, 80, "TCP", 40 + i % 2 if i < 950 else 99, "A") for i in range(1000)]
     p = packets(spark, rows)
     cfg = FlowConfig(history_cap=50)
-    for shape in (Shape(), forced(p)):
-        r = with_measures(build_flows(p, cfg, shape=shape)).first()
+    for cells in CELLS:
+        r = with_measures(build_flows(p, cfg, cells=cells)).first()
         assert (r.packet_count, r.n_hist, r.n_gap, r.entropy) == (1000, 50, 49, 0.0)
 
 
@@ -128,9 +126,9 @@ def test_replay_equals_packet_loop(spark, seed, cap):
     cfg = FlowConfig(source_cap=cap)
     want = loop(rows, cfg)
     p = packets(spark, rows)
-    for shape in (Shape(Cuts.measure(p, "t_us")), forced(p)):
-        flows = with_reason(build_flows(p, cfg, "replay_exact", shape), p)
-        seen = source_behaviour(flows, cfg, shape, "replay_visible", p).collect()
+    for cells in CELLS:
+        flows = with_reason(build_flows(p, cfg, "replay_exact", cells), p)
+        seen = source_behaviour(flows, cfg, "replay_visible", p, cells).collect()
         got = {
             r.start_seq: (r.packet_count, r.finalize_reason, (r.dest_fanout, r.port_fanout, r.flow_count)) for r in seen
         }
@@ -138,39 +136,41 @@ def test_replay_equals_packet_loop(spark, seed, cap):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_hot_path_equals_plain_path(spark, seed):
+def test_ranges_do_not_change_results(spark, seed):
     p = packets(spark, random_packets(seed))
-    hot = forced(p)
-    assert hot.keys and hot.sources
-    cfg = FlowConfig(history_cap=3, source_cap=5)
-    plain = extract_features(p, cfg)
-    split = extract_features(p, cfg, shape=hot)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
+    for cfg in (FlowConfig(history_cap=3, source_cap=5), FlowConfig()):
+        few = extract_features(p, cfg, cells=1)
+        many = extract_features(p, cfg, cells=9)
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
 
 
-def test_hot_keys_are_found_exactly(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
-    hot = HotKeys.measure(df, ["k"], "t", min_rows=100, buckets=8)
-    want = df.filter("k = 7").select(F.xxhash64("k").alias("h")).first().h
-    assert hot.hashes == (want,)
-    assert not HotKeys.measure(df, ["k"], "t", min_rows=500)
+def test_one_key_spans_ranges(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    table = ranged(df.withColumn("one", F.lit(1)), ["k", "t"], "test", 8)
+    sizes = [r["count"] for r in table.groupBy("cell").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 300
+    assert [r.k for r in spanning(table, ["k"]).collect()] == [7]
+    made = running(df.withColumn("one", F.lit(1)), ["k"], ["t"], {"n": ("sum", "one"), "top": ("max", "t")}, 8)
+    assert made.where("k = 7 AND (n <> t + 1 OR top <> t)").count() == 0
+    assert made.where("k <> 7 AND n <> 1").count() == 0
 
 
-def test_flow_shuffles_packets_once(spark):
-    plan = build_flows(packets(spark, GOLDEN))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+def test_no_window_is_partitioned_by_a_bare_key(spark):
+    p = packets(spark, random_packets(5))
+    plan = extract_features(p)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("cell#" in line for line in windows)
 
 
 def test_peak_ids_and_contract(spark):
     p = packets(spark, GOLDEN)
     flows = build_flows(p)
-    cuts = Cuts.measure(p, "t_us")
-    assert peak_concurrency(flows, cuts, capacity=0).first().asDict() == {
+    assert peak_concurrency(flows, capacity=0).first().asDict() == {
         "peak_flows": 1,
         "capacity": 0,
         "over_capacity": 1,
     }
-    ids = [r.flow_id for r in dense_flow_ids(flows, cuts).orderBy("start_us").collect()]
+    ids = [r.flow_id for r in dense_flow_ids(flows).orderBy("start_us").collect()]
     assert ids == [f"flow-{i:06d}" for i in range(1, 6)]
     rows = extract_features(p)
     assert contract_check(rows).first().ok
