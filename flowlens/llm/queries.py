@@ -11,6 +11,7 @@ from flowlens.llm.langid import predict_documents
 from flowlens.llm.licenses import scan_licenses, with_paths
 from flowlens.llm.mixing import mix_table
 from flowlens.llm.neardup import Near, near_table
+from flowlens.llm.oracles import build
 from flowlens.llm.pii import personal_table
 from flowlens.llm.quality import judge_documents
 from flowlens.llm.secrets import fresh_ledger, secret_table
@@ -74,4 +75,4 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_training_order": op10_training_order,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = build()

@@ -1,60 +1,15 @@
-"""Shared folders for intermediate tables, and dense numbers for their rows."""
+"""Shared helpers of the document operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); on a local master without it, one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="checkpoints-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: later reads, also after a lost executor, see these rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from flowlens.storage import numbered, shared_folder, written
 
-
-def numbered(df: DataFrame, name: str, number: str, within: str | None = None, ordered: bool = False) -> DataFrame:
-    """Adds `number`: 0, 1, 2 ... over all rows, or over the rows of each value of `within`.
-
-    Rows are written once, in their order; a row's number is the count of rows before its file plus its
-    place in the file. No row is shuffled and no group meets in one task: only row counts per file are
-    gathered, as a table whose size Spark knows. `within` must not hold nulls; `ordered` says that each
-    partition is sorted by it already.
-    """
-    if within and not ordered:
-        df = df.sortWithinPartitions(within)
-    part = F.regexp_extract("_metadata.file_path", r"part-([0-9]+)-", 1).cast("bigint") * 100_000
-    part = part + F.regexp_extract("_metadata.file_path", r"-c([0-9]+)", 1).cast("bigint")
-    keys = [within] if within else []
-    table = written(df, name).withColumns({"_part": part, "_row": F.col("_metadata.row_index")})
-    counts = table.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    running = f"sum(_n) OVER ({'PARTITION BY ' + within if within else ''} ORDER BY _part)"
-    base = written(counts.select("_part", *keys, F.expr(f"{running} - _n - _first").alias("_base")), f"{name}-counts")
-    joined = table.join(base, ["_part", *keys])
-    return joined.withColumn(number, (F.col("_base") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_base")
+__all__ = ["numbered", "shared_folder", "unit", "written"]
 
 
 def unit(value: Column) -> Column:
     """A 64-bit hash as a number in [0, 1)."""
     return F.shiftrightunsigned(value, 11).cast("double") * F.lit(2.0**-53)
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T.StructType.fromDDL(schema))

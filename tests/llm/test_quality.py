@@ -34,8 +34,7 @@ def test_base_counts_equal_brute_force(spark):
 
 
 def test_line_rules(spark):
-    prose = "The river runs past the mill, and the miller counts. " * 1
-    body = "\n".join(f"{prose.strip()} Number {k} of many lines, said softly." for k in range(10))
+    body = "\n".join(" ".join(f"word{k}x{i}" for i in range(9)) + f", end{k}." for k in range(10))
     texts = [
         body,
         body + "\nHome | About | Contact | Help",
