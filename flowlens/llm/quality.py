@@ -14,6 +14,7 @@ hold nothing. Repeated rows get equal answers; no row depends on another one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,40 +178,41 @@ def line_rules(text: Column, rules: Rules = Rules()) -> Column:
     return F.arrow_udf(judge, RESULT)(text)
 
 
-def cleaned(text: Column, rules: Rules = Rules()) -> Column:
-    """The text without its failing lines, or null where the document is rejected."""
-
-    def clean(texts: pa.Array) -> pa.Array:
-        data, offsets = K.utf8(texts)
-        out: list[bytes | None] = []
-        for a, b in K.chunks(offsets):
-            chunk = data[offsets[a] : offsets[b]]
-            got, lines = measure(chunk, offsets[a : b + 1] - offsets[a], rules)
-            raw = chunk.tobytes()
-            for i in range(b - a):
-                first, last = lines.bounds[i], lines.bounds[i + 1]
-                if not got["kept"][i]:
-                    out.append(None)
-                elif not lines.bad[first:last].any():
-                    out.append(raw[lines.starts[first] : lines.ends[last - 1]])
-                else:
-                    keep = first + np.flatnonzero(~lines.bad[first:last])
-                    out.append(b"\n".join(raw[lines.starts[k] : lines.ends[k]] for k in keep))
-        return pa.array(out, pa.binary()).cast(pa.string())
-
-    return F.arrow_udf(clean, "string")(text)
-
-
 def judge_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id and FIELDS of every document."""
     judged = docs.select("doc_id", line_rules(F.col("text"), rules).alias("rules"))
     return judged.select("doc_id", "rules.*")
 
 
+def clean_texts(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[np.ndarray, list[bytes]]:
+    """Which documents of a chunk are kept, and the kept ones' texts without their failing lines."""
+    got, lines = measure(data, offsets, rules)
+    raw, out = data.tobytes(), []
+    for i in np.flatnonzero(got["kept"]):
+        first, last = lines.bounds[i], lines.bounds[i + 1]
+        keep = first + np.flatnonzero(~lines.bad[first:last])
+        if len(keep) == last - first:
+            out.append(raw[lines.starts[first] : lines.ends[last - 1]])
+        else:
+            out.append(b"\n".join(raw[lines.starts[k] : lines.ends[k]] for k in keep))
+    return got["kept"], out
+
+
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with their failing lines removed; columns as before, `n_chars` follows the text."""
-    text = cleaned(F.col("text"), rules)
-    kept = docs.withColumn("text", text).where(F.col("text").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            data, offsets = K.utf8(batch.column(at))
+            for a, b in K.chunks(offsets):
+                kept, texts = clean_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], rules)
+                part = batch.slice(a, b - a).filter(pa.array(kept))
+                columns = part.columns
+                columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    kept = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept
