@@ -7,13 +7,16 @@ Jaccard similarity of `percent` or more; groups are the connected components of
 * Equal sets are one class from the start, so copies never meet in a bucket.
 * Tensored banding: two small collections of `side` bands each, `rows` minhashes a band, give side * side
   tables keyed by a pair of bands (one of either collection) from only 2 * side * rows minhashes. A pair of
-  similarity s is found in some table with probability (1 - (1 - s^rows)^side)^2: above 0.9998 at 0.85.
-* A class stays in the search only if it shares a band of either collection with another class; pair keys are
-  formed for those alone.
-* A bucket of up to `small` classes compares its classes with one another. A larger one is split by a second
-  pair of bands into finer tables, which keep a similar pair together with a probability of about 0.9995; a
-  bucket that is large even there compares its members with three of its classes, picked by a hash that
-  differs by table, so each class of a large group meets dozens of others.
+  similarity s is found in some table with probability (1 - (1 - s^rows)^side)^2: 0.99998 at 0.85 and 0.9996
+  at 0.8, but 0.008 at 0.2, as between texts that share a passage.
+* Pair keys are formed of bands that a class shares with another class, so most classes form few or none.
+* A bucket of up to `small` classes compares those with one another whose set sizes allow the similarity. In a
+  larger one all are compared with one class, picked by a hash that differs by table, so each class of a large
+  group meets dozens of others.
+* The classes of large buckets that still hold several groups are looked at again, exactly: similar sets share
+  one of their first shingles, rare ones first (`prefixes`), so these are compared across groups where they share
+  one. Where more than `small` classes share a shingle, they are compared with a picked one, and up to `few`
+  classes outside its group with all of them.
 * Candidates first compare all their minhashes; those with `agree` or more equal ones are confirmed by the
   exact intersection of their whole sets (as 64-bit hashes).
 
@@ -25,6 +28,7 @@ component and nothing kept. Repeated rows share their component. An empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,80 +48,93 @@ ship(__name__)
 class Near:
     words: int = 5
     percent: int = 80
-    side: int = 8
-    rows: int = 2
-    small: int = 64
-    agree: int = 14  # of 2 * side * rows; a pair at 0.8 has fewer with a probability under 1e-5
+    side: int = 12
+    rows: int = 3
+    small: int = 8
+    few: int = 16
+    agree: int = 40  # of 2 * side * rows; a pair at 0.8 has fewer with a probability of about 1e-6
 
     @property
     def hashes(self) -> int:
         return 2 * self.side * self.rows
 
 
-SKETCH = "n_shingles: bigint, node: bigint, minima: binary, bands: array<bigint>"
+SKETCH = "n_shingles bigint, node bigint, minima binary, bands array<bigint>"
 
 
-def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    data, offsets = K.utf8(texts)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a chunk."""
+    words = K.Words(data, offsets)
+    hashes = words.hashes(True)
+    keys, _, doc = K.shingles(words, hashes, size)
+    bounds = np.searchsorted(doc, np.arange(len(offsets)))
     out: list[np.ndarray] = []
-    for a, b in K.chunks(offsets):
-        words = K.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        hashes = words.hashes(True)
-        keys, _, doc = K.shingles(words, hashes, size)
-        bounds = np.searchsorted(doc, np.arange(b - a + 1))
-        for i in range(b - a):
-            if words.counts[i] >= size:
-                out.append(np.unique(keys[bounds[i] : bounds[i + 1]]))
-            else:
-                part = hashes[words.bounds[i] : words.bounds[i + 1]]
-                whole = (part * K.SLOT_CODE[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))
-                out.append(K.mix(np.array([whole], np.uint64)) if len(part) else np.zeros(0, np.uint64))
+    for i, n in enumerate(words.counts):
+        if n >= size:
+            out.append(np.unique(keys[bounds[i] : bounds[i + 1]]))
+        else:
+            part = hashes[words.bounds[i] : words.bounds[i + 1]]
+            whole = (part * K.SLOT_CODE[: len(part)]).sum(dtype=np.uint64) + np.uint64(len(part))
+            out.append(K.mix(np.array([whole], np.uint64)) if n else np.zeros(0, np.uint64))
     return out
 
 
-def _sketch(near: Near, texts: pa.Array) -> pa.Array:
+def _by_chunk(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Small slices of the batches with the shingle sets of their texts."""
+    for batch in batches:
+        data, offsets = K.utf8(batch.column("text"))
+        for a, b in K.chunks(offsets):
+            part = data[offsets[a] : offsets[b]]
+            yield batch.slice(a, b - a), shingle_sets(part, offsets[a : b + 1] - offsets[a], near.words)
+
+
+def _sketched(near: Near, sets: list[np.ndarray]) -> list[pa.Array]:
+    """Set size, class id (null: empty set), minhashes (32 bits each) and band hashes of each set."""
     seeds = np.random.RandomState(97).randint(0, 2**63, (2, near.hashes), dtype=np.uint64)
     factors = seeds[1] * np.uint64(2) + np.uint64(1)
-    sets = shingle_sets(texts, near.words)
     count = np.array([len(s) for s in sets], np.int64)
     filled = np.flatnonzero(count)
     minima = np.zeros((len(sets), near.hashes), np.uint64)
-    # sets of about a chunk at a time, so that what the hashes need stays small
-    at = np.concatenate(([0], np.cumsum(count[filled])))
-    for a, b in K.chunks(at, K.CHUNK_BYTES // 8) if len(filled) else ():
-        values = np.concatenate([sets[i] for i in filled[a:b]])
-        first = at[a:b] - at[a]
+    if len(filled):
+        values = np.concatenate([sets[i] for i in filled])
+        first = np.concatenate(([0], np.cumsum(count[filled])[:-1]))
         for k in range(near.hashes):
-            minima[filled[a:b], k] = np.minimum.reduceat((values ^ seeds[0, k]) * factors[k], first)
+            minima[filled, k] = np.minimum.reduceat((values ^ seeds[0, k]) * factors[k], first)
     node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
     bands = np.zeros((len(sets), 2 * near.side), np.uint64)
     for j in range(near.rows):
         bands = K.mix(bands + minima[:, j :: near.rows] * K.SLOT_CODE[j])
     small = K.mix(minima).astype(np.uint32)
-    flat = pa.array(bands.view(np.int64).ravel())
     step = np.arange(len(sets) + 1, dtype=np.int32) * (2 * near.side)
-    return pa.StructArray.from_arrays(
-        [
-            pa.array(count),
-            pa.array(node, mask=count == 0),
-            pa.array([row.tobytes() for row in small], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(step), flat),
-        ],
-        ["n_shingles", "node", "minima", "bands"],
-    )
+    return [
+        pa.array(count),
+        pa.array(node, mask=count == 0),
+        pa.array([row.tobytes() for row in small], pa.binary()),
+        pa.ListArray.from_arrays(pa.array(step), pa.array(bands.view(np.int64).ravel())),
+    ]
+
+
+def sketches(docs: DataFrame, near: Near) -> DataFrame:
+    """doc_id, _row and SKETCH of each row of docs (doc_id, _row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _by_chunk(batches, near):
+            columns = [part.column("doc_id"), part.column("_row"), *_sketched(near, sets)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_row", "n_shingles", "node", "minima", "bands"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row bigint, {SKETCH}")
 
-def sketch(text: Column, near: Near) -> Column:
-    """Set size, class id (null: empty set), minhashes (32 bits each) and band hashes of each text."""
-    return F.arrow_udf(lambda texts: _sketch(near, texts), SKETCH)(text)
 
+def whole_sets(texts: DataFrame, near: Near) -> DataFrame:
+    """(node, set): the shingle hashes of (node, text) rows, sorted, as bytes."""
 
-def shingle_hashes(text: Column, near: Near) -> Column:
-    def hashes(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(texts, near.words)], pa.binary())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _by_chunk(batches, near):
+            bodies = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("node"), bodies], ["node", "set"])
 
-    return F.arrow_udf(hashes, "binary")(text)
+    return texts.select("node", "text").mapInArrow(run, "node bigint, set binary")
 
 
 def equal_minima(x: Column, y: Column) -> Column:
@@ -144,67 +161,127 @@ def common(x: Column, y: Column) -> Column:
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """(key, node, n) with the bucket's count and three of its nodes, for buckets of two nodes or more."""
-    salt = [F.xxhash64("key", F.lit(k)) for k in range(3)]
-    picks = [F.min(F.col("node").bitwiseXOR(s)).bitwiseXOR(s) for s in salt]
-    found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.array(*picks).alias("picks"))
+    """The rows of `keyed` in buckets of two nodes or more, with the bucket's count and one node picked by a hash."""
+    salt = F.xxhash64("key")
+    pick = F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt).alias("pick")
+    found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), pick)
     return keyed.join(found.where("count > 1"), "key")
 
 
-def pairs_of(members: DataFrame) -> DataFrame:
-    """(x, y), x < y, of the members of small buckets: each bucket's list of at most `small` nodes."""
-    listed = members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+def fits(near: Near, x: str, y: str) -> str:
+    """Do the set sizes allow the similarity?"""
+    return f"100 * least({x}, {y}) >= {near.percent} * greatest({x}, {y})"
+
+
+def pairs_of(members: DataFrame, near: Near, apart: str = "true") -> DataFrame:
+    """(x, y), x < y, of the members of small buckets: each bucket lists at most `small` nodes."""
+    columns = [c for c in ("node", "n_shingles", "label") if c in members.columns]
+    listed = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("nodes"))
     first = listed.select("nodes", F.posexplode("nodes").alias("at", "x"))
-    return first.select("x", F.explode(F.expr("slice(nodes, at + 2, size(nodes))")).alias("y"))
+    later = f"filter(slice(nodes, at + 2, size(nodes)), y -> {fits(near, 'x.n_shingles', 'y.n_shingles')} AND {apart})"
+    return first.select("x.node", F.expr(f"explode({later})").alias("y")).selectExpr("node AS x", "y.node AS y")
+
+
+def ordered_pairs(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("x"), F.greatest(one, two).alias("y")]
 
 
-def stars_of(members: DataFrame) -> DataFrame:
-    pair = members.select("node", F.explode("picks").alias("pick")).where("node <> pick")
-    return pair.select(F.least("node", "pick").alias("x"), F.greatest("node", "pick").alias("y"))
+def tables(live: DataFrame) -> DataFrame:
+    """A row for each pair of a shared band of the one collection and one of the other: key, node, n_shingles, i, j."""
+    keyed = live.select("node", "n_shingles", "bands", F.explode("low").alias("i"), "high")
+    keyed = keyed.select("node", "n_shingles", "bands", "i", F.explode("high").alias("j"))
+    return keyed.select(F.expr("xxhash64(i, j, bands[i], bands[j])").alias("key"), "node", "n_shingles", "i", "j")
 
 
-def candidates(classes: DataFrame, near: Near) -> DataFrame:
-    """Distinct pairs of class ids that meet in a table."""
-    side = near.side
+def shared_bands(classes: DataFrame, near: Near) -> DataFrame:
+    """Classes that share a band of either collection with another class, and which bands they share (low, high)."""
     banded = classes.select("node", F.posexplode("bands").alias("at", "band"))
-    banded = banded.select("node", (F.col("at") >= side).cast("int").alias("half"), F.xxhash64("at", "band").alias("key"))
+    banded = banded.select("node", "at", F.xxhash64("at", "band").alias("key"))
     often = banded.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("key")
-    shared = banded.join(often, "key").groupBy("node").agg(F.min("half").alias("low"), F.max("half").alias("high"))
-    shared = shared.where("low < high").select("node")
-    live = written(classes.select("node", "bands").join(shared, "node"), "near-live")
-    i, j = F.explode(F.sequence(F.lit(0), F.lit(side - 1))), F.explode(F.sequence(F.lit(side), F.lit(2 * side - 1)))
-    keyed = live.withColumn("i", i).withColumn("j", j)
-    keyed = keyed.withColumn("key", F.expr("xxhash64(i, j, bands[i], bands[j])"))
-    met = written(buckets(keyed.select("key", "node", "i", "j")), "near-buckets")
-    large = met.where(F.col("count") > near.small).select("key", "node", "i", "j")
-    finer = large.join(live, "node").withColumn("k", i).withColumn("l", j).where("k <> i AND l <> j")
-    finer = finer.withColumn("key", F.expr("xxhash64(key, k, l, bands[k], bands[l])"))
-    again = written(buckets(finer.select("key", "node")), "near-finer")
-    found = pairs_of(met.where(F.col("count") <= near.small))
-    found = found.unionByName(pairs_of(again.where(F.col("count") <= near.small)))
-    found = found.unionByName(stars_of(again.where(F.col("count") > near.small)))
-    found = found.unionByName(stars_of(met.where(F.col("count") > near.small)))
-    return found.distinct()
+    met = banded.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    met = met.select("node", F.expr(f"filter(at, a -> a < {near.side})").alias("low"), F.expr(f"filter(at, a -> a >= {near.side})").alias("high"))
+    met = met.where("size(low) > 0 AND size(high) > 0")
+    return classes.select("node", "n_shingles", "bands").join(met, "node")
 
 
-def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """(x, y) of classes whose whole sets are similar enough; docs has node and text."""
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """(x, y) of the pairs whose whole sets are similar enough; docs has _row and text."""
     slim = classes.select("node", "n_shingles", "minima")
     one = slim.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
     two = slim.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
-    sized = candidates(classes, near).join(one, "x").join(two, "y")
-    sized = sized.where(100 * F.least("nx", "ny") >= near.percent * F.greatest("nx", "ny"))
+    sized = pairs.join(one, "x").join(two, "y").where(fits(near, "nx", "ny"))
     likely = sized.where(equal_minima(F.col("mx"), F.col("my")) >= near.agree).select("x", "y", "nx", "ny")
     likely = written(likely, "near-likely")
     wanted = likely.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     keepers = written(classes.select("node", "keeper").join(wanted, "node"), "near-keepers")
     keyed = docs.select("text", F.col("_row").alias("keeper"))
     texts = keyed.join(keepers, "keeper").dropDuplicates(["keeper", "node"])
-    sets = written(texts.select("node", shingle_hashes(F.col("text"), near).alias("set")), "near-sets")
+    sets = written(whole_sets(texts, near), "near-sets")
     both = likely.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
     both = both.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
     both = both.withColumn("both", common(F.col("sx"), F.col("sy")))
-    return both.where(100 * F.col("both") >= near.percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+    alike = 100 * F.col("both") >= near.percent * (F.col("nx") + F.col("ny") - F.col("both"))
+    return written(both.where(alike).select("x", "y"), "near-links")
+
+
+def prefixes(nodes: DataFrame, docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """(key, node, n_shingles): the shingles of which similar sets must share one, for the given nodes.
+
+    With shingles in one order, two sets of that similarity share one of their first n - ceil(n * percent / 100)
+    + 1. Rare shingles come first, so texts that share a passage and little else do not meet.
+    """
+    keepers = written(classes.select("node", "keeper", "n_shingles").join(nodes, "node"), "near-open-keepers")
+    texts = docs.select("text", F.col("_row").alias("keeper")).join(keepers, "keeper").dropDuplicates(["keeper", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _by_chunk(batches, near):
+            size = np.array([len(x) for x in sets], np.int64)
+            node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), size)
+            key = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(size, size)), pa.array(key)], ["node", "n_shingles", "key"])
+
+    held = written(texts.select("node", "text").mapInArrow(run, "node bigint, n_shingles bigint, key bigint"), "near-shingles")
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    ranked = held.join(counts, "key", "left").groupBy("node", "n_shingles")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "key"))).alias("all"))
+    first = f"slice(all, 1, n_shingles - (n_shingles * {near.percent} + 99) div 100 + 1)"
+    out = ranked.select("node", "n_shingles", F.expr(f"explode({first})").alias("e")).where("e.count > 1")
+    return out.select("e.key", "node", "n_shingles")
+
+
+def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """(x, y) of similar classes, enough of them to join every group; docs has _row and text."""
+    live = written(shared_bands(classes, near), "near-live")
+    met = written(buckets(tables(live)), "near-buckets")
+    found = pairs_of(met.where(F.col("count") <= near.small), near)
+    large = met.where(F.col("count") > near.small)
+    found = found.unionByName(large.where("node <> pick").select(*ordered_pairs("node", "pick")))
+    first = confirmed(found.distinct(), docs, classes, near)
+    if large.isEmpty():
+        return first
+    roots = components(first)
+    roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-roots")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+    mixed = labelled(large.select("key", "node")).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = mixed.where("low < high").select("key")
+    nodes = written(large.join(mixed, "key").select("node").distinct(), "near-open")
+    if nodes.isEmpty():
+        return first
+    again = written(labelled(buckets(prefixes(nodes, docs, classes, near))), "near-prefixes")
+    more = pairs_of(again.where(F.col("count") <= near.small), near, "x.label <> y.label")
+    wide = again.where(F.col("count") > near.small)
+    picked = wide.where("node = pick").select("key", F.col("label").alias("main"))
+    wide = written(wide.join(picked, "key"), "near-wide")
+    more = more.unionByName(wide.where("label <> main").select(*ordered_pairs("node", "pick")))
+    odd = wide.where("label <> main").groupBy("key").agg(F.count(F.lit(1)).alias("odd")).where(F.col("odd") <= near.few)
+    out = wide.where("label <> main").join(odd, "key").select("key", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("n_shingles").alias("on"))
+    against = out.join(wide.select("key", "node", "label", "n_shingles"), "key")
+    against = against.where(f"label <> ol AND {fits(near, 'on', 'n_shingles')}").select(*ordered_pairs("o", "node"))
+    second = confirmed(more.unionByName(against).distinct(), docs, classes, near)
+    return first.unionByName(second)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,10 +306,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document."""
+    """(doc_id, _row, n_shingles, root, component_id) for every document; root is null for an empty set."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
-    signed = keyed.select("doc_id", "_row", sketch(F.col("text"), near).alias("s"))
-    signed = written(signed.select("doc_id", "_row", "s.*"), "near-sketches")
+    signed = written(sketches(keyed, near), "near-sketches")
     full = signed.where("node IS NOT NULL")
     # one row stands for its class; any may, as all have the same set
     first = full.groupBy("node").agg(F.min("_row").alias("keeper"), F.min("doc_id").alias("least_id"))
@@ -243,13 +319,29 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = classes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = written(named.select("node", "root").join(ids, "root").select("node", "component_id"), "near-labels")
-    empty = signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "node").join(labels, "node")
-    return out.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    labels = written(named.select("node", "root").join(ids, "root"), "near-labels")
+    columns = ["doc_id", "_row", "n_shingles", "root", "component_id"]
+    out = full.join(labels, "node").select(*columns)
+    empty = signed.where("node IS NULL")
+    empty = empty.withColumns({"root": F.lit(None).cast("bigint"), "component_id": F.col("doc_id")})
+    return out.unionByName(empty.select(*columns))
 
 
 def near_table(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return grouped(docs, near).withColumn("kept", kept)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return grouped(docs, near).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def keep_one_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """One document of each group, whole; same columns.
+
+    It is the one with the least id (null last). A document with an empty set is a group of its own; a repeated
+    row stays once.
+    """
+    named = grouped(docs, near)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")
+    kept = named.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first")).select("first._row")
+    kept = written(kept.unionByName(named.where("root IS NULL").select("_row").distinct()), "near-kept")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return keyed.join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
