@@ -204,19 +204,26 @@ def shared_bands(classes: DataFrame, near: Near) -> DataFrame:
     return classes.select("node", "n_shingles", "bands").join(met, "node")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """(x, y) of the pairs whose whole sets are similar enough; docs has _row and text."""
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """(node, set) of the given nodes, written; docs has _row and text."""
+    keepers = written(classes.select("node", "keeper").join(nodes, "node"), "near-keepers")
+    texts = docs.select("text", F.col("_row").alias("keeper")).join(keepers, "keeper")
+    return written(whole_sets(texts.dropDuplicates(["keeper", "node"]), near), "near-sets")
+
+
+def confirmed(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, near: Near, sets: DataFrame | None = None
+) -> DataFrame:
+    """(x, y) of the pairs whose whole sets are similar enough; `sets`, if given, has those of all pairs."""
     slim = classes.select("node", "n_shingles", "minima")
     one = slim.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
     two = slim.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
     sized = pairs.join(one, "x").join(two, "y").where(fits(near, "nx", "ny"))
     likely = sized.where(equal_minima(F.col("mx"), F.col("my")) >= near.agree).select("x", "y", "nx", "ny")
     likely = written(likely, "near-likely")
-    wanted = likely.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    keepers = written(classes.select("node", "keeper").join(wanted, "node"), "near-keepers")
-    keyed = docs.select("text", F.col("_row").alias("keeper"))
-    texts = keyed.join(keepers, "keeper").dropDuplicates(["keeper", "node"])
-    sets = written(whole_sets(texts, near), "near-sets")
+    if sets is None:
+        wanted = likely.select(F.col("x").alias("node")).unionByName(likely.select(F.col("y").alias("node"))).distinct()
+        sets = sets_of(wanted, docs, classes, near)
     both = likely.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
     both = both.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
     both = both.withColumn("both", common(F.col("sx"), F.col("sy")))
@@ -224,23 +231,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, near: Near)
     return written(both.where(alike).select("x", "y"), "near-links")
 
 
-def prefixes(nodes: DataFrame, docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """(key, node, n_shingles): the shingles of which similar sets must share one, for the given nodes.
+def prefixes(sets: DataFrame, near: Near) -> DataFrame:
+    """(key, node, n_shingles): the shingles of which similar sets must share one.
 
     With shingles in one order, two sets of that similarity share one of their first n - ceil(n * percent / 100)
     + 1. Rare shingles come first, so texts that share a passage and little else do not meet.
     """
-    keepers = written(classes.select("node", "keeper", "n_shingles").join(nodes, "node"), "near-open-keepers")
-    texts = docs.select("text", F.col("_row").alias("keeper")).join(keepers, "keeper").dropDuplicates(["keeper", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _by_chunk(batches, near):
-            size = np.array([len(x) for x in sets], np.int64)
-            node = np.repeat(part.column("node").to_numpy(zero_copy_only=False), size)
-            key = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(size, size)), pa.array(key)], ["node", "n_shingles", "key"])
+        for batch in batches:
+            for node, body in zip(batch.column("node").to_pylist(), batch.column("set")):
+                key = np.frombuffer(body.as_py(), np.int64)
+                same = [pa.array(np.full(len(key), v, np.int64)) for v in (node, len(key))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(key)], ["node", "n_shingles", "key"])
 
-    held = written(texts.select("node", "text").mapInArrow(run, "node bigint, n_shingles bigint, key bigint"), "near-shingles")
+    held = written(sets.mapInArrow(run, "node bigint, n_shingles bigint, key bigint"), "near-shingles")
     counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     ranked = held.join(counts, "key", "left").groupBy("node", "n_shingles")
     ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "key"))).alias("all"))
@@ -270,7 +275,8 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     nodes = written(large.join(mixed, "key").select("node").distinct(), "near-open")
     if nodes.isEmpty():
         return first
-    again = written(labelled(buckets(prefixes(nodes, docs, classes, near))), "near-prefixes")
+    sets = sets_of(nodes, docs, classes, near)
+    again = written(labelled(buckets(prefixes(sets, near))), "near-prefixes")
     more = pairs_of(again.where(F.col("count") <= near.small), near, "x.label <> y.label")
     wide = again.where(F.col("count") > near.small)
     picked = wide.where("node = pick").select("key", F.col("label").alias("main"))
@@ -280,7 +286,7 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     out = wide.where("label <> main").join(odd, "key").select("key", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("n_shingles").alias("on"))
     against = out.join(wide.select("key", "node", "label", "n_shingles"), "key")
     against = against.where(f"label <> ol AND {fits(near, 'on', 'n_shingles')}").select(*ordered_pairs("o", "node"))
-    second = confirmed(more.unionByName(against).distinct(), docs, classes, near)
+    second = confirmed(more.unionByName(against).distinct(), docs, classes, near, sets)
     return first.unionByName(second)
 
 
