@@ -66,7 +66,9 @@ def test_edge_documents_pass_through(spark, tmp_path):
     docs.limit(0).selectExpr("doc_id AS item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
     stages = held_stages(spark, docs, str(tmp_path), f"{tmp_path}/out")
     assert all(set(s.columns) == set(docs.columns) for s in stages[:-1])
-    assert stages[0].count() == 6 and stages[1].count() == 5
+    first = [(r.doc_id, r.text) for r in stages[0].collect()]
+    groups = {least for _, _, least in brute(first, Near())}
+    assert len(first) == 6 and {r.doc_id for r in stages[1].collect()} == groups == {1}
     none = held_stages(spark, spark.createDataFrame([], SCHEMA), str(tmp_path), f"{tmp_path}/none")
     assert [s.count() for s in none] == [0] * 5
 
