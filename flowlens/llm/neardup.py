@@ -15,8 +15,8 @@ Jaccard similarity of `percent` or more; groups are the connected components of
   group meets dozens of others.
 * The classes of large buckets that still hold several groups are looked at again, exactly: similar sets share
   one of their first shingles, rare ones first (`prefixes`), so these are compared across groups where they share
-  one. Where more than `small` classes share a shingle, they are compared with a picked one, and up to `few`
-  classes outside its group with all of them.
+  one. Where more than `small` classes share a shingle, they are dealt into blocks of about `block`, and every two
+  blocks are compared in a task: all classes outside the largest group there with one another and with that group.
 * Candidates first compare all their minhashes; those with `agree` or more equal ones are confirmed by the
   exact intersection of their whole sets (as 64-bit hashes).
 
@@ -51,7 +51,7 @@ class Near:
     side: int = 12
     rows: int = 3
     small: int = 8
-    few: int = 16
+    block: int = 512
     agree: int = 40  # of 2 * side * rows; a pair at 0.8 has fewer with a probability of about 1e-6
 
     @property
@@ -146,6 +146,15 @@ def equal_minima(x: Column, y: Column) -> Column:
     return F.arrow_udf(count, "bigint")(x, y)
 
 
+def brief_minima(minima: Column) -> Column:
+    """The low byte of each minhash."""
+
+    def cut(rows: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(v.as_py(), np.uint32).astype(np.uint8).tobytes() for v in rows], pa.binary())
+
+    return F.arrow_udf(cut, "binary")(minima)
+
+
 def common(x: Column, y: Column) -> Column:
     """Size of the intersection of two sorted sets of 64-bit hashes."""
 
@@ -254,6 +263,83 @@ def prefixes(sets: DataFrame, near: Near) -> DataFrame:
     return out.select("e.key", "node", "n_shingles")
 
 
+def wide_pairs(wide: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """(x, y) of different labels, likely similar, of wide keys; every such pair is looked at.
+
+    Keys with the same classes are one key. Those outside the most frequent label of a key are dealt into `outs`
+    blocks, the others into `ins` more; each two blocks of which one is outside meet in a task, which compares sizes
+    and a byte of each minhash (so no pair has fewer equal ones than by the whole minhashes).
+    """
+    same = ["one", "two", "count"]
+    codes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(c) for i, c in enumerate(same[:2])]
+    per_label = wide.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), *codes)
+    keys = per_label.groupBy("key").agg(
+        F.sum("n").alias("count"), F.max(F.struct("n", "label")).alias("most"), *[F.bit_xor(c).alias(c) for c in same[:2]]
+    )
+    keys = keys.where("most.n < count").groupBy(*same).agg(F.min(F.struct("key", "most")).alias("k"))
+    blocks = [f"CAST(ceil({n} / {near.block}) AS INT) AS {c}" for n, c in (("(count - k.most.n)", "outs"), ("k.most.n", "ins"))]
+    keys = written(keys.selectExpr("k.key", "k.most.label AS main", *blocks), "near-wide-keys")
+    briefs = classes.select("node", brief_minima(F.col("minima")).alias("brief"))
+    rows = wide.select("key", "node", "n_shingles", "label").join(keys, "key").join(briefs, "node")
+    own = "IF(label = main, outs + pmod(xxhash64(node, 7), ins), pmod(xxhash64(node, 7), outs))"
+    rows = rows.withColumn("own", F.expr(f"CAST({own} AS INT)"))
+    rows = rows.withColumn("other", F.expr("explode(sequence(0, IF(label = main, outs, outs + ins) - 1))"))
+    rows = rows.select("key", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "n_shingles", "label", "brief")
+    rows = rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+
+    def likely(part: pa.Table) -> pa.RecordBatch:
+        own, node, size, label = (part.column(c).to_numpy() for c in ("own", "node", "n_shingles", "label"))
+        brief = np.frombuffer(b"".join(part.column("brief").to_pylist()), np.uint8).reshape(len(own), -1)
+        a = np.flatnonzero(own == part.column("u")[0].as_py())
+        b = np.flatnonzero(own == part.column("v")[0].as_py())
+        equal = np.zeros((len(a), len(b)), np.uint16)
+        for one, two in zip(np.ascontiguousarray(brief[a].T), np.ascontiguousarray(brief[b].T)):
+            equal += one[:, None] == two
+        small, big = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
+        i, j = np.nonzero((equal >= near.agree) & (label[a][:, None] != label[b]) & (100 * small >= near.percent * big))
+        x, y = node[a[i]], node[b[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            ids = np.stack([table.column(c).to_numpy() for c in ("key", "u", "v")])
+            starts = np.concatenate(([0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1))
+            for start, end in zip(starts[:-1], starts[1:]):
+                yield likely(table.slice(start, end - start))
+            held = table.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield likely(held)
+
+    return written(rows.mapInArrow(run, "x bigint, y bigint").distinct(), "near-wide-pairs")
+
+
+def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """(x, y) of the pairs whose sets are similar enough; each set goes to a task once for all its pairs there."""
+    nodes, size = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("set")), F.lit(0))).first()
+    n = 1 + max(nodes // near.block, size >> 24)
+    of = lambda c: f"CAST(pmod(xxhash64({c}, 11), {n}) AS INT)"
+    placed = pairs.selectExpr("x", "y", f"{of('x')} AS u", f"{of('y')} AS v")
+    needed = placed.select("u", "v", F.explode(F.array("x", "y")).alias("node")).distinct()
+    needed = needed.join(sets, "node").select(F.col("u").alias("p"), F.col("v").alias("q"), "node", "set")
+
+    def alike(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        bodies = zip(sets.column("node").to_pylist(), sets.column("set").to_pylist())
+        held = {node: np.frombuffer(body, np.uint64) for node, body in bodies}
+        x, y = pairs.column("x").to_pylist(), pairs.column("y").to_pylist()
+        keep = np.zeros(len(x), bool)
+        for i, (one, two) in enumerate(zip(x, y)):
+            a, b = held[one], held[two]
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            keep[i] = 100 * both >= near.percent * (len(a) + len(b) - both)
+        return pairs.select(["x", "y"]).filter(pa.array(keep))
+
+    grouped = placed.groupBy("u", "v").cogroup(needed.groupBy("p", "q"))
+    return written(grouped.applyInArrow(alike, "x bigint, y bigint"), "near-wide-links")
+
+
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     """(x, y) of similar classes, enough of them to join every group; docs has _row and text."""
     live = written(shared_bands(classes, near), "near-live")
@@ -278,16 +364,9 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     sets = sets_of(nodes, docs, classes, near)
     again = written(labelled(buckets(prefixes(sets, near))), "near-prefixes")
     more = pairs_of(again.where(F.col("count") <= near.small), near, "x.label <> y.label")
-    wide = again.where(F.col("count") > near.small)
-    picked = wide.where("node = pick").select("key", F.col("label").alias("main"))
-    wide = written(wide.join(picked, "key"), "near-wide")
-    more = more.unionByName(wide.where("label <> main").select(*ordered_pairs("node", "pick")))
-    odd = wide.where("label <> main").groupBy("key").agg(F.count(F.lit(1)).alias("odd")).where(F.col("odd") <= near.few)
-    out = wide.where("label <> main").join(odd, "key").select("key", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("n_shingles").alias("on"))
-    against = out.join(wide.select("key", "node", "label", "n_shingles"), "key")
-    against = against.where(f"label <> ol AND {fits(near, 'on', 'n_shingles')}").select(*ordered_pairs("o", "node"))
-    second = confirmed(more.unionByName(against).distinct(), docs, classes, near, sets)
-    return first.unionByName(second)
+    second = confirmed(more.distinct(), docs, classes, near, sets)
+    wide = wide_pairs(again.where(F.col("count") > near.small), classes, near)
+    return first.unionByName(second).unionByName(confirmed_in_blocks(wide, sets, near))
 
 
 def components(edges: DataFrame) -> DataFrame:

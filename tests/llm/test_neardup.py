@@ -86,6 +86,19 @@ def test_one_large_group_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_texts_put_together_from_shared_passages(spark):
+    rng = random.Random(3)
+    passages = [" ".join(f"p{i}w{k}" for k in range(16)) for i in range(26)]
+    rows = []
+    for i in range(300):
+        chosen = sorted(rng.sample(range(26), 20))
+        rows.append((i, " ".join(passages[c] for c in chosen) + f" own{i} " + " ".join(f"own{i}x{k}" for k in range(5))))
+    docs = spark.createDataFrame(rows, "doc_id: bigint, text: string")
+    want = brute(rows, Near(words=3, percent=85))
+    assert len({c for _, _, c in want}) < 290
+    assert same(near_table(docs, Near(words=3, percent=85, block=50)).collect(), want)
+
+
 def test_keep_one_each_keeps_whole_rows(spark):
     docs = edge_documents(spark)
     kept = keep_one_each(docs)
