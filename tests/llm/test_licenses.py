@@ -1,4 +1,8 @@
+import textwrap
+from pathlib import Path
+
 from edge import PROSE, edge_documents, no_documents
+from flowlens.llm import licenses
 from flowlens.llm.licenses import TEMPLATES, matches, scan_licenses, with_paths
 
 
@@ -49,6 +53,21 @@ def test_prose_about_licenses_is_no_license(spark):
     assert [r.license for r in scan_licenses(frame(spark, rows)).collect()] == [None]
 
 
+def test_whole_license_files_and_standard_headers(spark):
+    folder = Path(licenses.__file__).with_name("license_texts")
+    files = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
+    rows = [(i, f"{n}/LICENSE", f"Copyright (c) 2020 Somebody\n\n{t}") for i, (n, t) in enumerate(files.items())]
+    rows += [(100 + i, f"{n}/src/x.py", PROSE) for i, n in enumerate(files)]
+    got = {r.doc_id: r.license for r in scan_licenses(frame(spark, rows)).collect()}
+    assert got == {k + i: n for i, n in enumerate(files) for k in (0, 100)}
+    headers = [(i, n, t) for i, (n, t) in enumerate(TEMPLATES) if len(t) > 250]
+    code = "\n".join(f"value_{k} = compute({k}) + {k * k}" for k in range(80))
+    rows = [(i, f"h{i}/x.py", "\n".join("# " + x for x in textwrap.wrap(t, 70)) + "\n" + code) for i, _, t in headers]
+    rows += [(100 + i, f"h{i}/y.py", PROSE) for i, _, _ in headers]
+    got = {r.doc_id: r.license for r in scan_licenses(frame(spark, rows)).collect()}
+    assert got == {k + i: n if k == 0 else None for i, n, _ in headers for k in (0, 100)}
+
+
 def test_full_notice_over_several_lines(spark):
     notice = TEMPLATES[4][1].replace(" of this ", "\nof this ")
     rows = [(1, "a/x", f"{PROSE}\n\n{notice}\n\n{PROSE}")]
