@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
-Numbers, units after a number and names (capitalised words inside a sentence) become typed placeholders; the
-rest is lower-cased and cut into tokens. A benchmark item is compared by its windows of `window` template
-tokens. A document leaks an item when `percent` or more of the item's distinct windows are found in it with
+Numbers, units after a number and names become typed placeholders; the rest is lower-cased and cut into tokens.
+Each text has three templates, with its white space collapsed: names are the capitalised words inside a sentence,
+all capitalised words, or none (the lower-cased text). Templates of one kind are compared; an item leaks when any
+of its templates does. With all capitalised words as names it must keep half of its plain windows as evidence, so
+that titles and capitals do not match by a window or two. A benchmark item is compared by its windows of `window`
+template tokens. A document leaks an item when `percent` or more of the item's distinct windows are found in it with
 consistent slots: along one alignment of document and item, a value of the item always stands for one value of
 the document. So copies are found as well as questions with other numbers, names and units.
 
@@ -35,6 +38,8 @@ UNITS = (
     "litres?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|"
     "euros?|usd|eur|°c|°f|degrees?|watts?|kw|volts?|hz|mb|gb"
 )
+BLANKS = r"[\s\u00a0]+"
+CAPITALISED = r"(?<![\p{L}\p{M}\p{Nd}'-])(?=\p{Lu})"
 NUMBER_PATTERN = r"\p{Nd}+(?:[.,:]\p{Nd}+)*"
 NAME_PATTERN = r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}[\p{L}'-]*"
 UNIT_PATTERN = rf"(?<={NUMBER} {{1,2}})(?i:{UNITS})(?![\p{{L}}\p{{Nd}}])"
@@ -70,15 +75,28 @@ def slot_values(text: Column) -> Column:
     return F.create_map(F.lit(NUMBER), numbers, F.lit(NAME), names, F.lit(UNIT), F.transform(units, F.lower))
 
 
+def templated(rows: DataFrame, key: str) -> DataFrame:
+    """(key, kind, text) of the three templates of each of rows (key, text)."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), BLANKS, " ")
+    # after a comma and a blank, every capitalised word is a name
+    kinds = F.array(plain, F.regexp_replace(plain, CAPITALISED, ", "), F.lower(plain))
+    return rows.select(key, F.posexplode(kinds).alias("kind", "text"))
+
+
+def of_kind(key: str) -> Column:
+    """A key for one kind of template of a document or item."""
+    return F.xxhash64(key, "kind").alias(key)
+
+
 def window_hashes(tokens: str, size: int) -> Column:
-    """Hashes of all windows of a token column; one shorter window if there are too few tokens."""
+    """Hashes of all windows of a token column, by kind; one shorter window if there are too few tokens."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(size))))
+    return F.transform(starts, lambda i: F.xxhash64("kind", F.slice(tokens, i, F.lit(size))))
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """(item, at, key, slots) of benchmark windows that are evidence; items has item and text."""
-    tokens = items.select("item", template_tokens(F.col("text")).alias("tokens"))
+    """(item, at, key, slots) of benchmark windows that are evidence; items has item, kind and text."""
+    tokens = items.select("item", "kind", template_tokens(F.col("text")).alias("tokens"))
     placed = tokens.select("item", "tokens", F.posexplode(window_hashes("tokens", size)).alias("at", "key"))
     words = F.slice("tokens", F.col("at") + 1, F.lit(size))
     slots = F.size(F.filter(words, lambda t: F.lit(MARKS).contains(t)))
@@ -96,8 +114,8 @@ def slots_of(rows: DataFrame, key: str) -> DataFrame:
     return placed.select(key, "at", "kind", F.expr("get(element_at(values, kind), nth - 1)").alias("value"))
 
 
-def _share(found: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
-    counts = found.groupBy("row", "item").agg(F.count_distinct("key").alias("n_windows"))
+def _share(found: DataFrame, totals: DataFrame, percent: int, *also: str) -> DataFrame:
+    counts = found.groupBy("row", "item", *also).agg(F.count_distinct("key").alias("n_windows"))
     return counts.join(totals, "item").where(F.col("n_windows") * 100 >= percent * F.col("item_windows"))
 
 
@@ -110,23 +128,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> Da
     size = leak.window
     items = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("item")).dropDuplicates(["item"])
     items = written(items, "leak-items")
+    named = items.select("item", "item_id")
+    items = templated(items, "item").select(F.col("item").alias("base"), of_kind("item"), "kind", "text")
+    items = written(items, "leak-templates")
     windows = written(item_windows(items, size), "leak-windows")
-    totals = windows.groupBy("item").agg(F.count_distinct("key").alias("item_windows"))
+    totals = windows.groupBy("item").agg(F.count_distinct("key").alias("item_windows")).join(items.select("item", "base", "kind"), "item")
+    plain = totals.where("kind = 2").select("base", F.col("item_windows").alias("plain"))
+    totals = totals.join(plain, "base", "left").where("kind <> 1 OR 2 * item_windows >= coalesce(plain, 0)")
+    totals = written(totals.select("item", "item_windows"), "leak-totals")
     sought = windows.select("key", "item").distinct()
     sought = written(sought, "leak-keys")
     if sought.count() <= leak.broadcast_windows:
         sought = F.broadcast(sought)
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    tokens = keyed.select("row", template_tokens(F.col("text")).alias("tokens"))
-    keys = tokens.select("row", F.explode(window_hashes("tokens", size)).alias("key"))
-    likely = _share(keys.join(sought, "key"), totals, leak.percent).select("row", "item")
+    tokens = templated(keyed, "row").select("row", "kind", template_tokens(F.col("text")).alias("tokens"))
+    keys = tokens.select(F.col("row").alias("base_row"), of_kind("row"), F.explode(window_hashes("tokens", size)).alias("key"))
+    likely = _share(keys.join(sought, "key"), totals, leak.percent, "base_row").select("base_row", "row", "item")
     likely = written(likely, "leak-likely")
 
-    picked = written(likely.select("row").distinct(), "leak-rows")
-    texts = written(keyed.join(picked, "row").dropDuplicates(["row"]), "leak-texts")
-    tokens = texts.select("row", template_tokens(F.col("text")).alias("tokens"))
+    picked = written(likely.select(F.col("base_row").alias("row")).distinct(), "leak-rows")
+    texts = templated(keyed.join(picked, "row").dropDuplicates(["row"]), "row")
+    texts = texts.select(of_kind("row"), "kind", "text").join(likely.select("row").distinct(), "row", "left_semi")
+    texts = written(texts, "leak-texts")
+    tokens = texts.select("row", "kind", template_tokens(F.col("text")).alias("tokens"))
     placed = tokens.select("row", F.posexplode(window_hashes("tokens", size)).alias("doc_at", "key"))
-    met = placed.join(likely, "row").join(windows.withColumnRenamed("at", "item_at"), ["item", "key"])
+    met = placed.join(likely.select("row", "item"), "row").join(windows.withColumnRenamed("at", "item_at"), ["item", "key"])
     met = written(met.withColumn("line", F.col("doc_at") - F.col("item_at")), "leak-met")
     spread = met.where("slots > 0").withColumn("step", F.expr(f"explode(sequence(0, {size - 1}))"))
     spread = spread.withColumns({"d": F.col("doc_at") + F.col("step"), "i": F.col("item_at") + F.col("step")})
@@ -138,8 +164,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> Da
     torn = filled.groupBy(*alike).agg(F.count_distinct("doc_value").alias("values")).where("values > 1")
     wrong = filled.join(torn, alike, "left_semi").select("row", "item", "line", "doc_at").distinct()
     sound = met.join(wrong, ["row", "item", "line", "doc_at"], "left_anti")
-    leaks = _share(sound, totals, leak.percent)
-    return leaks.join(items.select("item", "item_id"), "item").select("row", "item_id", "n_windows", "item_windows")
+    leaks = _share(sound, totals, leak.percent).join(likely, ["row", "item"]).drop("row").withColumnRenamed("base_row", "row")
+    leaks = leaks.join(items.select("item", "base", "kind"), "item")
+    order = F.struct((F.col("n_windows") / F.col("item_windows")).alias("share"), (-F.col("kind")).alias("kind"), "n_windows", "item_windows")
+    best = leaks.groupBy("row", F.col("base").alias("item")).agg(F.max(order).alias("best"))
+    return best.join(named, "item").select("row", "item_id", "best.n_windows", "best.item_windows")
 
 
 def leak_table(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:

@@ -52,6 +52,27 @@ def test_join_without_broadcast_gives_the_same(spark):
     assert one == two
 
 
+def test_names_anywhere_and_other_case(spark):
+    items = [
+        (1, "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have now?"),
+        (2, "Every week Mr. Smith drives 40 km to the market, where Smith sells 12 baskets of fresh plums."),
+        ITEMS[0],
+    ]
+    items[2] = (3, items[2][1])
+    docs = [
+        (1, "It said: " + items[0][1].replace("Tom", "Anna").replace("3", "5") + " She thought."),
+        (2, "We read that " + items[1][1].replace("Smith", "Jones").replace("Every", "every") + " So it goes."),
+        (3, "so " + items[2][1].lower()),
+        (4, "SO " + items[2][1].upper()),
+        (5, "So " + items[2][1].replace(" Alice", "\nAlice").replace(" Bob", "\n  Bob")),
+        (6, "Anna has 5 apples. Anna buys 4 more. How many apples does Berta have now?"),
+        (7, "Nobody has any apples. Somebody buys more plums from the market."),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id: bigint, text: string")
+    got = sorted((r.doc_id, r.item_id) for r in leak_table(frame, bench(spark, items)).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)]
+
+
 def test_plain_passages_equal_brute_force(spark):
     import random
 
