@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from flowlens.llm.filter_audit import FILTERS, Filters
 from flowlens.llm.quality import BOILERPLATE, Rules
+from flowlens.llm.resample import Resampling
 from flowlens.llm.sharding import JUMP_FACTOR, SHARDS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,5 +65,72 @@ SELECT c.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard
 FROM crc c JOIN shards s ON c.doc_id IS NOT DISTINCT FROM s.doc_id"""
 
 
+def filter_audit() -> str:
+    rules = Filters()
+    steps = ", ".join(f"('{''.join(p)}', {i + 1}, '{p[i]}', '{''.join(p[:i])}')" for p in permutations(FILTERS) for i in range(5))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+flags AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(ws) < {rules.min_words} THEN 'A' ELSE '' END
+  || CASE WHEN 100 * len(list_distinct(ws)) < {rules.distinct_percent} * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > {rules.capital_percent} * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS f
+  FROM d LEFT JOIN flags USING (doc_id)),
+counts AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+steps(filter_order, step, filter, before) AS (VALUES {steps}),
+made AS (SELECT part, filter_order, step, filter,
+  coalesce(sum(n) FILTER (translate(before || filter, f, '') = before || filter), 0) AS kept,
+  coalesce(sum(n) FILTER (contains(f, filter) AND translate(before, f, '') = before), 0) AS removed,
+  coalesce(sum(n) FILTER (contains(f, filter) AND translate(before, f, '') <> before), 0) AS redundant,
+  coalesce(sum(n) FILTER (f = filter), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (contains(f, filter) AND translate(before, f, '') = before), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (contains(f, filter) AND translate(before, f, '') = before), 0) AS toxic_lost
+  FROM counts CROSS JOIN steps GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM made"""
+
+
+def resampling() -> str:
+    """CRC-32 of each distinct word byte by byte, as in sharding()."""
+    rules = Resampling()
+    b = rules.buckets
+    bits = "list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, e: xor(a >> 1, 3988292384 * (a & 1)))"
+    raw = "list_concat([4294967295], [('0x' || substr(h, 2 * i + 1, 2))::BIGINT for i in range(length(h) // 2)])"
+    step = "lambda a, e: xor(a >> 8, t[xor(a, e) % 256 + 1])"
+    words = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+found AS (SELECT r, unnest(ws) AS w FROM d),
+target AS (SELECT unnest({words}) AS w FROM benchmark),
+names AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM found UNION ALL SELECT w FROM target)),
+codes AS (SELECT w, xor(list_reduce({raw}, {step}), 4294967295) % {b} AS bucket FROM names, (SELECT [{bits} for i in range(256)] AS t)),
+s AS (SELECT bucket, count(*) AS n FROM found JOIN codes USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN codes USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM found) + {b})::DOUBLE)
+  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM target) + {b})::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM found JOIN codes USING (w) JOIN gains USING (bucket) GROUP BY r),
+noise AS (SELECT d.r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('{rules.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN weights USING (r)),
+scored AS (SELECT doc_id, n_features, weight, n_features >= {rules.min_words} AS able,
+  weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM noise),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN able AND place <= (SELECT count(*) FROM scored WHERE able) * {rules.percent} // 100 THEN place END AS rank FROM ranked"""
+
+
 def build() -> dict[str, str]:
-    return {"op5_quality_rules": quality(), "op6_sharding": sharding()}
+    return {
+        "op5_quality_rules": quality(),
+        "op6_sharding": sharding(),
+        "op11_filter_audit": filter_audit(),
+        "op13_resampling": resampling(),
+    }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm.decontam import leak_table
+from flowlens.llm.filter_audit import audit_filters
 from flowlens.llm.langid import predict_documents
 from flowlens.llm.licenses import scan_licenses, with_paths
 from flowlens.llm.mixing import mix_table
@@ -14,6 +15,7 @@ from flowlens.llm.neardup import Near, near_table
 from flowlens.llm.oracles import build
 from flowlens.llm.pii import personal_table
 from flowlens.llm.quality import judge_documents
+from flowlens.llm.resample import resample_table
 from flowlens.llm.secrets import fresh_ledger, secret_table
 from flowlens.llm.sharding import shard_table
 from flowlens.llm.training_order import training_order
@@ -63,6 +65,14 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
@@ -74,5 +84,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_licenses": op9_licenses,
     "op10_training_order": op10_training_order,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_resampling": op13_resampling,
 }
 ORACLES: dict[str, str] = build()

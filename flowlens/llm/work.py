@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.storage import numbered, shared_folder, written
+from flowlens.storage import numbered, placed, shared_folder, work_folder, written
 
-__all__ = ["numbered", "shared_folder", "unit", "written"]
+__all__ = ["numbered", "placed", "shared_folder", "spread_join", "unit", "work_folder", "written"]
+
+SALTS = 64
 
 
 def unit(value: Column) -> Column:
     """A 64-bit hash as a number in [0, 1)."""
     return F.shiftrightunsigned(value, 11).cast("double") * F.lit(2.0**-53)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with `table` on `key`, of which one value may hold a large part of the rows.
+
+    A key's rows are dealt into SALTS parts by a hash of column `by`. The table is joined with the distinct (key,
+    part) first, so the rows of a hot key meet its entries in many tasks, and a rare key's entries are not copied.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    parts = salted.select(key, "_salt").distinct()
+    return salted.join(parts.join(table, key), [key, "_salt"], how).drop("_salt")
