@@ -8,6 +8,7 @@ from flowlens.llm.filter_audit import FILTERS, Filters
 from flowlens.llm.quality import BOILERPLATE, Rules
 from flowlens.llm.resample import Resampling
 from flowlens.llm.sharding import JUMP_FACTOR, SHARDS
+from flowlens.llm.vecdup import Vectors
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -127,10 +128,28 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN able AND place <= (SELECT count(*) FROM scored WHERE able) * {rules.percent} // 100 THEN place END AS rank FROM ranked"""
 
 
+def vectors() -> str:
+    """All pairs; groups by closure."""
+    rules = Vectors()
+    norm = "sqrt(list_sum(list_transform(e, lambda y: y * y)))"
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, list_transform(e, lambda x: x / {norm}) AS u FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND {norm} > 0),
+links AS (SELECT a.r AS r, b.r AS other FROM ok a JOIN ok b ON a.r <> b.r AND len(a.u) = len(b.u)
+  WHERE list_inner_product(a.u, b.u) >= {rules.cosine}),
+reach(r, other) AS (SELECT r, r FROM v UNION SELECT reach.r, links.other FROM reach JOIN links ON reach.other = links.r),
+named AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.other = v.r GROUP BY reach.r),
+counts AS (SELECT r, count(*) AS n FROM links GROUP BY r)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN named USING (r) LEFT JOIN counts USING (r)"""
+
+
 def build() -> dict[str, str]:
     return {
         "op5_quality_rules": quality(),
         "op6_sharding": sharding(),
         "op11_filter_audit": filter_audit(),
+        "op12_vector_duplicates": vectors(),
         "op13_resampling": resampling(),
     }

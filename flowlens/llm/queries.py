@@ -19,6 +19,7 @@ from flowlens.llm.resample import resample_table
 from flowlens.llm.secrets import fresh_ledger, secret_table
 from flowlens.llm.sharding import shard_table
 from flowlens.llm.training_order import training_order
+from flowlens.llm.vecdup import vector_table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -85,6 +90,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_training_order": op10_training_order,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_duplicates": op12_vector_duplicates,
     "op13_resampling": op13_resampling,
 }
 ORACLES: dict[str, str] = build()
