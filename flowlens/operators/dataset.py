@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +11,16 @@ from flowlens.config import (
     ATTACK_LABELS,
     CLASSES,
     FEATURE_COLUMNS,
-    MICROS,
     SEED,
     SEQUENCE_LENGTH,
     TRAIN_FRACTION,
     VALIDATION_FRACTION,
 )
-from flowlens.operators.ordering import ranged, rows_at_ranks, spanning
-from flowlens.shipping import ship
+from flowlens.operators.joins import spread_join
+from flowlens.operators.ordering import ranged, rows_at_ranks, running, spanning
 from flowlens.storage import written
 
-ship(__name__)
-
 HASH_RANGE = 1 << 31
-LOG_CELL_SECONDS = 600
-LOG_SALTS = 16
 
 
 # --- Labels ------------------------------------------------------------------------------------
@@ -106,25 +99,39 @@ def join_labels(flows: DataFrame, labels: DataFrame) -> DataFrame:
     return flows.join(labels.select("flow_id", "label"), "flow_id", "left")
 
 
-def _latest_started(group: pd.DataFrame) -> pd.DataFrame:
-    """For the flows of one (host pair, time cell, salt), the latest started entry that covers each start.
+def _dyadic(start: str, stop: str) -> str:
+    """The aligned blocks of 2^level microseconds that make up [start, stop): at most two a level.
+
+    An array of (level, block); a point t lies in one block a level, t >> level.
+    """
+    low, high = f"-shiftright(-{start}, l)", f"shiftright({stop}, l)"
+    left = f"IF({low} < {high} AND ({low}) & 1 = 1, named_struct('level', l, 'block', {low}), NULL)"
+    right = f"IF({low} + (({low}) & 1) < {high} AND {high} & 1 = 1, named_struct('level', l, 'block', {high} - 1), NULL)"
+    levels = f"sequence(0, CAST(ceil(log2({stop} - {start} + 1)) AS INT))"
+    return f"array_compact(flatten(transform({levels}, l -> array({left}, {right}))))"
+
+
+def winning_spans(log: DataFrame) -> DataFrame:
+    """(ip_lo, ip_hi, at, hit): from `at` to the pair's next row, which entry of a log holds; null where none does.
 
-    One pass in order of time: entries enter a heap when they start, latest and then lowest id on top, and
-    leave it when they are on top and over.
+    ``log``: ip_lo, ip_hi, start_us, end_us (closed), experiment_id, attack_type. Of several entries the latest started
+    holds, then the lowest id. The answer changes at starts and after ends only. Each entry is cut into aligned blocks,
+    of which only the winner is kept, and each such point looks up its own block at every level.
     """
-    entries = group[group["flow_id"].isna()].sort_values(["at", "experiment_id"], kind="stable")
-    flows = group[group["flow_id"].notna()].sort_values("at", kind="stable")
-    start, end, number = (entries[c].tolist() for c in ("at", "end_us", "experiment_id"))
-    heap: list[tuple] = []
-    found, k = [], 0
-    for at in flows["at"].tolist():
-        while k < len(start) and start[k] <= at:
-            heapq.heappush(heap, (-start[k], number[k], end[k]))
-            k += 1
-        while heap and heap[0][2] < at:
-            heapq.heappop(heap)
-        found.append(heap[0][1] if heap else None)
-    return pd.DataFrame({"flow_id": flows["flow_id"].tolist(), "experiment_id": found}, dtype=object)
+    pair = ["ip_lo", "ip_hi"]
+    cut = log.select(
+        *pair,
+        F.expr(f"explode({_dyadic('start_us', '(end_us + 1)')})").alias("b"),
+        F.struct("start_us", (-F.col("experiment_id")).alias("id"), "attack_type").alias("hit"),
+    )
+    best = cut.groupBy(*pair, F.col("b.level").alias("level"), F.col("b.block").alias("block"))
+    best = written(best.agg(F.max("hit").alias("hit")), "log-blocks")
+    levels = [r["level"] for r in best.select("level").distinct().collect()]  # 64 at most
+    points = log.select(*pair, F.explode(F.array("start_us", F.col("end_us") + 1)).alias("at")).distinct()
+    asked = points.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    asked = asked.withColumn("block", F.expr("shiftright(at, level)"))
+    met = spread_join(asked, best, [*pair, "level", "block"], "at", "left")
+    return met.groupBy(*pair, "at").agg(F.max("hit").alias("hit"))
 
 
 def label_by_experiment(flows: DataFrame, experiments: DataFrame) -> DataFrame:
@@ -133,45 +140,26 @@ def label_by_experiment(flows: DataFrame, experiments: DataFrame) -> DataFrame:
     A flow takes the attack of the experiment between the same two hosts whose closed time window
     contains the flow's start; of several the latest started, then the lowest id; else benign.
 
-    Flows and entries meet by host pair and time cell; an entry stands in every cell it covers, and flows
-    of a pair are dealt over salts, so a busy pair is many small groups. In a group one sweep in order of
-    time serves all flows: no flow is paired with the entries of its hosts.
+    The log is cut into spans with one winner each. Flows of its host pairs and spans then meet in ranges of
+    (pair, time), where the last span before a flow is a running maximum; no flow is paired with entries.
     """
-    width = LOG_CELL_SECONDS * MICROS
     pair = [F.least("x", "y").alias("ip_lo"), F.greatest("x", "y").alias("ip_hi")]
-    cell = F.floor(F.col("at") / width)
-    asked = flows.select(F.col("a_ip").alias("x"), F.col("b_ip").alias("y"), "flow_id", F.col("start_us").alias("at"))
-    asked = asked.select(
-        *pair,
-        cell.alias("cell"),
-        F.pmod(F.xxhash64("flow_id"), F.lit(LOG_SALTS)).cast("int").alias("salt"),
-        "flow_id",
-        "at",
-        F.lit(None).cast("long").alias("end_us"),
-        F.lit(None).cast("long").alias("experiment_id"),
-    )
     log = experiments.where("start_us <= end_us").select(
-        F.col("src_ip").alias("x"), F.col("dst_ip").alias("y"), F.col("start_us").alias("at"), "end_us", "experiment_id"
-    )
-    log = log.select(
-        *pair,
-        F.explode(F.sequence(cell, F.floor(F.col("end_us") / width))).alias("cell"),
-        F.lit(None).cast("string").alias("flow_id"),
-        "at",
-        "end_us",
-        F.col("experiment_id").cast("long").alias("experiment_id"),
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LOG_SALTS - 1))))
-    both = asked.unionByName(log)
-    hits = both.groupBy("ip_lo", "ip_hi", "cell", "salt").applyInPandas(
-        _latest_started, "flow_id string, experiment_id long"
+        F.col("src_ip").alias("x"), F.col("dst_ip").alias("y"), "start_us", "end_us", "experiment_id", "attack_type"
     )
+    log = log.select(*pair, "start_us", "end_us", F.col("experiment_id").cast("long").alias("experiment_id"), "attack_type")
+    spans = written(winning_spans(written(log, "log")), "log-spans")
+    asked = flows.select(F.col("a_ip").alias("x"), F.col("b_ip").alias("y"), "flow_id", F.col("start_us").alias("at"))
+    asked = asked.select(*pair, "at", "flow_id").join(spans.select("ip_lo", "ip_hi").distinct(), ["ip_lo", "ip_hi"], "left_semi")
+    both = spans.withColumn("seen", F.struct("at", "hit")).drop("hit").unionByName(asked, allowMissingColumns=True)
+    latest = running(both, ["ip_lo", "ip_hi"], ["at", F.col("flow_id").isNotNull(), "flow_id"], {"latest": ("max", "seen")})
     attack = F.create_map(*[F.lit(x) for item in ATTACK_LABELS.items() for x in item])
-    kinds = experiments.select(F.col("experiment_id").cast("long").alias("hit"), "attack_type")
-    hits = hits.where("experiment_id IS NOT NULL").withColumnRenamed("experiment_id", "hit")
-    labels = hits.join(kinds, "hit").select(
-        "flow_id", F.col("hit").alias("experiment_id"), F.try_element_at(attack, F.col("attack_type")).alias("label")
+    labels = latest.where("flow_id IS NOT NULL AND latest.hit IS NOT NULL").select(
+        "flow_id",
+        (-F.col("latest.hit.id")).alias("experiment_id"),
+        F.try_element_at(attack, F.col("latest.hit.attack_type")).alias("label"),
     )
-    joined = flows.join(labels, "flow_id", "left")
+    joined = flows.join(written(labels, "log-labels"), "flow_id", "left")
     return joined.withColumn("label", F.coalesce("label", F.lit("benign")))
 
 
