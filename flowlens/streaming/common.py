@@ -50,24 +50,32 @@ def beyond_clock(timed: DataFrame, condition: Column) -> DataFrame:
     return timed.filter(F.when(F.col("ts").isNotNull(), condition).otherwise(False))
 
 
-def as_files(df: DataFrame, folder: str, t_us: str, tie: str, block_s: int = 300, end: bool = True) -> str:
-    """A table as files to replay, one a block of time, each row up to one block away from its own.
-
-    Within a file rows are in no order either. ``end`` adds a last row without anything but a time, which
-    moves the watermark to the table's end. Returns the lateness that covers the disorder.
+def as_files(
+    df: DataFrame, folder: str, t_us: str, tie: str, block_s: int = 300, end: bool = True, tick_us: int = 1000,
+    file_rows: int = 1_000_000,
+) -> str:
+    """A table as files to replay, a block of time after the other, each row up to one block away from its own.
+
+    A block has as many files as its rows ask for, in no order, and within a file rows are in no order either.
+    ``end`` adds a last row without anything but a time, which moves the clock to the first multiple of ``tick_us``
+    (a watermark counts milliseconds) after the table's end. Returns the lateness
+    that covers the disorder. An empty table becomes one file without rows.
     """
     width = block_s * 1_000_000
-    late = width + 1_000_000
+    late = 2 * width + 1_000_000
     shift = F.pmod(F.xxhash64(tie), F.lit(width))
     block = F.floor((F.col(t_us) + shift) / width).cast("long")
     held = written(df.withColumn("_block", block), "replay")
-    low, high, last = held.agg(F.min("_block"), F.max("_block"), F.max(t_us)).first()
-    for k in range(low, high + 1):  # one file after the other: a stream takes the oldest first
-        part = held.where(F.col("_block") == k).drop("_block")
-        part.repartition(1).sortWithinPartitions(F.xxhash64(tie, F.lit(1))).write.mode("append").parquet(folder)
-    if end:
+    counts = held.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), F.max(t_us).alias("last")).orderBy("_block").collect()
+    if not counts:
+        df.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    for row in counts:  # a block after the other: a stream takes the oldest files first
+        part = held.where(F.col("_block") == row["_block"]).drop("_block").repartition(-(-row["n"] // file_rows))
+        part.sortWithinPartitions(F.xxhash64(tie, F.lit(1))).write.mode("append").parquet(folder)
+    if end and counts:
+        last = max(row["last"] for row in counts)
         clock = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != t_us]
-        row = df.sparkSession.range(1).select(*clock, F.lit(-(-last // 1000) * 1000 + late).cast("long").alias(t_us))
+        row = df.sparkSession.range(1).select(*clock, F.lit((last // tick_us + 1) * tick_us + late).cast("long").alias(t_us))
         row.select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
     return f"{late // 1_000_000} seconds"
 

@@ -1,311 +1,116 @@
-"""Flow sessions on a packet stream: one small state per open flow, closed by event time."""
+"""Flow sessions on a packet stream: open flows as sums that add up, closed by event time.
 
-from __future__ import annotations
+Packets wait until the clock has passed them, so they extend flows in order of time whatever batch they come in.
+State: the waiting packets, and per open flow and packet size the same sums that batch flows are made of
+(``sessionize.add_up``): sizes, gaps and entropy are exact, whatever a flow's length.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.config import DEFAULT, FlowConfig
-from flowlens.functions.measures import text_entropy
-from flowlens.functions.network import closes_flow, timeout_us, with_endpoints
-from flowlens.shipping import ship
-from flowlens.streaming.common import beyond_clock, event_time, run_available, use_state_store
-
-ship(__name__)
-
-STATE = T.StructType(
-    [
-        T.StructField("a_ip", T.StringType()),
-        T.StructField("b_ip", T.StringType()),
-        T.StructField("a_port", T.IntegerType()),
-        T.StructField("b_port", T.IntegerType()),
-        T.StructField("protocol", T.StringType()),
-        T.StructField("starts_forward", T.BooleanType()),
-        T.StructField("closed", T.BooleanType()),
-        T.StructField("start_us", T.LongType()),
-        T.StructField("last_us", T.LongType()),
-        T.StructField("start_seq", T.LongType()),
-        T.StructField("packet_count", T.LongType()),
-        T.StructField("byte_count", T.LongType()),
-        T.StructField("fwd_packets", T.LongType()),
-        T.StructField("fwd_bytes", T.LongType()),
-        T.StructField("n_dns", T.LongType()),
-        T.StructField("dns_len", T.LongType()),
-        T.StructField("dns_ent", T.DoubleType()),
-        T.StructField("dns_record_type", T.StringType()),
-        T.StructField("n_tls", T.LongType()),
-        T.StructField("tls_sni", T.StringType()),
-        T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("times", T.ArrayType(T.LongType())),
-    ]
+from flowlens.functions.network import timeout_us
+from flowlens.operators.sessionize import (
+    FLOW_KEYS,
+    add_up,
+    flows_of_sizes,
+    number_pieces,
+    packet_parts,
 )
-WAITING = T.StructType(
-    [
-        T.StructField("t_us", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("a_ip", T.StringType()),
-        T.StructField("b_ip", T.StringType()),
-        T.StructField("a_port", T.IntegerType()),
-        T.StructField("b_port", T.IntegerType()),
-        T.StructField("protocol", T.StringType()),
-        T.StructField("is_forward", T.BooleanType()),
-        T.StructField("packet_length", T.IntegerType()),
-        T.StructField("close", T.BooleanType()),
-        T.StructField("dns_query_length", T.IntegerType()),
-        T.StructField("dns_entropy", T.DoubleType()),
-        T.StructField("dns_record_type", T.StringType()),
-        T.StructField("tls_sni", T.StringType()),
-    ]
-)
-WAITING_KINDS = [
-    {"long": int, "integer": int, "boolean": bool, "double": float, "string": str}[f.dataType.typeName()] for f in WAITING
-]
-STREAM_HISTORY = 65_536  # packets of an open flow whose sizes and times its state keeps, unless a cap is set
-OUTPUT = T.StructType(
-    [T.StructField("flow_key", T.StringType())]
-    + STATE.fields
-    + [T.StructField("finalize_reason", T.StringType())]
-)
-
-
-def _optional(value):
-    return None if pd.isna(value) else value
-
-
-class FlowSessions(StatefulProcessor):
-    """State per flow key: the open flow, and packets that wait until the watermark has passed them.
-
-    So packets extend a flow in order of time whatever batch they come in. A timer at the flow's last
-    packet plus the timeout closes it.
-    """
-
-    def __init__(self, history: int):
-        self.cap = history
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("flow", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.timeout = handle.getValueState("timeout", T.StructType([T.StructField("us", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packets = pd.concat(list(rows))
-        self.timeout.update((int(packets["tmo_us"].iloc[0]),))
-        columns = [[None if pd.isna(v) else t(v) for v in packets[c]] for c, t in zip(WAITING.names, WAITING_KINDS)]
-        self.waiting.appendList(list(zip(*columns)))
-        self.handle.registerTimer(self._passed(int(packets["t_us"].min())))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        timeout = self.timeout.get()[0]
-        held = dict(zip(STATE.names, self.open.get())) if self.open.exists() else None
-        packets = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=WAITING.names)
-        packets = packets.sort_values(["t_us", "seq"], kind="stable")
-        ready = packets["t_us"] <= now
-        held, done = self._advance(held, packets[ready], timeout)
-        if held is not None and held["last_us"] + timeout <= now:
-            done.append((held, "timeout"))
-            held = None
-        later = packets[~ready]
-        if len(later):
-            self.waiting.put([tuple(_optional(v) for v in r) for r in later.itertuples(index=False)])
-            self.handle.registerTimer(self._passed(int(later["t_us"].iloc[0])))
-        else:
-            self.waiting.clear()
-        if held is None:
-            self.open.clear()
-        else:
-            self.open.update(tuple(held[n] for n in STATE.names))
-            self.handle.registerTimer(self._passed(held["last_us"] + timeout))
-        if done:
-            yield self._frame(key[0], done)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _passed(us: int) -> int:
-        return -(-us // 1000)
-
-    def _advance(self, held: dict | None, packets: pd.DataFrame, timeout: int) -> tuple[dict | None, list]:
-        """The open flow after packets in order of time, and the flows that ended on the way."""
-        if not len(packets):
-            return held, []
-        times = packets["t_us"].to_numpy(dtype=np.int64)
-        closing = packets["close"].to_numpy(dtype=bool)
-        # A packet starts a flow after a long gap or after the packet that closed the one before.
-        starts = np.empty(len(times), dtype=bool)
-        starts[0] = held is None or times[0] - held["last_us"] >= timeout
-        starts[1:] = (np.diff(times) >= timeout) | closing[:-1]
-        bounds = [0, *[i for i in np.flatnonzero(starts) if i > 0], len(times)]
-        done = []
-        if starts[0] and held is not None:
-            done.append((held, "timeout"))
-            held = None
-        for lo, hi in zip(bounds, bounds[1:]):
-            held = self._extend(held, packets.iloc[lo:hi])
-            if held["closed"]:
-                done.append((held, "tcp_close"))
-                held = None
-            elif hi < len(times):
-                done.append((held, "timeout"))
-                held = None
-        return held, done
-
-    def _extend(self, held: dict | None, part: pd.DataFrame) -> dict:
-        """The open flow after more of its packets."""
-        first = part.iloc[0]
-        if held is None:
-            held = {
-                "a_ip": first["a_ip"],
-                "b_ip": first["b_ip"],
-                "a_port": _optional(first["a_port"]),
-                "b_port": _optional(first["b_port"]),
-                "protocol": first["protocol"],
-                "starts_forward": bool(first["is_forward"]),
-                "closed": False,
-                "start_us": int(first["t_us"]),
-                "last_us": int(first["t_us"]),
-                "start_seq": int(first["seq"]),
-                "dns_record_type": "",
-                "tls_sni": "",
-                "sizes": [],
-                "times": [],
-                "dns_ent": 0.0,
-            }
-            for name in ("packet_count", "byte_count", "fwd_packets", "fwd_bytes", "n_dns", "dns_len", "n_tls"):
-                held[name] = 0
-            for name in ("a_port", "b_port"):
-                held[name] = None if held[name] is None else int(held[name])
-        size = part["packet_length"].to_numpy(dtype=np.int64)
-        forward = part["is_forward"].to_numpy(dtype=bool)
-        dns = part[pd.notna(part["dns_query_length"])]
-        sni = part.loc[part["tls_sni"].notna() & (part["tls_sni"] != ""), "tls_sni"]
-        held["last_us"] = max(held["last_us"], int(part["t_us"].iloc[-1]))
-        held["packet_count"] += len(part)
-        held["byte_count"] += int(size.sum())
-        held["fwd_packets"] += int(forward.sum())
-        held["fwd_bytes"] += int(size[forward].sum())
-        held["n_dns"] += len(dns)
-        held["dns_len"] += int(dns["dns_query_length"].sum())
-        held["dns_ent"] += float(dns["dns_entropy"].astype(float).sum())
-        if len(dns):
-            held["dns_record_type"] = _optional(dns["dns_record_type"].iloc[-1]) or ""
-        held["n_tls"] += len(sni)
-        if len(sni) and not held["tls_sni"]:
-            held["tls_sni"] = sni.iloc[0]
-        held["closed"] = bool(part["close"].iloc[-1])
-        held["sizes"] = (list(held["sizes"]) + [int(x) for x in size])[-self.cap :]
-        held["times"] = (list(held["times"]) + [int(x) for x in part["t_us"]])[-self.cap :]
-        return held
-
-    @staticmethod
-    def _frame(key: str, done: list) -> pd.DataFrame:
-        rows = [{"flow_key": key, **held, "finalize_reason": reason} for held, reason in done]
-        frame = pd.DataFrame(rows, columns=OUTPUT.names)
-        for name in ("a_port", "b_port"):
-            frame[name] = frame[name].astype("Int32")
-        return frame
-
-
-def session_stream(packets: DataFrame, lateness: str, cfg: FlowConfig = DEFAULT) -> DataFrame:
-    """Finalized flows of a packet stream, in the raw form that ``finish`` completes.
-
-    ``lateness`` must cover how far packets come out of order; later ones are dropped by the watermark and
-    counted in the query's progress (``late_rows``). A row without addresses only moves the clock. Idle
-    flows expire by event time as the watermark advances.
-    """
-    use_state_store(packets.sparkSession)
-    addressed = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
-    live = beyond_clock(event_time(packets, "t_us", lateness), addressed)
-    timed = with_endpoints(live).select(
-        "ts",
-        "flow_key",
-        "seq",
-        "t_us",
-        "a_ip",
-        "b_ip",
-        "a_port",
-        "b_port",
-        "protocol",
-        "is_forward",
-        "packet_length",
-        closes_flow(F.col("protocol"), F.col("tcp_flags")).alias("close"),
-        timeout_us(F.col("protocol"), cfg).alias("tmo_us"),
-        F.char_length("dns_query_name").alias("dns_query_length"),
-        F.when(F.col("dns_query_name").isNotNull(), text_entropy(F.col("dns_query_name"))).alias("dns_entropy"),
-        "dns_record_type",
-        "tls_sni",
-    )
-    return timed.groupBy("flow_key").transformWithStateInPandas(
-        statefulProcessor=FlowSessions(cfg.history_cap or STREAM_HISTORY),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-
-
-def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The flows still open in a stopped query, read from its state: the final flush."""
-    state = (
-        spark.read.format("statestore")
-        .option("stateVarName", "flow")
-        .load(checkpoint)
-        .select(F.col("key.flow_key").alias("flow_key"), "value.*")
-    )
-    return state.withColumn("finalize_reason", F.lit("flush")).select(*OUTPUT.names)
-
-
-def finish(raw: DataFrame) -> DataFrame:
-    """The flow table columns, from raw session rows (emitted or still open)."""
-    sizes, times = F.col("sizes"), F.col("times")
-    counts = F.transform(
-        F.array_distinct(sizes), lambda v: F.size(F.filter(sizes, lambda x: x == v)).cast("double")
-    )
-    gaps = F.transform(
-        F.sequence(F.lit(1), F.size(times) - 1),
-        lambda i: (F.element_at(times, i + 1) - F.element_at(times, i)).cast("decimal(19,0)"),
-    )
-    n_gap = F.size(times) - 1
-    squares = F.aggregate(
-        gaps, F.lit(0).cast("decimal(38,0)"), lambda s, g: (s + g * g).cast("decimal(38,0)")
-    )
-    return raw.withColumns(
-        {
-            "flow_id": F.md5(F.concat_ws("#", "flow_key", "start_us", "start_seq")),
-            "rev_packets": F.col("packet_count") - F.col("fwd_packets"),
-            "rev_bytes": F.col("byte_count") - F.col("fwd_bytes"),
-            "n_hist": F.size(sizes).cast("long"),
-            "hist_clogc": F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.log2(c)),
-            "n_gap": n_gap.cast("long"),
-            "gap_sum": F.element_at(times, -1) - F.element_at(times, 1),
-            "gap_sq": F.when(n_gap > 0, squares),
-        }
-    ).drop("sizes", "times")
+from flowlens.streaming.state import NEVER, StateTables, interval_us
+
+RESULT = "flows"
+
+
+class Sessions:
+    """The flow sessions of a packet stream, one micro-batch after the other."""
+
+    def __init__(self, packets: DataFrame, folder: str, lateness: str, cfg: FlowConfig = DEFAULT):
+        if cfg.history_cap is not None:
+            raise ValueError("a stream keeps sums of all packets of a flow; a history cap needs the batch job")
+        spark = packets.sparkSession
+        self.state = StateTables(spark, f"{folder}/state")
+        self.folder, self.cfg, self.late_us = folder, cfg, interval_us(spark, lateness)
+        self.packet_schema = packets.schema
+        empty = add_up(number_pieces(self._parts(spark.createDataFrame([], packets.schema)), cfg), [*FLOW_KEYS, "packet_length"])
+        self.sizes_schema = empty.schema
+
+    def _parts(self, packets: DataFrame) -> DataFrame:
+        return packet_parts(packets, self.cfg)
+
+    def step(self, packets: DataFrame, batch: int) -> tuple[DataFrame, int]:
+        """All flows that are open or ended in this batch, with ``open``; and the clock."""
+        before, clock = self.state.tick(batch, packets, self.late_us)
+        addressed = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
+        fresh = packets.where(addressed & (F.col("t_us") >= before))
+        pool = self.state.read(batch - 1, "waiting", self.packet_schema).unionByName(fresh)
+        self.state.write(pool.where(F.col("t_us") >= clock), batch, "waiting")
+        held = self.state.read(batch - 1, "open", self.sizes_schema).drop("flow_no")
+        held = held.withColumns({"cell": F.lit(NEVER).cast("long"), "piece": F.lit(0).cast("long")})
+        parts = self._parts(pool.where(F.col("t_us") < clock)).unionByName(held)
+        sizes = add_up(number_pieces(parts, self.cfg), [*FLOW_KEYS, "packet_length"])
+        sizes = self.state.write(sizes, batch, "sizes")
+        # only a key's last flow can go on, until its timeout has passed
+        last = sizes.groupBy("flow_key").agg(F.max("flow_no").alias("flow_no"), F.max("tail").alias("tail"), F.first("protocol").alias("protocol"))
+        goes_on = ~F.col("tail.close") & (F.col("tail.t_us") + timeout_us(F.col("protocol"), self.cfg) >= clock)
+        going = self.state.write(last.where(goes_on).select("flow_key", "flow_no"), batch, "going")
+        self.state.write(sizes.join(going, ["flow_key", "flow_no"], "left_semi"), batch, "open")
+        flows = flows_of_sizes(sizes, self.cfg).join(going.withColumn("open", F.lit(True)), ["flow_key", "flow_no"], "left")
+        flows = flows.withColumn("open", F.coalesce("open", F.lit(False)))
+        return flows.withColumn("finalize_reason", F.when(F.col("closed"), "tcp_close").otherwise("timeout")), clock
+
+    def open_flows(self, batch: int) -> DataFrame:
+        """The flows that are open after a batch: the final flush."""
+        held = flows_of_sizes(self.state.read(batch, "open", self.sizes_schema), self.cfg)
+        return held.withColumn("finalize_reason", F.lit("flush"))
+
+    def handle(self, packets: DataFrame, batch: int) -> None:
+        flows, _ = self.step(packets, batch)
+        ended = flows.where("NOT open").drop("open")
+        ended.write.mode("overwrite").parquet(f"{self.folder}/{RESULT}/batch={batch}")
+        self.state.forget(batch)
+
+
+def run_batches(stream: DataFrame, handle, checkpoint: str) -> int:
+    """Run a micro-batch job over everything available; returns the number of its last batch, -1 for none ever."""
+    last = []
+
+    def called(rows: DataFrame, batch: int) -> None:
+        handle(rows, batch)
+        last.append(batch)
+
+    job = stream.writeStream.foreachBatch(called).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return last[-1] if last else -1
+
+
+def last_version(state: StateTables) -> int:
+    """The last batch whose state is there, -1 for none; asked when a run found nothing new."""
+    try:
+        return state.spark.read.option("basePath", state.folder).parquet(f"{state.folder}/version=*/clock").agg(F.max("version")).first()[0]
+    except Exception as e:  # noqa: BLE001 - the folder is missing before the first batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return -1
 
 
 def sessionize_available(
     packets: DataFrame, folder: str, lateness: str, cfg: FlowConfig = DEFAULT, flush: bool = True
 ) -> DataFrame:
-    """Run a packet stream over everything available; return its flows, open ones flushed.
-
-    Packets that the watermark has not passed stay in the checkpoint: end the input with a clock row.
+    """Run a packet stream over everything available; return its flows so far, open ones flushed.
 
-    Without ``flush`` the open flows stay in the checkpoint and a later run continues them.
+    ``lateness`` must cover how far packets come out of order; later ones are dropped and counted
+    (``state.StateTables.clock``). A row without addresses only moves the clock: end the input with one, or packets
+    that the clock has not passed stay in the state. Without ``flush`` the open flows stay there too; a later run on
+    the same folder continues them.
     """
-    spark = packets.sparkSession
-    out, checkpoint = f"{folder}/flows", f"{folder}/checkpoint"
-    run_available(session_stream(packets, lateness, cfg), out, checkpoint)
-    done = spark.read.schema(OUTPUT).parquet(out)
-    if flush:
-        done = done.unionByName(open_flows(spark, checkpoint))
-    return finish(done)
-
-
+    job = Sessions(packets, folder, lateness, cfg)
+    last = run_batches(packets, job.handle, f"{folder}/checkpoint")
+    last = last if last >= 0 else last_version(job.state)
+    open_now = job.open_flows(last)
+    if last < 0:
+        return open_now
+    done = packets.sparkSession.read.schema(open_now.schema).parquet(f"{folder}/{RESULT}").drop("batch")
+    return done.unionByName(open_now) if flush else done
