@@ -611,6 +611,12 @@ FROM v GROUP BY CUBE (dl_verdict, model_used, model_agreement)""",
     # Streams equal their batch operators
     measures = ", ".join(_r(n, n) for n in ("entropy", "iat_mean", "iat_std"))
     q["stream_flows"] = _with(FLOWS, TOTALS.replace("flow_no, ", "").replace(" FROM reasoned", f", {measures} FROM own"))
+    q["intake_restart"] = _with(FLOWS, TOTALS.replace("flow_no, ", ""))
+    q["model_evidence"] = _with(
+        f"{FLOWS}, tested AS (SELECT CAST(count(*) - floor(count(*) * 0.85) AS BIGINT) AS n FROM flows)",
+        "SELECT n AS flows, n AS exact_flows, n AS top_flows FROM tested",
+    )
+    q["flow_csv_headers"] = q["flow_csv_roundtrip"]
     q["stream_scored"] = _with(
         FLOWS,
         "SELECT count(*) AS flows, count(*) AS equal_flows, CAST(0 AS BIGINT) AS alerts_off FROM flows",

@@ -274,6 +274,19 @@ def flow_csv_roundtrip(spark, sf):
     return back.select("flow_id", "src_ip", "dst_port", "protocol", "packet_count", "entropy", "iat_mean", "has_dns", "tls_sni")
 
 
+@query
+def flow_csv_headers(spark, sf):
+    """As flow_csv_roundtrip, from a folder whose files order their columns differently and leave some out."""
+    folder = f"{work_folder(spark, 'flow-csv')}/flows"
+    flows = written(tidy(extract_features(fixtures.packets(spark, sf))), "csv-flows")
+    half = F.crc32(F.col("flow_id").cast("binary")) % 2 == 0
+    flows.where(half).write.option("header", True).csv(folder)
+    other = flows.where(~half).drop("tls_ja3s", "tls_ja4")
+    other.select(*reversed(other.columns)).write.mode("append").option("header", True).csv(folder)
+    back = read_flows(spark, folder, labelled=False)
+    return back.select("flow_id", "src_ip", "dst_port", "protocol", "packet_count", "entropy", "iat_mean", "has_dns", "tls_sni")
+
+
 # --- Training-set tables -----------------------------------------------------------------------
 
 
@@ -438,6 +451,30 @@ def scored_flows(spark, sf):
     return scored.select(*names)
 
 
+@query
+def model_evidence(spark, sf):
+    """Evidence of a fitted linear triage, held against the model: per flow, all contributions to the verdict's class
+    add up to the model's margin at the flow less that at the training mean; and the five kept are the largest."""
+    parts = _parts(spark, sf)
+    model = M.train_linear_triage(parts["train"])
+    weights = model.coefficientMatrix.toArray().tolist()
+    means = fit_scaler(parts["train"])
+    judged = model.transform(M.with_vector(parts["test"])).withColumn("margins", vector_to_array("rawPrediction"))
+    judged = judged.withColumn("ml_idx", F.col("prediction").cast("int"))
+    usual = model.transform(M.with_vector(means.select(*[F.col(f"{c}__mean").alias(c) for c in FEATURE_COLUMNS])))
+    usual = usual.select(vector_to_array("rawPrediction").alias("usual"))  # one row
+    every = linear_evidence(judged, F.col("ml_idx"), weights, means, k=len(FEATURE_COLUMNS)).crossJoin(F.broadcast(usual))
+    top = linear_evidence(judged, F.col("ml_idx"), weights, means).select("flow_id", F.col("shap_evidence").alias("top"))
+    at = F.col("ml_idx") + 1
+    due = F.element_at("margins", at) - F.element_at("usual", at)
+    total = F.aggregate("shap_evidence", F.lit(0.0), lambda s, e: s + e.value)
+    exact = F.abs(total - due) <= 1e-6 * (1 + F.abs(due))
+    first = F.slice("shap_evidence", 1, 5) == F.col("top")
+    return every.join(top, "flow_id").agg(
+        F.count(F.lit(1)).alias("flows"), F.count_if(exact).alias("exact_flows"), F.count_if(first).alias("top_flows")
+    )
+
+
 # --- Routing and evaluation --------------------------------------------------------------------
 
 
@@ -728,6 +765,24 @@ def stream_flows(spark, sf):
     return tidy(made.select(*[c for c in FLOW_TOTALS if c != "flow_no"], "entropy", "iat_mean", "iat_std"))
 
 
+@query
+def intake_restart(spark, sf):
+    """Flow sessions over two runs of a folder intake that archives what it read; equal to flows_event_gap.
+
+    The first run ends with open flows and waiting packets; the second one finds them in the state.
+    """
+    folder = work_folder(spark, "intake")
+    packets = fixtures.packets(spark, sf)
+    half = packets.agg(F.expr("percentile_approx(t_us, 0.5)").alias("at")).first()["at"] or 0
+    early = F.col("t_us") + F.pmod(F.xxhash64("seq"), F.lit(60 * MICROS)) < half
+    lateness = as_files(packets.where(early), f"{folder}/in", "t_us", "seq", end=False)
+    stream = stream_files(spark, f"{folder}/in", packets.schema, files_per_batch=2, archive=f"{folder}/archive")
+    sessionize_available(stream, folder, lateness, flush=False)
+    as_files(packets.where(~early), f"{folder}/in", "t_us", "seq", tick_us=1)
+    made = sessionize_available(stream, folder, lateness)
+    return made.select(*[c for c in FLOW_TOTALS if c != "flow_no"])
+
+
 @query
 def stream_scored(spark, sf):
     """Packets to scored flows and alert files in one stream, held against the batch jobs on the same packets.

@@ -67,15 +67,21 @@ FLOW_SCHEMA = T.StructType(
 
 
 def _csv_headers(spark: SparkSession, path: str, names: set[str]) -> dict[tuple[str, ...], list[str]]:
-    """Header -> files of a CSV folder; a header is a line of names two of which are known, or all."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    fields = F.transform(F.split(F.regexp_replace("value", '["\\r]', ""), ","), F.trim)
-    known = F.size(F.array_intersect(fields, F.array(*map(F.lit, sorted(names)))))
-    heads = lines.select("file", fields.alias("fields")).where(known >= F.least(F.lit(2), F.size(fields)))
+    """Header -> files of a CSV folder. The first line of each file must hold two known names, or be one."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    fields = F.transform(F.split(F.regexp_replace("value", '["\\r\ufeff]', ""), ","), F.trim)
+    known = F.size(F.array_intersect("fields", F.array(*map(F.lit, sorted(names)))))
+    heads = first.select("file", fields.alias("fields"))
+    heads = heads.withColumn("known", known >= F.least(F.lit(2), F.size("fields")))
+    groups = heads.groupBy("fields", "known").agg(F.sort_array(F.collect_list("file")).alias("files"))
     out: dict[tuple[str, ...], list[str]] = {}
-    for row in heads.groupBy("file").agg(F.min("fields").alias("fields")).orderBy("file").collect():
-        out.setdefault(tuple(row["fields"]), []).append(row["file"])
-    return out
+    for row in groups.collect():  # a header each; readers need the names of their files
+        if not row["known"]:
+            raise ValueError(f"no known header in {row['files'][0]}: {','.join(row['fields'])!r}")
+        out[tuple(row["fields"])] = row["files"]
+    return dict(sorted(out.items(), key=lambda item: item[1]))
 
 
 def _load(spark: SparkSession, path: str, form: str, schema: T.StructType) -> DataFrame:

@@ -192,6 +192,16 @@ def test_flow_files_with_differing_headers(spark, tmp_path):
     assert [r.row_order for r in rows] == [1, 2, 3]
 
 
+def test_flow_files_with_unknown_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("flow_id,packet_count\nf1,20\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert read_flows(spark, str(tmp_path), labelled=False).count() == 1
+    for text in ("f2,1\nf3,2\n", "flow_id;packet_count\nf4,3\n"):
+        (tmp_path / "b.csv").write_text(text)
+        with pytest.raises(ValueError, match="b.csv"):
+            read_flows(spark, str(tmp_path), labelled=False)
+
+
 def test_flow_files_without_time_keep_their_lines(spark, tmp_path):
     for name in ("b", "a", "c"):
         lines = "".join(f"{name}{i},{i},64\n" for i in range(30))
@@ -271,7 +281,7 @@ def test_any_scorer(spark):
 def test_sessions_over_disordered_files(spark, tmp_path):
     rows = random_packets(8, n=120)
     p = packets(spark, rows).filter("src_ip IS NOT NULL").persist()
-    lateness = as_files(p, str(tmp_path / "in"), "t_us", "seq", block_s=60)
+    lateness = as_files(p, str(tmp_path / "in"), "t_us", "seq", block_s=600, tick_us=1, file_rows=40)
     assert len(list((tmp_path / "in").glob("*.parquet"))) >= 4
     made = sessionize_available(stream_files(spark, str(tmp_path / "in"), p.schema), str(tmp_path / "work"), lateness)
     batch = with_reason(build_flows(p), p)
