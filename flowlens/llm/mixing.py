@@ -38,7 +38,8 @@ SEED = 20240607
 EPSILON = 1e-9
 COPY_BLOCK = 100_000
 
-UNIT = "doc_id: bigint, size: bigint, source_no: bigint, cell: bigint, copies: bigint, whole: bigint, part: double, part_words: bigint"
+# pandas turns a column of integers with a null into doubles, so a null id travels as 0 and a flag
+UNIT = "doc_id: bigint, nameless: boolean, size: bigint, source_no: bigint, cell: bigint, copies: bigint, whole: bigint, part: double, part_words: bigint"
 
 
 def word_count(text: Column) -> Column:
@@ -110,8 +111,8 @@ def walk(size: np.ndarray, part: np.ndarray, seed: list[int]) -> np.ndarray:
 
 def _flight(last: bool):
     def fly(cell: pd.DataFrame) -> pd.DataFrame:
-        order = pd.util.hash_array(cell["doc_id"].fillna(-1).to_numpy(np.int64))
-        cell = cell.assign(order=order).sort_values(["order", "doc_id", "size"], kind="stable").drop(columns="order")
+        order = pd.util.hash_array(cell["doc_id"].mask(cell["nameless"], -1).to_numpy(np.int64))
+        cell = cell.assign(order=order).sort_values(["order", "nameless", "doc_id", "size"], kind="stable").drop(columns="order")
         seed = [SEED, int(cell["source_no"].iloc[0]) & 0xFFFFFFFF, int(cell["cell"].iloc[0]) & 0xFFFFFFFF, len(cell)]
         part = walk(cell["size"].to_numpy(np.int64), cell["part"].to_numpy(float), seed)
         whole = cell["whole"].to_numpy(np.int64) + (part >= 1)
@@ -142,7 +143,8 @@ def mix_units(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     part = F.greatest(times - whole, F.lit(0.0))
     place = F.pmod(F.xxhash64("doc_id", "size", "source"), F.ceil(F.col("rows") / CELL))
     units = units.select(
-        "doc_id",
+        F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"),
+        F.col("doc_id").isNull().alias("nameless"),
         "size",
         "source_no",
         place.cast("bigint").alias("cell"),
@@ -164,6 +166,7 @@ def mix_units(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
+    out = out.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
     return out, targets
 
 

@@ -84,3 +84,12 @@ def test_documents_are_repeated_and_cut(spark):
         got[r.source] += len(words(r.text))
         assert r.n_chars == len(r.text)
     assert all(abs(got[s] - want[s]) <= 1.01 for s in sizes)
+
+
+def test_large_ids_beside_a_null_id(spark):
+    """Ids beyond 2^53 stay what they are in a cell that also holds a null id."""
+    rows = [(2**60 + i if i else None, f"w{i} " * (i % 7 + 1), "a") for i in range(0, 40)]
+    docs = spark.createDataFrame(rows, "doc_id: bigint, text: string, source: string")
+    got = mix_table(docs).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(r[0] or 0 for r in rows)
+    assert all(r["size"] == (r.doc_id or 2**60) % 2**60 % 7 + 1 for r in got)
