@@ -10,6 +10,7 @@ from flowlens.storage import numbered, placed, shared_folder, work_folder, writt
 
 __all__ = ["numbered", "placed", "shared_folder", "spread_join", "unit", "work_folder", "written"]
 
+
 def unit(value: Column) -> Column:
     """A 64-bit hash as a number in [0, 1)."""
     return F.shiftrightunsigned(value, 11).cast("double") * F.lit(2.0**-53)
