@@ -17,8 +17,8 @@ Jaccard similarity of `percent` or more; groups are the connected components of
   one of their first shingles, rare ones first (`prefixes`), so these are compared across groups where they share
   one. Where more than `small` classes share a shingle, they are dealt into blocks of about `block`, and every two
   blocks are compared in a task: all classes outside the largest group there with one another and with that group.
-* Candidates first compare all their minhashes; those with `agree` or more equal ones are confirmed by the
-  exact intersection of their whole sets (as 64-bit hashes).
+* Candidates first compare all their minhashes, those of blocks the parities of their whole sets, which rule out most
+  pairs and no similar one; the rest is confirmed by the exact intersection of whole sets (as 64-bit hashes).
 
 Components: minimum labels along alternating large-star and small-star rounds, written each round.
 
@@ -59,6 +59,7 @@ class Near:
         return 2 * self.side * self.rows
 
 
+PARITY_BITS = 2048
 SKETCH = "n_shingles bigint, node bigint, minima binary, bands array<bigint>"
 
 
@@ -146,13 +147,20 @@ def equal_minima(x: Column, y: Column) -> Column:
     return F.arrow_udf(count, "bigint")(x, y)
 
 
-def brief_minima(minima: Column) -> Column:
-    """The low byte of each minhash."""
+def parities(sets: Column) -> Column:
+    """PARITY_BITS bits of each set: whether an odd number of its hashes fall on a bit.
 
-    def cut(rows: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(v.as_py(), np.uint32).astype(np.uint8).tobytes() for v in rows], pa.binary())
+    Two sets differ in at least as many elements as these bits differ, so a pair with too many of them is not similar.
+    """
+
+    def fold(rows: pa.Array) -> pa.Array:
+        out = []
+        for v in rows:
+            at = (np.frombuffer(v.as_py(), np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64)
+            out.append(np.packbits(np.bincount(at, minlength=PARITY_BITS) % 2 == 1).tobytes())
+        return pa.array(out, pa.binary())
 
-    return F.arrow_udf(cut, "binary")(minima)
+    return F.arrow_udf(fold, "binary")(sets)
 
 
 def common(x: Column, y: Column) -> Column:
@@ -263,12 +271,13 @@ def prefixes(sets: DataFrame, near: Near) -> DataFrame:
     return out.select("e.key", "node", "n_shingles")
 
 
-def wide_pairs(wide: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+def wide_pairs(wide: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """(x, y) of different labels, likely similar, of wide keys; every such pair is looked at.
 
     Keys with the same classes are one key. Those outside the most frequent label of a key are dealt into `outs`
     blocks, the others into `ins` more; each two blocks of which one is outside meet in a task, which compares sizes
-    and a byte of each minhash (so no pair has fewer equal ones than by the whole minhashes).
+    and parities: with sets of n and m elements at the threshold, at most (n + m) * (100 - percent) / (100 + percent)
+    elements differ, and a pair whose parities differ more often is not similar. No similar pair is lost.
     """
     same = ["one", "two", "count"]
     codes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(c) for i, c in enumerate(same[:2])]
@@ -279,7 +288,7 @@ def wide_pairs(wide: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     keys = keys.where("most.n < count").groupBy(*same).agg(F.min(F.struct("key", "most")).alias("k"))
     blocks = [f"CAST(ceil({n} / {near.block}) AS INT) AS {c}" for n, c in (("(count - k.most.n)", "outs"), ("k.most.n", "ins"))]
     keys = written(keys.selectExpr("k.key", "k.most.label AS main", *blocks), "near-wide-keys")
-    briefs = classes.select("node", brief_minima(F.col("minima")).alias("brief"))
+    briefs = written(sets.select("node", parities(F.col("set")).alias("brief")), "near-parities")
     rows = wide.select("key", "node", "n_shingles", "label").join(keys, "key").join(briefs, "node")
     own = "IF(label = main, outs + pmod(xxhash64(node, 7), ins), pmod(xxhash64(node, 7), outs))"
     rows = rows.withColumn("own", F.expr(f"CAST({own} AS INT)"))
@@ -289,14 +298,15 @@ def wide_pairs(wide: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
 
     def likely(part: pa.Table) -> pa.RecordBatch:
         own, node, size, label = (part.column(c).to_numpy() for c in ("own", "node", "n_shingles", "label"))
-        brief = np.frombuffer(b"".join(part.column("brief").to_pylist()), np.uint8).reshape(len(own), -1)
+        brief = np.frombuffer(b"".join(part.column("brief").to_pylist()), np.uint64).reshape(len(own), -1)
         a = np.flatnonzero(own == part.column("u")[0].as_py())
         b = np.flatnonzero(own == part.column("v")[0].as_py())
-        equal = np.zeros((len(a), len(b)), np.uint16)
+        apart = np.zeros((len(a), len(b)), np.uint16)
         for one, two in zip(np.ascontiguousarray(brief[a].T), np.ascontiguousarray(brief[b].T)):
-            equal += one[:, None] == two
+            apart += np.bitwise_count(one[:, None] ^ two)
+        near_enough = (100 + near.percent) * apart.astype(np.int64) <= (100 - near.percent) * (size[a][:, None] + size[b])
         small, big = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
-        i, j = np.nonzero((equal >= near.agree) & (label[a][:, None] != label[b]) & (100 * small >= near.percent * big))
+        i, j = np.nonzero(near_enough & (label[a][:, None] != label[b]) & (100 * small >= near.percent * big))
         x, y = node[a[i]], node[b[j]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
@@ -365,7 +375,7 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     again = written(labelled(buckets(prefixes(sets, near))), "near-prefixes")
     more = pairs_of(again.where(F.col("count") <= near.small), near, "x.label <> y.label")
     second = confirmed(more.distinct(), docs, classes, near, sets)
-    wide = wide_pairs(again.where(F.col("count") > near.small), classes, near)
+    wide = wide_pairs(again.where(F.col("count") > near.small), sets, near)
     return first.unionByName(second).unionByName(confirmed_in_blocks(wide, sets, near))
 
 

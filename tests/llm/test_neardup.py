@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from edge import edge_documents, no_documents
 from flowlens.llm.neardup import Near, components, keep_one_each, near_table
 
@@ -116,3 +117,20 @@ def test_components(spark):
     got = {r.node: r.root for r in components(frame).collect()}
     assert got == {2: 1, 3: 1, 10: 1, 9: 8, 21: 20, 22: 20, 23: 20, 24: 20}
     assert components(frame.limit(0)).count() == 0
+
+
+def test_parities_rule_out_no_similar_pair(spark):
+    """Parities differ in at most as many bits as the sets differ in elements."""
+    from flowlens.llm.neardup import parities
+
+    rng = np.random.RandomState(4)
+    rows = []
+    for i in range(60):
+        base = rng.randint(0, 2**63, rng.randint(1, 3000), dtype=np.uint64)
+        other = np.concatenate((base[rng.randint(0, max(1, len(base) // 5)) :], rng.randint(0, 2**63, i * 3, dtype=np.uint64)))
+        rows += [(2 * i, np.unique(base)), (2 * i + 1, np.unique(other))]
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in rows], "i: int, set: binary")
+    got = {r.i: np.frombuffer(r.p, np.uint8) for r in df.select("i", parities(df["set"]).alias("p")).collect()}
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        apart = int(np.bitwise_count(got[i] ^ got[j]).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
