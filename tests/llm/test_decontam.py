@@ -1,7 +1,7 @@
 import re
 
 from edge import edge_documents, no_documents
-from flowlens.llm.decontam import Leak, drop_leaks, leak_table
+from flowlens.llm.decontam import drop_leaks, leak_table
 
 ITEMS = [
     (1, "On Monday the farmer Alice sold 12 apples and 30 kg of pears to Bob, so how much did Alice earn in 12 hours?"),
@@ -48,7 +48,12 @@ def test_join_without_broadcast_gives_the_same(spark):
     docs = spark.createDataFrame(texts(), "doc_id: bigint, text: string")
     key = lambda r: (r.doc_id or 0, r.item_id, r.n_windows)
     one = sorted(map(key, leak_table(docs, bench(spark)).collect()))
-    two = sorted(map(key, leak_table(docs, bench(spark), Leak(broadcast_windows=0)).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        two = sorted(map(key, leak_table(docs, bench(spark)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert one == two
 
 
@@ -73,6 +78,27 @@ def test_names_anywhere_and_other_case(spark):
     assert got == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)]
 
 
+def test_short_items_inside_documents(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "Is 7 prime?"), (3, "Name two cold seas"), (4, "Hamlet")]
+    docs = [
+        (1, "Then the teacher asked: who wrote Hamlet? Nobody knew."),
+        (2, "Is 9 prime?"),
+        (3, "She said that nobody asked whether it is 9 prime numbers or ten."),
+        (4, "First name two cold seas."),
+        (5, "Who wrote Dune? Who wrote it, and who has read Hamlet?"),
+        (6, "name two cold lakes, or two cold seas"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id: bigint, text: string")
+    got = sorted((r.doc_id, r.item_id) for r in leak_table(frame, bench(spark, items)).collect())
+    assert got == [(1, 1), (2, 2), (4, 3)]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "x y", 7, 8), (2, CAROL, 7, 8)], "doc_id: bigint, text: string, _row: int, row: int")
+    left = drop_leaks(docs, bench(spark))
+    assert left.columns == docs.columns and left.collect() == [(1, "x y", 7, 8)]
+
+
 def test_plain_passages_equal_brute_force(spark):
     import random
 
