@@ -43,12 +43,14 @@ UNITS = (
     "litres?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|"
     "euros?|usd|eur|°c|°f|degrees?|watts?|kw|volts?|hz|mb|gb"
 )
-BLANKS = rf"[\s\u00a0{MARKS}]+"
+# runs that are not one plain blank already, which most are
+BLANKS = rf" *[\s\u00a0{MARKS}&&[^ ]][\s\u00a0{MARKS}]*+| {{2,}}"
+BETWEEN = rf" *[^\p{{L}}\p{{M}}{MARKS} ][^\p{{L}}\p{{M}}{MARKS}]*+| {{2,}}"
 NUMBERS = r"\p{Nd}++(?:[.,:]\p{Nd}++)*+"
 MEASURES = rf"{NUMBERS} ?((?i:{UNITS}))(?![\p{{L}}\p{{Nd}}])"
 # capitalised words inside a sentence, and anywhere; numbers have become placeholders between blanks
-INSIDE = rf"(?=\p{{Lu}})(?<=[\p{{Ll}},;] |[{MARKS}] {{1,2}})\p{{Lu}}[\p{{L}}'-]*+"
-ANYWHERE = r"(?=\p{Lu})(?<![\p{L}\p{M}'-])\p{Lu}[\p{L}'-]*+"
+INSIDE = rf"(?=\p{{Lu}})(?<=[\p{{Ll}},;] |[{MARKS}] {{1,2}})\p{{Lu}}[\p{{L}}\p{{M}}'-]*+"
+ANYWHERE = r"(?=\p{Lu})(?<![\p{L}\p{M}'-])\p{Lu}[\p{L}\p{M}'-]*+"
 SENTENCE, CAPITALS, PLAIN = 0, 1, 2
 
 
@@ -69,14 +71,14 @@ def measured(text: Column) -> Column:
 
 def template_tokens(text: Column) -> Column:
     """The tokens of a text whose placeholders are set: lower-case words and placeholders."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{M}}{MARKS}]+", " ")), " ")
+    return F.split(F.trim(F.regexp_replace(F.lower(text), BETWEEN, " ")), " ")
 
 
 def templated(rows: DataFrame, key: str, *also: str) -> DataFrame:
     """(key, kind, tokens, *also) of the three templates of each of rows (key, text)."""
     base = rows.select(key, collapsed(F.col("text")).alias("text"))
     base = base.select(key, "text", measured(F.col("text")).alias("marked"))
-    named = [F.regexp_replace("marked", pattern, f" {NAME} ") for pattern in (INSIDE, ANYWHERE)]
+    named = [F.regexp_replace("marked", pattern, NAME) for pattern in (INSIDE, ANYWHERE)]
     kinds = F.array(*(template_tokens(text) for text in (*named, F.col("marked"))))
     return base.select(key, *also, F.posexplode(kinds).alias("kind", "tokens"))
 
@@ -183,7 +185,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> Da
     met = written(met.withColumn("line", F.col("doc_at") - F.col("item_at")), "leak-lines")
 
     slotted = met.where("slots > 0")
-    texts = keyed.join(slotted.select("row").distinct(), "row").dropDuplicates(["row"])
+    picked = written(slotted.select("row").distinct(), "leak-rows")
+    texts = keyed.join(picked, "row").dropDuplicates(["row"])
     theirs = slots_of(texts, "row").withColumnsRenamed({"at": "d", "value": "doc_value"})
     ours = slots_of(items.select("item", "text"), "item").withColumnsRenamed({"at": "i", "value": "item_value"})
     ours = written(ours, "leak-item-slots")
