@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import permutations
 
 from flowlens.llm.filter_audit import FILTERS, Filters
-from flowlens.llm.quality import BOILERPLATE, Rules
+from flowlens.llm.quality import BOILERPLATE, CLOSERS, MARKS, UNMARKED, WIDE_MARKS, Rules
 from flowlens.llm.resample import Resampling
 from flowlens.llm.sharding import JUMP_FACTOR, SHARDS
 from flowlens.llm.vecdup import Vectors
@@ -13,9 +13,19 @@ from flowlens.llm.vecdup import Vectors
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _escaped(char: str) -> str:
+    return rf"\x{{{ord(char):X}}}"
+
+
+def _one_of(chars: str) -> str:
+    return f"[{''.join(map(_escaped, chars))}]"
+
+
 def quality() -> str:
     rules = Rules()
     boilerplate = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+    marks, wide, closers = (_one_of(chars) for chars in (MARKS + WIDE_MARKS, WIDE_MARKS, CLOSERS))
+    running = rf"{marks}{closers}*([\x20\x09-\x0D]|$)|{wide}|[{'-'.join(map(_escaped, UNMARKED))}]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS ws FROM d),
@@ -28,7 +38,7 @@ held AS (SELECT r, line, regexp_extract_all(line, '{WORD}') AS ws FROM lines WHE
 sized AS (SELECT *, list_sum(list_transform(ws, lambda x: length(x))) AS chars,
   len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '!')) AS shouts,
   len(regexp_extract_all(line, '[A-Z]')) AS capitals, len(regexp_extract_all(line, '[a-z]')) AS smalls FROM held),
-judged AS (SELECT *, NOT regexp_matches(line, '[.,;:!?]([\x20\x09-\x0D]|$)') OR 100 * symbols > {rules.symbol_percent} * chars
+judged AS (SELECT *, NOT regexp_matches(line, '{running}') OR 100 * symbols > {rules.symbol_percent} * chars
   OR (shouts >= 3 AND capitals > smalls) OR len(list_filter(ws, lambda x: x IN ('|', '>', '<'))) >= 2
   OR {boilerplate} AS bad FROM sized),
 per_doc AS (SELECT r, count(*) - count(DISTINCT line) AS dup, count(*) AS n_lines, count_if(bad) AS n_bad,

@@ -1,15 +1,17 @@
 """Quality rules, line first: bad lines are removed, then documents that lose too much text are rejected.
 
 A line (text split at `\\n`) with a word fails when
-* punctuation: no word of it ends in a sentence mark, more than `symbol_percent` of its characters are
-  symbols, or it shouts (three or more `!` and mostly capitals);
+* punctuation: no word of it ends in a sentence mark (closing quotes and brackets after the mark aside), it holds
+  no mark of a script written without blanks, and no letter of a script without marks (Thai, Lao); or more than
+  `symbol_percent` of its characters are symbols, or it shouts (three or more `!` and mostly capitals);
 * navigation: two or more of its words are lone separators;
 * boilerplate: it holds a phrase of `BOILERPLATE`.
 
 A document is rejected when it fails the base rules (fewer than `min_words` words, or over half of its words
 lie in 3-word windows that occur again in it) or when failing lines hold more than `lost_percent` of its
 characters. Null and empty texts have no words, so they are rejected. Lines without a word never fail and
-hold nothing. Repeated rows get equal answers; no row depends on another one.
+hold nothing. Repeated rows get equal answers; no row depends on another one, so ties do not arise. An empty table
+gives an empty one. `judge_documents` reads doc_id and text alone; `keep_clean` hands on extra columns as they are.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ from flowlens.shipping import ship
 
 ship(__name__)
 
-# Characters counted as symbols, sentence marks, lone separators and boilerplate phrases.
+# Characters counted as symbols; sentence marks at the end of a word; those of scripts without blanks,
+# which may stand anywhere in it; closing quotes and brackets; first and last letter of scripts without marks (Thai
+# and Lao); lone separators and boilerplate phrases.
 SYMBOLS = "#*$%&|<>"
-MARKS = ".,;:!?"
+MARKS = ".,;:!?\u00b7\u0387\u037e\u0589\u060c\u061b\u061f\u06d4\u0964\u0965\u104a\u104b\u1362\u17d4\u17d5\u2026"
+WIDE_MARKS = "\u0f0d\u0f0e\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64"
+CLOSERS = "\"')]}\u00bb\u2018\u2019\u201c\u201d\u203a\u300b\u300d\u300f\u3011\uff09"
+UNMARKED = ("\u0e01", "\u0eff")
 SEPARATORS = "|><"
 BOILERPLATE = (
     "all rights reserved",
@@ -71,11 +78,54 @@ def _lut(chars: str) -> np.ndarray:
     return table
 
 
-SYMBOL, MARK, SEPARATOR = _lut(SYMBOLS), _lut(MARKS), _lut(SEPARATORS)
+SYMBOL, SEPARATOR = _lut(SYMBOLS), _lut(SEPARATORS)
 CAPITAL = _lut("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SMALL = _lut("abcdefghijklmnopqrstuvwxyz")
 
 
+class Ends:
+    """Of each byte: whether a character of one of the sets ends there."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.wide = data, np.flatnonzero(data >= 0xC2)
+        self.wide = self.wide[data[self.wide] < 0xF0]
+        long = data[self.wide] >= 0xE0
+        self.last = self.wide + 1 + long
+        at = [data[np.minimum(self.wide + k, len(data) - 1)].astype(np.int32) & 0x3F for k in (0, 1, 2)]
+        lead = np.where(long, at[0] & 0x0F, at[0] & 0x1F)
+        self.code = np.where(long, (lead << 12) | (at[1] << 6) | at[2], (lead << 6) | at[1])
+
+    def of(self, chars: str) -> np.ndarray:
+        """Where characters of `chars` end."""
+        found = _lut("".join(c for c in chars if c < "\x80"))[self.data]
+        found[self.last[np.isin(self.code, [ord(c) for c in chars if c >= "\x80"])]] = True
+        return found
+
+    def between(self, first: str, last: str) -> np.ndarray:
+        found = np.zeros(len(self.data), bool)
+        found[self.last[(self.code >= ord(first)) & (self.code <= ord(last))]] = True
+        return found
+
+
+def sentence_ends(words: K.Words) -> np.ndarray:
+    """True at bytes that show a line to be running text: marks, or letters of scripts without marks."""
+    data, ends = words.data, Ends(words.data)
+    mark, closer = ends.of(MARKS + WIDE_MARKS), ends.of(CLOSERS)
+    last = words.ends - 1
+    tail = closer[last]
+    if tail.any():
+        whole = np.ones(len(data), bool)
+        whole[:-1] = (data[1:] & 0xC0) != 0x80
+        core = np.flatnonzero(whole & ~closer)
+        place = np.searchsorted(core, words.ends[tail]) - 1
+        stop = core[np.maximum(place, 0)] if len(core) else np.zeros(len(place), np.int64)
+        inside = (place >= 0) & (stop >= words.starts[tail])
+        last[tail] = np.where(inside, stop, last[tail])
+    out = ends.of(WIDE_MARKS) | ends.between(*UNMARKED)
+    out[last[mark[last]]] = True
+    return out
+
+
 class Lines:
     """Bounds of the lines of a chunk of documents and the failing ones."""
 
@@ -87,9 +137,7 @@ class Lines:
         per_doc = 1 + np.diff(np.searchsorted(breaks, offsets))
         self.bounds = np.concatenate(([0], np.cumsum(per_doc)))
         self.doc = np.repeat(np.arange(len(per_doc)), per_doc)
-        at = np.zeros(len(data), bool)
-        at[words.ends[MARK[data[words.ends - 1]]] - 1] = True
-        marks = self._count(at)
+        marks = self._count(sentence_ends(words))
         at = np.zeros(len(data), bool)
         lone = words.starts[(words.ends - words.starts == 1) & SEPARATOR[data[words.starts]]]
         at[lone] = True

@@ -1,7 +1,10 @@
 import collections
 import re
 
+import numpy as np
 from edge import edge_documents, no_documents, words
+from flowlens.llm import quality as Q
+from flowlens.llm import tokens as K
 from flowlens.llm.quality import Rules, judge_documents, keep_clean
 
 
@@ -63,3 +66,35 @@ def test_clean_table_keeps_columns_and_handles_nothing(spark):
     assert kept.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in kept.collect())
     assert keep_clean(no_documents(spark)).count() == judge_documents(no_documents(spark)).count() == 0
+
+
+def test_sentence_marks_of_other_scripts_and_quotes(spark):
+    line = {
+        "zh": "河水 流过 老 磨坊，工人 数着 粮袋 。",
+        "zh in one": "河水流过老磨坊，工人数着粮袋。再见",
+        "hi": "नदी पुरानी चक्की के पास बहती है।",
+        "ar": "هل يمر النهر قرب الطاحونة؟",
+        "th": "แม่น้ำ ไหล ผ่าน โรงสี เก่า",
+        "curly": "“The river rises in the spring.”",
+        "nested": "(he said: 'the river rises!')”]",
+        "none": "the river “rises” in the spring \U0001f600",
+        "closers alone": "the river rises '\"') in the spring",
+        "mark inside": "the file.name of a v1.2x release",
+    }
+    docs = spark.createDataFrame([(k, "\n".join([v] * 20)) for k, v in line.items()], "doc_id: string, text: string")
+    got = {r.doc_id: r.n_bad_lines for r in judge_documents(docs).collect()}
+    bad = {"none", "closers alone", "mark inside"}
+    assert got == {k: 20 * (k in bad) for k in line}
+
+
+def test_sentence_ends_equal_a_pattern():
+    rng = np.random.RandomState(5)
+    signs = [*"ab .,!\"')", " ", " ", "”", "。", "।", "é", "ก", "\U0001f600", "…"]
+    marks, wide, closers = (f"[{re.escape(c)}]" for c in (Q.MARKS + Q.WIDE_MARKS, Q.WIDE_MARKS, Q.CLOSERS))
+    pattern = re.compile(rf"{marks}{closers}*(?=[\x20\x09-\x0D]|$)|{wide}|[ก-໿]")
+    texts = ["".join(rng.choice(signs, rng.randint(0, 9))) for _ in range(4000)] + ["", "”", "."]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    found = Q.sentence_ends(K.Words(np.frombuffer(b"".join(raw), np.uint8), offsets))
+    got = [bool(found[a:b].any()) for a, b in zip(offsets, offsets[1:])]
+    assert got == [bool(pattern.search(t)) for t in texts]
