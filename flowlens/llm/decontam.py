@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.work import written
+from flowlens.llm.work import row_key, written
 
 # The placeholders (private-use characters) and the units they recognise.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -151,12 +151,6 @@ def slots_of(rows: DataFrame, key: str) -> DataFrame:
     return tokens.select(key, "kind", F.inline(F.concat(*slots)))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """128 bits of a document's id and text."""
-    name = F.coalesce(F.md5(doc_id.cast("string")), F.lit("-"))
-    return F.unhex(F.md5(F.concat(name, F.coalesce(text, F.lit("")))))
-
-
 def _share(found: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
     counts = found.groupBy("row", "kind", "item").agg(F.count_distinct("key").alias("n_windows"))
     return counts.join(totals, ["item", "kind"]).where(F.col("n_windows") * 100 >= percent * F.col("item_windows"))

@@ -9,7 +9,8 @@ inclusion probability for one more pass. The cube method rounds these fractions:
   space of two constraints, words and documents, so both totals stay exactly as they are; each step settles
   at least one document, and at most three of a cell stay open;
 * the open documents of many cells meet in a next, smaller flight, until one cell per source is left;
-* landing: the last open documents of a source, three at most, are taken with their fraction of their words.
+* landing: of the last open documents of a source, three at most, `mix_table` takes their fraction of their words;
+  `mix_documents` takes whole documents, the choice of them that is nearest to these words.
 
 Rows that agree in (doc_id, source, size) are one unit of several copies, so no group of repeated rows is
 held together. Null texts have size 0 and are never taken; a table without words takes nothing; null is a
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,54 +191,52 @@ def mix_table(docs: DataFrame) -> DataFrame:
     return single.unionByName(several).select("doc_id", "size", "source_size", "target", taken)
 
 
-def first_words(text: Column, count: Column) -> Column:
-    """The text up to the end of its `count`-th word."""
+def landed(opened: DataFrame) -> DataFrame:
+    """Units taken in part, each a whole document more or not: of a source, the choice nearest to the words of its parts.
 
-    def cut(texts: pa.Array, counts: pa.Array) -> pa.Array:
-        out = []
-        for value, n in zip(texts, counts):
-            raw, n, at = (value.as_py() or "").encode(), n.as_py(), 0
-            for word in raw.split()[:n]:
-                at = raw.index(word, at) + len(word)
-            out.append(raw[:at].decode())
-        return pa.array(out, pa.string())
-
-    return F.arrow_udf(cut, "string")(text, count)
+    A source has three such units at most, so there are eight choices; of equally near ones, the first.
+    """
+    unit = F.struct("id", "words", "copies", "whole", "part_words", "unit")
+    listed = opened.groupBy("of").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    taken = "aggregate(sequence(0, size(units) - 1), 0L, (a, i) -> a + shiftright(m, i) % 2 * units[i].words)"
+    parts = "aggregate(units, 0L, (a, u) -> a + CAST(u.part_words AS BIGINT))"
+    choices = f"transform(sequence(0, shiftleft(1, size(units)) - 1), m -> struct(abs({parts} - {taken}) AS off, m AS m))"
+    best = listed.select("of", "units", F.expr(f"array_min({choices}).m").alias("m"))
+    each = best.select("of", "m", F.posexplode("units").alias("i", "u"))
+    whole = F.expr("u.whole + shiftright(m, i) % 2").alias("whole")
+    return each.select("u.id", "of", "u.words", "u.copies", whole, "u.unit")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: repeated, left out, and the landing ones cut; same columns."""
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    keyed = keyed.withColumn("_unit", F.xxhash64("doc_id", "source", "_size"))
-    sized = written(keyed.select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
+    """The documents as the mix takes them: repeated or left out, always whole; same columns, whatever their names.
+
+    Each source's words are within half the size of its largest document of what op7's table takes.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), word_count(F.col("text")).alias("size"))
+    keyed = keyed.select("doc", F.col("doc.doc_id").cast("bigint").alias("doc_id"), "doc.source", "size")
+    sized = written(keyed.select("doc_id", "source", "size"), "mix-sizes")
     units, targets = mix_units(sized)
     named = units.join(targets.select("source_no", "source"), "source_no").select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_source"),
-        F.col("size").alias("_words"),
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("of"),
+        F.col("size").alias("words"),
         "copies",
         "whole",
         "part_words",
-        F.xxhash64("doc_id", "source", "size").alias("_unit"),
+        F.xxhash64("doc_id", "source", "size").alias("unit"),
     )
     named = written(named.where("whole > 0 OR part_words > 0"), "mix-units")
+    closed = named.where("part_words = 0").drop("part_words")
+    taken = written(closed.unionByName(landed(named.where("part_words > 0"))).where("whole > 0"), "mix-taken")
     same = (
-        (F.col("d._unit") == F.col("u._unit"))
-        & F.col("d.doc_id").eqNullSafe(F.col("u._id"))
-        & F.col("d.source").eqNullSafe(F.col("u._source"))
-        & (F.col("d._size") == F.col("u._words"))
-    )
-    kept = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
-    extra = [F.col(f"u.{c}").alias(f"_{c}") for c in ("copies", "whole", "part_words", "_unit")]
-    joined = keyed.alias("d").join(named.alias("u"), same).select(*kept, "_size", *extra)
-    several = joined.where("_copies > 1").withColumn(
-        "_row", F.expr("row_number() OVER (PARTITION BY __unit, doc_id, source, _size ORDER BY text)")
+        (F.xxhash64("d.doc_id", "d.source", "d.size") == F.col("u.unit"))
+        & F.col("d.doc_id").eqNullSafe(F.col("u.id"))
+        & F.col("d.source").eqNullSafe(F.col("u.of"))
+        & (F.col("d.size") == F.col("u.words"))
     )
-    rows = joined.where("_copies = 1").withColumn("_row", F.lit(1)).unionByName(several)
-    passed = rows.withColumn("_pass", F.expr("_whole div _copies + IF(_row <= _whole % _copies, 1, 0)"))
-    passed = passed.withColumn("_cut", F.expr("IF(_row = _whole % _copies + 1, _part_words, 0)"))
-    whole = passed.where("_pass > 0").withColumn("_pass", F.expr("explode(sequence(1L, _pass))"))
-    cut = passed.where("_cut > 0").withColumn("text", first_words(F.col("text"), F.col("_cut")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+    joined = keyed.alias("d").join(taken.alias("u"), same).select("d.*", "u.copies", "u.whole", "u.unit")
+    place = "row_number() OVER (PARTITION BY unit, doc_id, source, size ORDER BY doc.text)"
+    several = joined.where("copies > 1").withColumn("row", F.expr(place))
+    rows = joined.where("copies = 1").withColumn("row", F.lit(1)).unionByName(several)
+    passed = rows.withColumn("pass", F.expr("whole div copies + IF(row <= whole % copies, 1, 0)")).where("pass > 0")
+    return passed.select("doc", F.explode(F.expr("sequence(1L, pass)"))).select("doc.*")

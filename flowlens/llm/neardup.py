@@ -24,6 +24,7 @@ Components: minimum labels along alternating large-star and small-star rounds, w
 
 Rows with a null id take part, but never give a component its name; a group without any id has a null
 component and nothing kept. Repeated rows share their component. An empty table gives an empty result.
+`keep_one_each` hands on extra columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tokens as K
-from flowlens.llm.work import written
+from flowlens.llm.work import row_key, written
 from flowlens.shipping import ship
 
 ship(__name__)
@@ -124,7 +125,7 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_row", "n_shingles", "node", "minima", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row bigint, {SKETCH}")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row binary, {SKETCH}")
 
 
 def whole_sets(texts: DataFrame, near: Near) -> DataFrame:
@@ -204,10 +205,10 @@ def ordered_pairs(one: str, two: str) -> list[Column]:
 
 
 def tables(live: DataFrame) -> DataFrame:
-    """A row for each pair of a shared band of the one collection and one of the other: key, node, n_shingles, i, j."""
+    """A row for each pair of a shared band of the one collection and one of the other: key, node, n_shingles."""
     keyed = live.select("node", "n_shingles", "bands", F.explode("low").alias("i"), "high")
     keyed = keyed.select("node", "n_shingles", "bands", "i", F.explode("high").alias("j"))
-    return keyed.select(F.expr("xxhash64(i, j, bands[i], bands[j])").alias("key"), "node", "n_shingles", "i", "j")
+    return keyed.select(F.expr("xxhash64(i, j, bands[i], bands[j])").alias("key"), "node", "n_shingles")
 
 
 def shared_bands(classes: DataFrame, near: Near) -> DataFrame:
@@ -232,6 +233,7 @@ def confirmed(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, near: Near, sets: DataFrame | None = None
 ) -> DataFrame:
     """(x, y) of the pairs whose whole sets are similar enough; `sets`, if given, has those of all pairs."""
+    pairs = written(pairs, "near-pairs")  # Spark knows its size: the sketches are shuffled for many pairs only
     slim = classes.select("node", "n_shingles", "minima")
     one = slim.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
     two = slim.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
@@ -402,14 +404,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, _row, n_shingles, root, component_id) for every document; root is null for an empty set."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("_row"))
     signed = written(sketches(keyed, near), "near-sketches")
     full = signed.where("node IS NOT NULL")
-    # one row stands for its class; any may, as all have the same set
-    first = full.groupBy("node").agg(F.min("_row").alias("keeper"), F.min("doc_id").alias("least_id"))
-    body = full.select(F.col("_row").alias("keeper"), F.col("node").alias("_node"), "n_shingles", "minima", "bands")
-    classes = first.join(body.withColumnRenamed("_node", "node"), ["keeper", "node"])
-    classes = written(classes.dropDuplicates(["keeper", "node"]), "near-classes")
+    # one row stands for its class; the sketch may be any row's, as all have the same set
+    sketch = [F.first(c).alias(c) for c in ("n_shingles", "minima", "bands")]
+    classes = full.groupBy("node").agg(F.min("_row").alias("keeper"), F.min("doc_id").alias("least_id"), *sketch)
+    classes = written(classes, "near-classes")
     roots = components(links(keyed, classes, near))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = classes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -438,5 +439,5 @@ def keep_one_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")
     kept = named.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("first")).select("first._row")
     kept = written(kept.unionByName(named.where("root IS NULL").select("_row").distinct()), "near-kept")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("_row"))
+    return keyed.join(kept, "_row").dropDuplicates(["_row"]).select("doc.*")

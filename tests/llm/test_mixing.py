@@ -2,7 +2,7 @@ import collections
 
 import numpy as np
 from edge import edge_documents, no_documents, words
-from flowlens.llm.mixing import mix_documents, mix_table, walk
+from flowlens.llm.mixing import landed, mix_documents, mix_table, walk
 
 
 def targets(sizes):
@@ -72,18 +72,33 @@ def test_many_cells_and_repeated_rows(spark):
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
 
 
-def test_documents_are_repeated_and_cut(spark):
-    docs = edge_documents(spark)
+def test_documents_are_repeated_and_whole(spark):
+    """Whole documents, at most twice, and each source as near its target as whole documents allow."""
+    rng = np.random.RandomState(8)
+    extra = [(100 + i, f"w{i} " * int(rng.randint(1, 90)), f"s{i % 5}") for i in range(400)]
+    docs = edge_documents(spark).select("doc_id", "text", "source", "size")
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id: bigint, text: string, source: string"), True)
+    docs = docs.selectExpr("*", "7 AS _row", "'x' AS _unit", "doc_id AS _size", "1 AS unit")
     mixed = mix_documents(docs)
     assert mixed.columns == docs.columns
-    sizes = collections.Counter()
-    for r in docs.collect():
+    rows, sizes, largest = docs.collect(), collections.Counter(), collections.Counter()
+    for r in rows:
         sizes[r.source] += len(words(r.text))
-    want, got = targets(sizes), collections.Counter()
+        largest[r.source] = max(largest[r.source], len(words(r.text)))
+    want, got, times = targets(sizes), collections.Counter(), collections.Counter()
     for r in mixed.collect():
         got[r.source] += len(words(r.text))
-        assert r.n_chars == len(r.text)
-    assert all(abs(got[s] - want[s]) <= 1.01 for s in sizes)
+        times[tuple(r)] += 1
+    assert all(abs(got[s] - want[s]) <= largest[s] / 2 + 1.01 for s in sizes)
+    assert all(n <= 2 * rows.count(r) for r, n in times.items())
+
+
+def test_landing_is_the_nearest_choice(spark):
+    units = [(i, "a", w, 1, 0, p, i) for i, w, p in ((1, 10, 4), (2, 7, 5), (3, 4, 1))] + [(4, None, 9, 2, 3, 5, 4)]
+    opened = spark.createDataFrame(units, "id: bigint, of: string, words: bigint, copies: bigint, whole: bigint, part_words: bigint, unit: bigint")
+    got = {r.id: r.whole for r in landed(opened).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 4}
+    assert landed(opened.limit(0)).count() == 0
 
 
 def test_large_ids_beside_a_null_id(spark):

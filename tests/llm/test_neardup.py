@@ -134,3 +134,10 @@ def test_parities_rule_out_no_similar_pair(spark):
     for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
         apart = int(np.bitwise_count(got[i] ^ got[j]).sum())
         assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_extra_columns_keep_their_values(spark):
+    docs = edge_documents(spark).selectExpr("*", "7 AS _row", "'n' AS node_", "doc_id AS keeper")
+    kept = keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}

@@ -46,12 +46,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert len(third) >= len(second) - len(leaking) - 1
 
     assert {r["doc_id"] for r in fourth} <= {r["doc_id"] for r in third}
-    sizes, taken = collections.Counter(), collections.Counter()
+    sizes, taken, largest = collections.Counter(), collections.Counter(), collections.Counter()
     for r in third:
         sizes[r["source"]] += len(words(r["text"]))
+        largest[r["source"]] = max(largest[r["source"]], len(words(r["text"])))
     for r in fourth:
         taken[r["source"]] += len(words(r["text"]))
-    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= len(sizes) + 1
+    assert {str(r) for r in fourth} <= {str(r) for r in third}
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= sum(largest.values()) / 2 + len(sizes) + 1
     assert all(taken[s] <= 2 * sizes[s] for s in taken)
 
     assert sorted(map(str, fourth)) == sorted(str({c: r[c] for c in fourth[0]}) for r in fifth)
@@ -78,7 +80,7 @@ def test_all_document_queries_run_on_the_smallest_tables(spark):
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in found if name.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in found if name.startswith("op")}
     assert "pipeline" in found
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op2_language", "op5_quality_rules", "op6_sharding", "op9_licenses"):
