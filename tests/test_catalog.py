@@ -43,3 +43,15 @@ def test_every_check_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_captures_hold_hosts_of_any_number(spark, tmp_path):
+    """User 75,005 is host 10.1.300.5, which has no four bytes of its own."""
+    from flowlens.catalog import fixtures, queries
+
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(40)
+    events.selectExpr("event_id", "ts", "user_id + 75000 user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    want = fixtures.packets(spark, str(tmp_path)).select(*queries.PACKET_FIELDS)
+    got = queries.captures(spark, str(tmp_path)).select(*queries.PACKET_FIELDS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.where("src_ip LIKE '10.1.3__.%' OR dst_ip LIKE '10.1.3__.%'").count() == 40
