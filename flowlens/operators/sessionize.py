@@ -223,7 +223,8 @@ def number_pieces(parts: DataFrame, cfg: FlowConfig = DEFAULT) -> DataFrame:
     fresh = F.col("prev").isNull() | (gap >= timeout_us(F.col("protocol"), cfg)) | F.col("prev.close")
     cells = cells.withColumns({"fresh": exact_flag(fresh), "gap": gap})
     total = F.sum(F.col("fresh") + F.col("pieces")).over(by_cell.rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.withColumn("base", total - F.col("pieces"))
+    cells = cells.withColumn("base", total - F.col("pieces")).drop("prev", "tail", "first_us", "pieces")
+    cells = written(cells, "flow-cells")  # read for the numbers and for the gaps
     numbered_parts = parts.join(cells.select(*keys, "cell", "base"), [*keys, "cell"])
     numbered_parts = numbered_parts.withColumn("flow_no", F.col("base") + F.col("piece")).drop("base", "cell", "piece")
     wide = F.col("gap").cast("decimal(19,0)")
