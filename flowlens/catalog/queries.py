@@ -28,7 +28,7 @@ from flowlens.operators import evaluate as V
 from flowlens.operators import latency as L
 from flowlens.operators import models as M
 from flowlens.operators import routing as R
-from flowlens.operators.behaviour import COUNTS, source_behaviour
+from flowlens.operators.behaviour import COUNTS, OPENED, source_behaviour
 from flowlens.operators.evidence import linear_evidence
 from flowlens.operators.features import (
     add_indicators,
@@ -52,17 +52,12 @@ from flowlens.sources.sensors import packets_of_field_dump
 from flowlens.sources.sinks import replay_records
 from flowlens.sources.tables import read_flows
 from flowlens.storage import work_folder, written
-from flowlens.streaming.common import as_files, run_available, stream_files
+from flowlens.streaming.common import as_files, stream_files
 from flowlens.streaming.detect import detect_available
 from flowlens.streaming.replay import score_and_alert
 from flowlens.streaming.sessions import sessionize_available
-from flowlens.streaming.sources import (
-    behaviour_events,
-    behaviour_stream,
-    combine_salts,
-    incident_stream,
-    sequence_stream,
-)
+from flowlens.streaming.sources import behaviour_events
+from flowlens.streaming.windows import behaviour_available, incidents_available, sequences_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -754,6 +749,8 @@ def verdict_cube(spark, sf):
 def _replayed(rows: DataFrame, folder: str, t_us: str, tie: str, tick_us: int = 1000, files: int = 1) -> tuple[DataFrame, str]:
     """A table as a stream of several files out of order, and the lateness that covers the disorder."""
     lateness = as_files(rows, f"{folder}/in", t_us, tie, tick_us=tick_us)
+    # what waits is a share of the table, so the number of batches must not grow with it
+    files = max(files, -(-len(rows.sparkSession.read.parquet(f"{folder}/in").inputFiles()) // 8))
     return stream_files(rows.sparkSession, f"{folder}/in", rows.schema, files_per_batch=files), lateness
 
 
@@ -811,18 +808,17 @@ def stream_scored(spark, sf):
 def stream_behaviour(spark, sf):
     """Source behaviour on a stream of openings and probes; equal to source_behaviour_past."""
     folder = work_folder(spark, "behaviour")
-    events, lateness = _replayed(behaviour_events(measured_flows(fixtures.packets(spark, sf))), folder, "t_us", "flow_id")
-    run_available(behaviour_stream(events, lateness), f"{folder}/out", f"{folder}/checkpoint")
-    return combine_salts(spark.read.parquet(f"{folder}/out"))
+    flows = written(measured_flows(fixtures.packets(spark, sf)).select("flow_id", *OPENED, "last_us"), "behaviour-flows")
+    events, lateness = _replayed(behaviour_events(flows), folder, "t_us", "flow_id", tick_us=1)
+    return behaviour_available(events, folder, lateness)
 
 
 @query
 def stream_incidents(spark, sf):
     """Incidents of the alert stream; equal to incidents."""
     folder = work_folder(spark, "incidents")
-    alerts, lateness = _replayed(_alert_stream(spark, sf), folder, "t_us", "alert_id")
-    run_available(incident_stream(alerts, lateness), f"{folder}/out", f"{folder}/checkpoint")
-    return tidy(spark.read.parquet(f"{folder}/out"))
+    alerts, lateness = _replayed(_alert_stream(spark, sf), folder, "t_us", "alert_id", tick_us=1)
+    return tidy(incidents_available(alerts, folder, lateness))
 
 
 @query
@@ -832,10 +828,8 @@ def stream_sequences(spark, sf):
     rows = fixtures.scored(spark, sf).select(
         F.col("seq").cast("string").alias("flow_id"), "seq", "t_us", "src_ip", "y_true", "latency_ms"
     )
-    stream, lateness = _replayed(rows, folder, "t_us", "seq")
-    made = sequence_stream(stream, "src_ip", "t_us", "seq", lateness, ["y_true", "latency_ms"])
-    run_available(made, f"{folder}/out", f"{folder}/checkpoint")
-    out = spark.read.parquet(f"{folder}/out")
+    stream, lateness = _replayed(rows, folder, "t_us", "seq", tick_us=1)
+    out = sequences_available(stream, "src_ip", "seq", folder, lateness, ["y_true", "latency_ms"])
     total = F.aggregate(F.transform("sequence", lambda x: x[0]), F.lit(0.0), lambda a, b: a + b)
     oldest = F.element_at("sequence", 1)[1]
     return tidy(out.select(F.col("flow_id").cast("long").alias("seq"), total.alias("sum_class"), oldest.alias("oldest_ms")))

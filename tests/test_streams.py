@@ -62,3 +62,34 @@ def test_a_stream_takes_no_cap(spark):
     p = packets(spark, [(0, "10.0.0.1", 1, "10.0.0.2", 80, "TCP", 60, "A")])
     with pytest.raises(ValueError):
         Sessions(p, "unused", "1 second", FlowConfig(history_cap=5))
+
+
+def test_windows_on_a_stream_equal_the_batch_jobs(spark, tmp_path):
+    """Behaviour, incidents and sequences of several batches, whatever the source, without a call for each source."""
+    from flowlens.operators.alerts import incidents
+    from flowlens.operators.behaviour import COUNTS, OPENED, source_behaviour
+    from flowlens.operators.dataset import host_sequences
+    from flowlens.streaming.sources import behaviour_events
+    from flowlens.streaming.windows import behaviour_available, incidents_available, sequences_available
+
+    def replayed(rows, name, tie):
+        lateness = as_files(rows, str(tmp_path / name / "in"), "t_us", tie, block_s=600, tick_us=1)
+        return stream_files(spark, str(tmp_path / name / "in"), rows.schema), str(tmp_path / name), lateness
+
+    def rows(df, *names):
+        return sorted(map(str, df.select(*names).collect()))
+
+    flows = build_flows(packets(spark, random_packets(5, n=150))).select("flow_id", *OPENED, "last_us").persist()
+    made = behaviour_available(*replayed(behaviour_events(flows), "behaviour", "flow_id"))
+    assert rows(made, "flow_id", *COUNTS) == rows(source_behaviour(flows), "flow_id", *COUNTS)
+    alerts = spark.range(90).selectExpr(
+        "id AS alert_id", "concat('h', id % 3) AS src_ip", "id * 21000000 AS t_us",
+        "element_at(array('benign', 'dos', 'c2'), CAST(id % 7 % 3 + 1 AS INT)) AS threat_class", "CAST(id % 10 * 10 AS DOUBLE) AS risk_score",
+    ).persist()
+    names = ["alert_id", "src_ip", "t_us", "alert_count", "class_count", "max_risk_score"]
+    assert rows(incidents_available(*replayed(alerts, "incidents", "alert_id")), *names) == rows(incidents(alerts), *names)
+    hosts = alerts.withColumn("flow_id", F.col("alert_id").cast("string"))
+    stream, folder, lateness = replayed(hosts, "sequences", "alert_id")
+    made = sequences_available(stream, "src_ip", "alert_id", folder, lateness, ["risk_score"], 4)
+    want = host_sequences(hosts, "src_ip", ["t_us", "alert_id"], ["risk_score"], 4)
+    assert rows(made, "flow_id", "sequence") == rows(want, "flow_id", "sequence")
