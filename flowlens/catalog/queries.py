@@ -632,8 +632,10 @@ def _prediction_columns(predicted: DataFrame) -> DataFrame:
 
 
 def _explained_flows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scored_flows(spark, sf)
-    means = fit_scaler(complete_features(extract_features(fixtures.packets(spark, sf))))
+    flows = complete_features(extract_features(fixtures.packets(spark, sf), keep=["start_seq", "last_us"]))
+    flows = written(flows, "explained-flows")  # read for the means and for the rows
+    rows = flows.join(_prediction_columns(_predicted(spark, sf)), "start_seq")
+    means = fit_scaler(flows)
     return linear_evidence(rows, F.col("ml_idx"), LINEAR_WEIGHTS, means)
 
 
