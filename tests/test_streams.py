@@ -93,3 +93,15 @@ def test_windows_on_a_stream_equal_the_batch_jobs(spark, tmp_path):
     made = sequences_available(stream, "src_ip", "alert_id", folder, lateness, ["risk_score"], 4)
     want = host_sequences(hosts, "src_ip", ["t_us", "alert_id"], ["risk_score"], 4)
     assert rows(made, "flow_id", "sequence") == rows(want, "flow_id", "sequence")
+
+
+def test_entropies_do_not_depend_on_the_order_of_rows(spark):
+    """To the last bit: a model's threshold may lie between two sums that differ in it."""
+    rows = [(i * S // 2, "10.0.0.1", 999, "10.0.0.2", 53, "UDP", 40 + i * i % 91) for i in range(120)]
+    name = F.concat(F.lit("q"), F.col("seq") * F.col("seq") * 7919, F.lit(".example.com"))
+    p = packets(spark, rows).withColumn("dns_query_name", name).persist()
+    found = {
+        tuple(with_measures(build_flows(p.repartition(n), cell_s=width)).select("entropy", "dns_entropy").first())
+        for n, width in ((1, 30), (3, 1), (7, 2), (5, 11))
+    }
+    assert len(found) == 1
