@@ -23,6 +23,7 @@ from flowlens.storage import written
 COUNTS = ["dest_fanout", "port_fanout", "flow_count"]
 CELL_SECONDS = 30
 OPENED = ["a_ip", "b_ip", "b_port", "start_us"]
+REPLAYED = ["flow_id", "a_ip", "b_ip", "b_port", "last_us", "tmo_us", "closed", "first_ord", "last_ord"]
 
 
 def source_behaviour(
@@ -48,7 +49,10 @@ def source_behaviour(
     elif mode == "replay_visible":
         if packets is None:
             raise ValueError("replay_visible needs the packet table")
-        rows = _replay_visible(flows, packets, cfg, cells)
+        # Steps and intervals need few columns; whole flows are met again once, by id, and not in every range.
+        flows = written(flows, "replayed-flows")
+        seen = _count_covering(_replay_visible(flows.select(*REPLAYED), packets, cfg, cells), cells)
+        return flows.join(seen.select("flow_id", *COUNTS), "flow_id").select(*flows.columns, *COUNTS)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return _count_covering(rows, cells)

@@ -35,6 +35,14 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
     return made.withColumn(out, F.col(out) + 1)
 
 
+def ranked(table: DataFrame, out: str = "rank") -> DataFrame:
+    """Adds the 1-based position in the order of a ranged table, from the row counts of its cells."""
+    chain = Window.partitionBy(F.lit(0)).orderBy("cell")  # one row per cell
+    counts = table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    before = written(counts.select("cell", (F.sum("n").over(chain) - F.col("n")).alias("before")), "rank-cells")
+    return table.join(before, "cell").withColumn(out, F.col("before") + F.col("place") + 1).drop("before")
+
+
 def neighbour(table: DataFrame, columns: Sequence[str], out: str, step: int) -> DataFrame:
     """Adds struct `out`: `columns` of the row before (step -1) or after (step 1) in a ranged table."""
     value = F.struct(*columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.config import DEFAULT, MICROS, FlowConfig
 from flowlens.functions.measures import text_entropy
 from flowlens.functions.network import closes_flow, timeout_us, with_endpoints
-from flowlens.operators.ordering import exact_flag, global_rank, neighbour, ranged, running_on
+from flowlens.operators.ordering import exact_flag, global_rank, neighbour, ranged, ranked, running_on
 from flowlens.storage import written
 
 ORDER = ["t_us", "seq"]
@@ -37,8 +37,7 @@ def mark_flows(
     )
     if mode == "replay_exact":
         ordered = ranged(df, ORDER, "capture-order", cells)
-        df = neighbour(ordered, ["t_us"], "just_before", -1).drop("cell", "place")
-        df = global_rank(df, ORDER, "ord", cells)
+        df = neighbour(ranked(ordered, "ord"), ["t_us"], "just_before", -1).drop("cell", "place")
         df = df.withColumn("idle_until", F.col("just_before.t_us")).drop("just_before")
     elif mode == "event_gap":
         df = df.withColumn("idle_until", F.col("t_us"))
