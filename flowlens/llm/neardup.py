@@ -10,15 +10,21 @@ Jaccard similarity of `percent` or more; groups are the connected components of
   similarity s is found in some table with probability (1 - (1 - s^rows)^side)^2: 0.99998 at 0.85 and 0.9996
   at 0.8, but 0.008 at 0.2, as between texts that share a passage.
 * Pair keys are formed of bands that a class shares with another class, so most classes form few or none.
-* A bucket of up to `small` classes compares those with one another whose set sizes allow the similarity. In a
-  larger one all are compared with one class, picked by a hash that differs by table, so each class of a large
-  group meets dozens of others.
+* Links only have to join groups. So the `side` tables of bands of equal number come first: all classes of a bucket
+  are compared with one, the least of a bucket of up to `small` classes, else one picked by a hash that differs by
+  table. The components of these links are labels, and all tables are then formed of bands that classes of different
+  labels share: only classes of different labels are compared from there on.
+* There a bucket of up to `small` classes compares those with one another whose set sizes allow the similarity. In a
+  larger one all are compared with one class, picked by a hash that differs by table, so each class that is not yet
+  in the group meets dozens of others.
 * The classes of large buckets that still hold several groups are looked at again, exactly: similar sets share
   one of their first shingles, rare ones first (`prefixes`), so these are compared across groups where they share
   one. Where more than `small` classes share a shingle, they are dealt into blocks of about `block`, and every two
   blocks are compared in a task: all classes outside the largest group there with one another and with that group.
 * Candidates first compare all their minhashes, those of blocks the parities of their whole sets, which rule out most
-  pairs and no similar one; the rest is confirmed by the exact intersection of whole sets (as 64-bit hashes).
+  pairs and no similar one; the rest is confirmed by the exact intersection of whole sets (as 64-bit hashes). Texts of
+  classes that share bands are written once; pairs are dealt into places of about `block`, by their first class (and
+  by their second, where a first one has more than that), and a place gets each text it needs once.
 
 Components: minimum labels along alternating large-star and small-star rounds, written each round.
 
@@ -164,26 +170,30 @@ def parities(sets: Column) -> Column:
     return F.arrow_udf(fold, "binary")(sets)
 
 
-def common(x: Column, y: Column) -> Column:
-    """Size of the intersection of two sorted sets of 64-bit hashes."""
+def similar(near: Near, a: np.ndarray, b: np.ndarray) -> bool:
+    """Are two sorted sets of 64-bit hashes similar enough?"""
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= near.percent * (len(a) + len(b) - both)
 
-    def count(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(xs, ys):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            at = np.searchsorted(b, a)
-            out.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()))
-        return pa.array(out, pa.int64())
 
-    return F.arrow_udf(count, "bigint")(x, y)
+def shared(rows: DataFrame, least: int = 0) -> DataFrame:
+    """(key, count, pick) of the keys with nodes of two labels or more; without labels each node is its own.
 
-
-def buckets(keyed: DataFrame) -> DataFrame:
-    """The rows of `keyed` in buckets of two nodes or more, with the bucket's count and one node picked by a hash."""
+    pick is a node picked by a hash, of up to `least` nodes the least one.
+    """
     salt = F.xxhash64("key")
-    pick = F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt).alias("pick")
-    found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("count"), pick)
-    return keyed.join(found.where("count > 1"), "key")
+    pick = F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt)
+    pick = F.when(F.count(F.lit(1)) <= least, F.min("node")).otherwise(pick) if least else pick
+    sums = [F.count(F.lit(1)).alias("count"), pick.alias("pick")]
+    if "label" not in rows.columns:
+        return rows.groupBy("key").agg(*sums).where("count > 1")
+    found = rows.groupBy("key").agg(*sums, F.min("label").alias("low"), F.max("label").alias("high"))
+    return found.where("low < high").drop("low", "high")
+
+
+def buckets(keyed: DataFrame, least: int = 0) -> DataFrame:
+    """The rows of `keyed` in buckets of two labels or more, with the bucket's count and pick."""
+    return keyed.join(shared(keyed, least), "key")
 
 
 def fits(near: Near, x: str, y: str) -> str:
@@ -204,50 +214,72 @@ def ordered_pairs(one: str, two: str) -> list[Column]:
     return [F.least(one, two).alias("x"), F.greatest(one, two).alias("y")]
 
 
-def tables(live: DataFrame) -> DataFrame:
-    """A row for each pair of a shared band of the one collection and one of the other: key, node, n_shingles."""
-    keyed = live.select("node", "n_shingles", "bands", F.explode("low").alias("i"), "high")
-    keyed = keyed.select("node", "n_shingles", "bands", "i", F.explode("high").alias("j"))
-    return keyed.select(F.expr("xxhash64(i, j, bands[i], bands[j])").alias("key"), "node", "n_shingles")
+def tables(live: DataFrame, also: str = "true") -> DataFrame:
+    """A row for each pair of a shared band of the one collection (i) and one of the other (j): key, node, n_shingles, label."""
+    columns = ["node", "n_shingles", *(c for c in live.columns if c == "label")]
+    keyed = live.select(*columns, "bands", F.explode("low").alias("i"), "high")
+    keyed = keyed.select(*columns, "bands", "i", F.explode("high").alias("j")).where(also)
+    return keyed.select(F.expr("xxhash64(i, j, bands[i], bands[j])").alias("key"), *columns)
 
 
 def shared_bands(classes: DataFrame, near: Near) -> DataFrame:
-    """Classes that share a band of either collection with another class, and which bands they share (low, high)."""
-    banded = classes.select("node", F.posexplode("bands").alias("at", "band"))
-    banded = banded.select("node", "at", F.xxhash64("at", "band").alias("key"))
-    often = banded.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("key")
-    met = banded.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    """Classes that share a band of either collection with one of another label, and which bands they share (low, high)."""
+    columns = ["node", *(c for c in classes.columns if c == "label")]
+    banded = classes.select(*columns, F.posexplode("bands").alias("at", "band"))
+    banded = banded.select(*columns, "at", F.xxhash64("at", "band").alias("key"))
+    met = banded.join(shared(banded).select("key"), "key").groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("at"))
     met = met.select("node", F.expr(f"filter(at, a -> a < {near.side})").alias("low"), F.expr(f"filter(at, a -> a >= {near.side})").alias("high"))
     met = met.where("size(low) > 0 AND size(high) > 0")
-    return classes.select("node", "n_shingles", "bands").join(met, "node")
+    return classes.join(met, "node")
+
 
+def among(rows: DataFrame, column: str, few: DataFrame) -> DataFrame:
+    """The rows that may have a value of `few` in `column`: all that do, and some others.
+
+    One bit for each value, at most 2^23, goes to all tasks, so few other rows are shuffled for an exact join.
+    """
+    size = 1 << min(23, max(16, (8 * few.count()).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(size))
+    word, bit = F.shiftright(at, 6).alias("_word"), at.bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    bits = few.select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    held = rows.select("*", word, bit).join(F.broadcast(written(bits, "near-bits")), "_word")
+    return held.where("getbit(_bits, _bit) = 1").drop("_word", "_bit", "_bits")
 
-def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """(node, set) of the given nodes, written; docs has _row and text."""
-    keepers = written(classes.select("node", "keeper").join(nodes, "node"), "near-keepers")
-    texts = docs.select("text", F.col("_row").alias("keeper")).join(keepers, "keeper")
-    return written(whole_sets(texts.dropDuplicates(["keeper", "node"]), near), "near-sets")
 
+def texts_of(live: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the given classes, written; docs has _row and text."""
+    keepers = live.select("node", "keeper")
+    texts = among(docs.select("text", F.col("_row").alias("keeper")), "keeper", keepers).join(keepers, "keeper")
+    return written(texts.dropDuplicates(["keeper", "node"]).select("node", "text"), "near-texts")
 
-def confirmed(
-    pairs: DataFrame, docs: DataFrame, classes: DataFrame, near: Near, sets: DataFrame | None = None
-) -> DataFrame:
-    """(x, y) of the pairs whose whole sets are similar enough; `sets`, if given, has those of all pairs."""
+
+def confirmed(pairs: DataFrame, live: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """(x, y) of the pairs of live classes whose whole sets are similar enough."""
     pairs = written(pairs, "near-pairs")  # Spark knows its size: the sketches are shuffled for many pairs only
-    slim = classes.select("node", "n_shingles", "minima")
+    slim = live.select("node", "n_shingles", "minima")
     one = slim.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
     two = slim.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
     sized = pairs.join(one, "x").join(two, "y").where(fits(near, "nx", "ny"))
     likely = sized.where(equal_minima(F.col("mx"), F.col("my")) >= near.agree).select("x", "y", "nx", "ny")
     likely = written(likely, "near-likely")
-    if sets is None:
-        wanted = likely.select(F.col("x").alias("node")).unionByName(likely.select(F.col("y").alias("node"))).distinct()
-        sets = sets_of(wanted, docs, classes, near)
-    both = likely.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
-    both = both.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
-    both = both.withColumn("both", common(F.col("sx"), F.col("sy")))
-    alike = 100 * F.col("both") >= near.percent * (F.col("nx") + F.col("ny") - F.col("both"))
-    return written(both.where(alike).select("x", "y"), "near-links")
+    count, size = likely.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("nx") + F.col("ny")), F.lit(0))).first()
+    places = 1 + max(count // near.block, size >> 21)
+    crowds = likely.groupBy("x").agg(F.expr(f"CAST(ceil(count(1) / {near.block}) AS INT)").alias("parts"))
+    place = f"CAST(pmod(xxhash64(x, pmod(xxhash64(y), parts)), {places}) AS INT) AS place"
+    dealt = written(likely.join(crowds, "x").selectExpr("x", "y", place), "near-places")
+    needed = dealt.select("place", F.explode(F.array("x", "y")).alias("node")).distinct()
+    needed = needed.join(texts, "node").select(F.col("place").alias("at"), "node", "text")
+
+    def alike(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        held: dict[int, np.ndarray] = {}
+        for part, sets in _by_chunk(iter(texts.combine_chunks().to_batches()), near):
+            held |= zip(part.column("node").to_pylist(), sets)
+        both = zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist())
+        keep = [similar(near, held[x], held[y]) for x, y in both]
+        return pairs.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    grouped = dealt.groupBy("place").cogroup(needed.groupBy("at"))
+    return written(grouped.applyInArrow(alike, "x bigint, y bigint"), "near-links")
 
 
 def prefixes(sets: DataFrame, near: Near) -> DataFrame:
@@ -343,9 +375,7 @@ def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFr
         x, y = pairs.column("x").to_pylist(), pairs.column("y").to_pylist()
         keep = np.zeros(len(x), bool)
         for i, (one, two) in enumerate(zip(x, y)):
-            a, b = held[one], held[two]
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            keep[i] = 100 * both >= near.percent * (len(a) + len(b) - both)
+            keep[i] = similar(near, held[one], held[two])
         return pairs.select(["x", "y"]).filter(pa.array(keep))
 
     grouped = placed.groupBy("u", "v").cogroup(needed.groupBy("p", "q"))
@@ -354,29 +384,42 @@ def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFr
 
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     """(x, y) of similar classes, enough of them to join every group; docs has _row and text."""
-    live = written(shared_bands(classes, near), "near-live")
-    met = written(buckets(tables(live)), "near-buckets")
-    found = pairs_of(met.where(F.col("count") <= near.small), near)
-    large = met.where(F.col("count") > near.small)
-    found = found.unionByName(large.where("node <> pick").select(*ordered_pairs("node", "pick")))
-    first = confirmed(found.distinct(), docs, classes, near)
-    if large.isEmpty():
-        return first
-    roots = components(first)
-    roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-roots")
+    live = written(shared_bands(classes.drop("least_id"), near), "near-live")
+    texts = texts_of(live, docs)
+    found = buckets(tables(live, f"j = i + {near.side}"), near.small)
+    found = found.where("node <> pick").select(*ordered_pairs("node", "pick"))
+    first = confirmed(found.distinct(), live, texts, near)
+
+    def labels(edges: DataFrame) -> DataFrame:
+        roots = components(edges)
+        return written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-roots")
 
-    def labelled(rows: DataFrame) -> DataFrame:
+    def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
-    mixed = labelled(large.select("key", "node")).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    roots = labels(first)
+    slim = labelled(live.select("node", "n_shingles", "bands"), roots)
+    met = written(buckets(tables(written(shared_bands(slim, near), "near-apart"))), "near-buckets")
+    if met.isEmpty():
+        return first
+    found = pairs_of(met.where(F.col("count") <= near.small), near, "x.label <> y.label")
+    large = met.where(F.col("count") > near.small)
+    picks = labelled(large.select(F.col("pick").alias("node")).distinct(), roots)
+    picks = picks.select(F.col("node").alias("pick"), F.col("label").alias("other"))
+    found = found.unionByName(large.join(picks, "pick").where("label <> other").select(*ordered_pairs("node", "pick")))
+    first = first.unionByName(confirmed(found.distinct(), live, texts, near))
+    if large.isEmpty():
+        return first
+    roots = labels(first)
+    mixed = labelled(large.select("key", "node"), roots).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = mixed.where("low < high").select("key")
     nodes = written(large.join(mixed, "key").select("node").distinct(), "near-open")
     if nodes.isEmpty():
         return first
-    sets = sets_of(nodes, docs, classes, near)
-    again = written(labelled(buckets(prefixes(sets, near))), "near-prefixes")
+    sets = written(whole_sets(texts.join(nodes, "node"), near), "near-sets")
+    again = written(labelled(buckets(prefixes(sets, near)), roots), "near-prefixes")
     more = pairs_of(again.where(F.col("count") <= near.small), near, "x.label <> y.label")
-    second = confirmed(more.distinct(), docs, classes, near, sets)
+    second = confirmed(more.distinct(), live, texts, near)
     wide = wide_pairs(again.where(F.col("count") > near.small), sets, near)
     return first.unionByName(second).unionByName(confirmed_in_blocks(wide, sets, near))
 

@@ -141,3 +141,40 @@ def test_extra_columns_keep_their_values(spark):
     kept = keep_one_each(docs)
     assert kept.columns == docs.columns
     assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_pairs_grow_with_the_group_not_with_the_tables(spark, monkeypatch):
+    """Classes already joined are not compared again: a group of near copies makes a few pairs a class."""
+    from flowlens.llm import neardup
+
+    rng = random.Random(5)
+    text, rows = [f"w{k}" for k in range(200)], []
+    for i in range(300):
+        copy = list(text)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + r, t) for r, t in chained(2, 5, 6)]
+    docs, made = spark.createDataFrame(rows, "doc_id: bigint, text: string"), []
+    real = neardup.written
+
+    def counting(df, name):
+        out = real(df, name)
+        if name in ("near-pairs", "near-texts"):
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "written", counting)
+    near = Near(words=3, percent=85)
+    assert same(near_table(docs, near).collect(), brute(rows, near))
+    assert sum(n for name, n in made if name == "near-pairs") <= near.side * len(rows)
+    assert [n <= len(rows) for name, n in made if name == "near-texts"] == [True]
+
+
+def test_among_keeps_all_that_are_sought(spark):
+    from flowlens.llm.neardup import among
+
+    rows = spark.range(20000).selectExpr("id", "unhex(md5(CAST(id AS STRING))) AS keeper")
+    few = rows.where("id % 40 = 3").select("keeper")
+    got = {r.id for r in among(rows, "keeper", few).collect()}
+    assert got >= set(range(3, 20000, 40)) and len(got) < 4000
+    assert among(rows, "keeper", few.limit(0)).count() == 0
