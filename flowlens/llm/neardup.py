@@ -265,8 +265,9 @@ def confirmed(pairs: DataFrame, live: DataFrame, texts: DataFrame, near: Near) -
     count, size = likely.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("nx") + F.col("ny")), F.lit(0))).first()
     places = 1 + max(count // near.block, size >> 21)
     crowds = likely.groupBy("x").agg(F.expr(f"CAST(ceil(count(1) / {near.block}) AS INT)").alias("parts"))
-    place = f"CAST(pmod(xxhash64(x, pmod(xxhash64(y), parts)), {places}) AS INT) AS place"
-    dealt = written(likely.join(crowds, "x").selectExpr("x", "y", place), "near-places")
+    crowds = written(crowds.where("parts > 1"), "near-crowds")  # few first classes have more pairs than a place
+    place = f"CAST(pmod(xxhash64(x, pmod(xxhash64(y), coalesce(parts, 1))), {places}) AS INT) AS place"
+    dealt = written(likely.join(crowds, "x", "left").selectExpr("x", "y", place), "near-places")
     needed = dealt.select("place", F.explode(F.array("x", "y")).alias("node")).distinct()
     needed = needed.join(texts, "node").select(F.col("place").alias("at"), "node", "text")
 

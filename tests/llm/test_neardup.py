@@ -164,7 +164,7 @@ def test_pairs_grow_with_the_group_not_with_the_tables(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(neardup, "written", counting)
-    near = Near(words=3, percent=85)
+    near = Near(words=3, percent=85, block=16)
     assert same(near_table(docs, near).collect(), brute(rows, near))
     assert sum(n for name, n in made if name == "near-pairs") <= near.side * len(rows)
     assert [n <= len(rows) for name, n in made if name == "near-texts"] == [True]
