@@ -21,12 +21,14 @@ Jaccard similarity of `percent` or more; groups are the connected components of
   one of their first shingles, rare ones first (`prefixes`), so these are compared across groups where they share
   one. Where more than `small` classes share a shingle, they are dealt into blocks of about `block`, and every two
   blocks are compared in a task: all classes outside the largest group there with one another and with that group.
-* Candidates first compare all their minhashes, those of blocks the parities of their whole sets, which rule out most
-  pairs and no similar one; the rest is confirmed by the exact intersection of whole sets (as 64-bit hashes). Texts of
+* Candidates first compare the parities of their whole sets, which rule out most pairs and no similar one, and, but for
+  those of blocks, eight bits of all their minhashes, which do the same where sets are too large for parities; the rest
+  is confirmed by the exact intersection of whole sets (as 64-bit hashes). Texts of
   classes that share bands are written once; pairs are dealt into places of about `block`, by their first class (and
   by their second, where a first one has more than that), and a place gets each text it needs once.
 
-Components: minimum labels along alternating large-star and small-star rounds, written each round.
+Components: minimum labels along alternating large-star and small-star rounds, written each round. The tables
+of a round are deleted once the next one is written.
 
 Rows with a null id take part, but never give a component its name; a group without any id has a null
 component and nothing kept. Repeated rows share their component. An empty table gives an empty result.
@@ -35,6 +37,7 @@ component and nothing kept. Repeated rows share their component. An empty table
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tokens as K
-from flowlens.llm.work import row_key, written
+from flowlens.llm.work import removed, row_key, shared_folder, written
 from flowlens.shipping import ship
 
 ship(__name__)
@@ -67,7 +70,8 @@ class Near:
 
 
 PARITY_BITS = 2048
-SKETCH = "n_shingles bigint, node bigint, minima binary, bands array<bigint>"
+SKETCHED = ["n_shingles", "node", "minima", "brief", "bands"]
+SKETCH = "n_shingles bigint, node bigint, minima binary, brief binary, bands array<bigint>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -96,8 +100,26 @@ def _by_chunk(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[tuple[p
             yield batch.slice(a, b - a), shingle_sets(part, offsets[a : b + 1] - offsets[a], near.words)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """PARITY_BITS bits of a set: whether an odd number of its hashes fall on a bit.
+
+    Two sets differ in at least as many elements as these bits differ, so a pair with too many of them is not similar.
+    """
+    at = (hashes % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=PARITY_BITS) % 2 == 1).tobytes()
+
+
+def parities(sets: Column) -> Column:
+    """The `parity` of each set (its hashes as bytes)."""
+
+    def fold(rows: pa.Array) -> pa.Array:
+        return pa.array([parity(np.frombuffer(v.as_py(), np.uint64)) for v in rows], pa.binary())
+
+    return F.arrow_udf(fold, "binary")(sets)
+
+
 def _sketched(near: Near, sets: list[np.ndarray]) -> list[pa.Array]:
-    """Set size, class id (null: empty set), minhashes (32 bits each) and band hashes of each set."""
+    """Set size, class id (null: empty set), minhashes (8 bits each), parities and band hashes of each set."""
     seeds = np.random.RandomState(97).randint(0, 2**63, (2, near.hashes), dtype=np.uint64)
     factors = seeds[1] * np.uint64(2) + np.uint64(1)
     count = np.array([len(s) for s in sets], np.int64)
@@ -112,12 +134,13 @@ def _sketched(near: Near, sets: list[np.ndarray]) -> list[pa.Array]:
     bands = np.zeros((len(sets), 2 * near.side), np.uint64)
     for j in range(near.rows):
         bands = K.mix(bands + minima[:, j :: near.rows] * K.SLOT_CODE[j])
-    small = K.mix(minima).astype(np.uint32)
+    small = K.mix(minima).astype(np.uint8)
     step = np.arange(len(sets) + 1, dtype=np.int32) * (2 * near.side)
     return [
         pa.array(count),
         pa.array(node, mask=count == 0),
         pa.array([row.tobytes() for row in small], pa.binary()),
+        pa.array([parity(s) for s in sets], pa.binary()),
         pa.ListArray.from_arrays(pa.array(step), pa.array(bands.view(np.int64).ravel())),
     ]
 
@@ -128,7 +151,7 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _by_chunk(batches, near):
             columns = [part.column("doc_id"), part.column("_row"), *_sketched(near, sets)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_row", "n_shingles", "node", "minima", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_row", *SKETCHED])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row binary, {SKETCH}")
@@ -145,29 +168,28 @@ def whole_sets(texts: DataFrame, near: Near) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, set binary")
 
 
-def equal_minima(x: Column, y: Column) -> Column:
-    def count(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        a = np.frombuffer(b"".join(v.as_py() for v in xs), np.uint32)
-        b = np.frombuffer(b"".join(v.as_py() for v in ys), np.uint32)
-        return pa.array((a == b).reshape(len(xs), -1).sum(axis=1) if len(xs) else [], pa.int64())
+def may_be_similar(near: Near, apart: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pairs that may be similar: their parities differ on `apart` bits, their sets have `size` elements together.
 
-    return F.arrow_udf(count, "bigint")(x, y)
+    Of sets at the threshold at most size * (100 - percent) / (100 + percent) elements differ.
+    """
+    return (100 + near.percent) * apart.astype(np.int64) <= (100 - near.percent) * size
 
 
-def parities(sets: Column) -> Column:
-    """PARITY_BITS bits of each set: whether an odd number of its hashes fall on a bit.
+def likely(near: Near) -> Column:
+    """May a pair (nx, mx, bx; ny, my, by: sizes, minhashes, parities) be similar? Said no to no similar one, as by Near.agree."""
 
-    Two sets differ in at least as many elements as these bits differ, so a pair with too many of them is not similar.
-    """
+    def bits(column: pa.Array, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    def fold(rows: pa.Array) -> pa.Array:
-        out = []
-        for v in rows:
-            at = (np.frombuffer(v.as_py(), np.uint64) % np.uint64(PARITY_BITS)).astype(np.int64)
-            out.append(np.packbits(np.bincount(at, minlength=PARITY_BITS) % 2 == 1).tobytes())
-        return pa.array(out, pa.binary())
+    def test(nx: pa.Array, ny: pa.Array, mx: pa.Array, my: pa.Array, bx: pa.Array, by: pa.Array) -> pa.Array:
+        if not len(nx):
+            return pa.array([], pa.bool_())
+        apart = np.bitwise_count(bits(bx, np.uint64) ^ bits(by, np.uint64)).sum(axis=1, dtype=np.int64)
+        near_enough = may_be_similar(near, apart, nx.to_numpy() + ny.to_numpy())
+        return pa.array(near_enough & ((bits(mx, np.uint8) == bits(my, np.uint8)).sum(axis=1) >= near.agree))
 
-    return F.arrow_udf(fold, "binary")(sets)
+    return F.arrow_udf(test, "boolean")("nx", "ny", "mx", "my", "bx", "by")
 
 
 def similar(near: Near, a: np.ndarray, b: np.ndarray) -> bool:
@@ -256,18 +278,15 @@ def texts_of(live: DataFrame, docs: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, live: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     """(x, y) of the pairs of live classes whose whole sets are similar enough."""
     pairs = written(pairs, "near-pairs")  # Spark knows its size: the sketches are shuffled for many pairs only
-    slim = live.select("node", "n_shingles", "minima")
-    one = slim.select(F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("minima").alias("mx"))
-    two = slim.select(F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("minima").alias("my"))
+    one, two = (live.selectExpr(f"node AS {c}", f"n_shingles AS n{c}", f"minima AS m{c}", f"brief AS b{c}") for c in "xy")
     sized = pairs.join(one, "x").join(two, "y").where(fits(near, "nx", "ny"))
-    likely = sized.where(equal_minima(F.col("mx"), F.col("my")) >= near.agree).select("x", "y", "nx", "ny")
-    likely = written(likely, "near-likely")
-    count, size = likely.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("nx") + F.col("ny")), F.lit(0))).first()
+    left = written(sized.where(likely(near)).select("x", "y", "nx", "ny"), "near-likely")
+    count, size = left.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("nx") + F.col("ny")), F.lit(0))).first()
     places = 1 + max(count // near.block, size >> 21)
-    crowds = likely.groupBy("x").agg(F.expr(f"CAST(ceil(count(1) / {near.block}) AS INT)").alias("parts"))
+    crowds = left.groupBy("x").agg(F.expr(f"CAST(ceil(count(1) / {near.block}) AS INT)").alias("parts"))
     crowds = written(crowds.where("parts > 1"), "near-crowds")  # few first classes have more pairs than a place
     place = f"CAST(pmod(xxhash64(x, pmod(xxhash64(y), coalesce(parts, 1))), {places}) AS INT) AS place"
-    dealt = written(likely.join(crowds, "x", "left").selectExpr("x", "y", place), "near-places")
+    dealt = written(left.join(crowds, "x", "left").selectExpr("x", "y", place), "near-places")
     needed = dealt.select("place", F.explode(F.array("x", "y")).alias("node")).distinct()
     needed = needed.join(texts, "node").select(F.col("place").alias("at"), "node", "text")
 
@@ -311,8 +330,7 @@ def wide_pairs(wide: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
     Keys with the same classes are one key. Those outside the most frequent label of a key are dealt into `outs`
     blocks, the others into `ins` more; each two blocks of which one is outside meet in a task, which compares sizes
-    and parities: with sets of n and m elements at the threshold, at most (n + m) * (100 - percent) / (100 + percent)
-    elements differ, and a pair whose parities differ more often is not similar. No similar pair is lost.
+    and parities. No similar pair is lost.
     """
     same = ["one", "two", "count"]
     codes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(c) for i, c in enumerate(same[:2])]
@@ -331,7 +349,7 @@ def wide_pairs(wide: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     rows = rows.select("key", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "node", "n_shingles", "label", "brief")
     rows = rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
 
-    def likely(part: pa.Table) -> pa.RecordBatch:
+    def close(part: pa.Table) -> pa.RecordBatch:
         own, node, size, label = (part.column(c).to_numpy() for c in ("own", "node", "n_shingles", "label"))
         brief = np.frombuffer(b"".join(part.column("brief").to_pylist()), np.uint64).reshape(len(own), -1)
         a = np.flatnonzero(own == part.column("u")[0].as_py())
@@ -339,7 +357,7 @@ def wide_pairs(wide: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         apart = np.zeros((len(a), len(b)), np.uint16)
         for one, two in zip(np.ascontiguousarray(brief[a].T), np.ascontiguousarray(brief[b].T)):
             apart += np.bitwise_count(one[:, None] ^ two)
-        near_enough = (100 + near.percent) * apart.astype(np.int64) <= (100 - near.percent) * (size[a][:, None] + size[b])
+        near_enough = may_be_similar(near, apart, size[a][:, None] + size[b])
         small, big = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
         i, j = np.nonzero(near_enough & (label[a][:, None] != label[b]) & (100 * small >= near.percent * big))
         x, y = node[a[i]], node[b[j]]
@@ -353,10 +371,10 @@ def wide_pairs(wide: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             ids = np.stack([table.column(c).to_numpy() for c in ("key", "u", "v")])
             starts = np.concatenate(([0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1))
             for start, end in zip(starts[:-1], starts[1:]):
-                yield likely(table.slice(start, end - start))
+                yield close(table.slice(start, end - start))
             held = table.slice(starts[-1])
         if held is not None and held.num_rows:
-            yield likely(held)
+            yield close(held)
 
     return written(rows.mapInArrow(run, "x bigint, y bigint").distinct(), "near-wide-pairs")
 
@@ -427,10 +445,14 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for the nodes that have a link."""
-    state = None
+    spark, state, done = edges.sparkSession, None, None
     edges = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct()
     while True:
-        edges = written(edges, "near-edges")
+        folder = f"near-round-{uuid.uuid4().hex}"
+        edges = written(edges, f"{folder}/edges")
+        if done:
+            removed(spark, f"{shared_folder(spark)}/{done}")
+        done = folder
         got = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -439,7 +461,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        large = written(large, "near-large-star")
+        large = written(large, f"{folder}/large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
@@ -452,7 +474,7 @@ def grouped(docs: DataFrame, near: Near = Near()) -> DataFrame:
     signed = written(sketches(keyed, near), "near-sketches")
     full = signed.where("node IS NOT NULL")
     # one row stands for its class; the sketch may be any row's, as all have the same set
-    sketch = [F.first(c).alias(c) for c in ("n_shingles", "minima", "bands")]
+    sketch = [F.first(c).alias(c) for c in SKETCHED if c != "node"]
     classes = full.groupBy("node").agg(F.min("_row").alias("keeper"), F.min("doc_id").alias("least_id"), *sketch)
     classes = written(classes, "near-classes")
     roots = components(links(keyed, classes, near))

@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowlens.operators.joins import spread_join
-from flowlens.storage import numbered, placed, shared_folder, work_folder, written
+from flowlens.storage import numbered, placed, removed, shared_folder, work_folder, written
 
-__all__ = ["numbered", "placed", "row_key", "shared_folder", "spread_join", "unit", "work_folder", "written"]
+__all__ = ["numbered", "placed", "removed", "row_key", "shared_folder", "spread_join", "unit", "work_folder", "written"]
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -178,3 +179,38 @@ def test_among_keeps_all_that_are_sought(spark):
     got = {r.id for r in among(rows, "keeper", few).collect()}
     assert got >= set(range(3, 20000, 40)) and len(got) < 4000
     assert among(rows, "keeper", few.limit(0)).count() == 0
+
+
+def test_pairs_far_from_the_threshold_are_ruled_out_before_their_texts_are_read(spark, monkeypatch):
+    import flowlens.llm.neardup as module
+
+    rng, rows = random.Random(5), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    for n in range(120):  # about 0.7 alike with one another: bands are shared, links are not
+        text = list(base)
+        for at in rng.sample(range(400), 14):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((n, " ".join(text)))
+    rows += [(200 + n, rows[n][1] + " more") for n in range(10)]
+    near, counts = Near(words=3, percent=85), {"near-pairs": 0, "near-places": 0}
+
+    def counted(df, name, *folder):
+        out = written(df, name, *folder)
+        if name in counts:
+            counts[name] += out.count()
+        return out
+
+    written = module.written
+    monkeypatch.setattr(module, "written", counted)
+    got = near_table(spark.createDataFrame(rows, "doc_id bigint, text string"), near).collect()
+    assert same(got, brute(rows, near))
+    assert counts["near-pairs"] > 200
+    assert counts["near-places"] < 50
+
+
+def test_rounds_of_components_are_deleted(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    edges = spark.createDataFrame([(n, n + 1) for n in range(40)], "x bigint, y bigint")
+    assert {r.root for r in components(edges).collect()} == {0}
+    assert len(set(os.listdir(folder)) - before) == 1
