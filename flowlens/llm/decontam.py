@@ -43,9 +43,11 @@ UNITS = (
     "litres?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|"
     "euros?|usd|eur|°c|°f|degrees?|watts?|kw|volts?|hz|mb|gb"
 )
-# runs that are not one plain blank already, which most are
-BLANKS = rf" *[\s\u00a0{MARKS}&&[^ ]][\s\u00a0{MARKS}]*+| {{2,}}"
-BETWEEN = rf" *[^\p{{L}}\p{{M}}{MARKS} ][^\p{{L}}\p{{M}}{MARKS}]*+| {{2,}}"
+# runs that are not one plain blank already, which most are; one class is tried at a place, so others are passed quickly
+BLANK = rf"[ \t\n\x0B\f\r\u00a0{NUMBER}-{UNIT}]"
+BLANKS = rf"{BLANK}(?:{BLANK}++|(?<! ))"
+APART = rf"[^\p{{L}}\p{{M}}{NUMBER}-{UNIT}]"
+BETWEEN = rf"{APART}(?:{APART}++|(?<! ))"
 NUMBERS = r"\p{Nd}++(?:[.,:]\p{Nd}++)*+"
 MEASURES = rf"{NUMBERS} ?((?i:{UNITS}))(?![\p{{L}}\p{{Nd}}])"
 # capitalised words inside a sentence, and anywhere; numbers have become placeholders between blanks

@@ -141,3 +141,21 @@ def test_main_path_runs_no_python(spark):
     docs = spark.createDataFrame(texts(), "doc_id: bigint, text: string")
     plan = drop_leaks(docs, bench(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_blanks_and_separators_are_passed_by_one_class(spark):
+    """The patterns replace what those with two alternatives replaced, and try one class of characters at a place."""
+    import random
+
+    from flowlens.llm.decontam import BETWEEN, BLANKS, MARKS
+    from pyspark.sql import functions as F
+
+    blanks = rf" *[\s {MARKS}&&[^ ]][\s {MARKS}]*+| {{2,}}"
+    between = rf" *[^\p{{L}}\p{{M}}{MARKS} ][^\p{{L}}\p{{M}}{MARKS}]*+| {{2,}}"
+    rng = random.Random(3)
+    letters = "aBé中́ \t\n\x0b\x85 .,-7   \U0001f600"
+    rows = [("".join(rng.choice(letters) for _ in range(30)),) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "text: string")
+    for old, new in ((blanks, BLANKS), (between, BETWEEN)):
+        assert df.where(F.regexp_replace("text", old, " ") != F.regexp_replace("text", new, " ")).isEmpty()
+        assert new.startswith("[") and "|" not in new.split("(?:")[0]
