@@ -1,7 +1,9 @@
 import collections
 import math
+import pathlib
 
 import numpy as np
+from flowlens.llm import vecdup
 from flowlens.llm.vecdup import Vectors, keep_one_vector_each, vector_table
 
 SCHEMA = "vec_id: bigint, embedding: array<double>, label: int, node: string, class: int, key: string, unit: string, kept: int"
@@ -112,3 +114,20 @@ def test_shape_grows_slowly():
     rules = Vectors()
     shapes = [rules.shape(n) for n in (0, 1, 500, 10**5, 10**9)]
     assert shapes[0][0] == 1 and all(a <= b for a, b in zip(shapes, shapes[1:])) and shapes[-1][1] < 1000
+
+
+def test_rounds_and_few_candidates(spark, monkeypatch):
+    """Rounds of single tables and few pairs change nothing; unrelated vectors are not held against every crowd."""
+    rng = np.random.RandomState(17)
+    v = around(rng, np.zeros(64), 1200, 1.0)
+    for _ in range(20):
+        v += around(rng, rng.standard_normal(64), 40, 0.02)
+    rows = list(enumerate(v))
+    asked, cosines = [], vecdup.cosines
+    monkeypatch.setattr(vecdup, "cosines", lambda pairs, *rest: asked.append(pairs.count()) or cosines(pairs, *rest))
+    rules = Vectors(mates=64, round_mb=0)
+    assert len(vecdup.rounds(rules.shape(2000)[1], rules, 2000, 2000 * 512)) > 2
+    assert same(spark, rows, rules)
+    assert sum(asked) < 20_000  # 20 crowds and 1,200 others: 24,000 pairs and more
+    left = [p for kind in ("units", "members", "keys", "dealt") for p in pathlib.Path(vecdup.shared_folder(spark)).glob(f"vector-round*/*{kind}*")]
+    assert not left
