@@ -70,6 +70,7 @@ class Near:
 
 
 PARITY_BITS = 2048
+FEW = 50_000  # pairs whose ids may go to all tasks
 SKETCHED = ["n_shingles", "node", "minima", "brief", "bands"]
 SKETCH = "n_shingles bigint, node bigint, minima binary, brief binary, bands array<bigint>"
 
@@ -213,9 +214,17 @@ def shared(rows: DataFrame, least: int = 0) -> DataFrame:
     return found.where("low < high").drop("low", "high")
 
 
+def met_on(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with `table`, neither of them broadcast.
+
+    Spark sizes rows after an explode, or of a well packed file, by a fraction of what they take in the driver.
+    """
+    return rows.hint("merge").join(table, key)
+
+
 def buckets(keyed: DataFrame, least: int = 0) -> DataFrame:
     """The rows of `keyed` in buckets of two labels or more, with the bucket's count and pick."""
-    return keyed.join(shared(keyed, least), "key")
+    return met_on(keyed, shared(keyed, least), "key")
 
 
 def fits(near: Near, x: str, y: str) -> str:
@@ -249,7 +258,7 @@ def shared_bands(classes: DataFrame, near: Near) -> DataFrame:
     columns = ["node", *(c for c in classes.columns if c == "label")]
     banded = classes.select(*columns, F.posexplode("bands").alias("at", "band"))
     banded = banded.select(*columns, "at", F.xxhash64("at", "band").alias("key"))
-    met = banded.join(shared(banded).select("key"), "key").groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    met = met_on(banded, shared(banded).select("key"), "key").groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("at"))
     met = met.select("node", F.expr(f"filter(at, a -> a < {near.side})").alias("low"), F.expr(f"filter(at, a -> a >= {near.side})").alias("high"))
     met = met.where("size(low) > 0 AND size(high) > 0")
     return classes.join(met, "node")
@@ -288,7 +297,9 @@ def confirmed(pairs: DataFrame, live: DataFrame, texts: DataFrame, near: Near) -
     place = f"CAST(pmod(xxhash64(x, pmod(xxhash64(y), coalesce(parts, 1))), {places}) AS INT) AS place"
     dealt = written(left.join(crowds, "x", "left").selectExpr("x", "y", place), "near-places")
     needed = dealt.select("place", F.explode(F.array("x", "y")).alias("node")).distinct()
-    needed = needed.join(texts, "node").select(F.col("place").alias("at"), "node", "text")
+    # texts are packed too well to be sized by their file; of few pairs the ids are sent
+    needed = F.broadcast(needed).join(texts, "node") if count <= FEW else met_on(needed, texts, "node")
+    needed = needed.select(F.col("place").alias("at"), "node", "text")
 
     def alike(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         held: dict[int, np.ndarray] = {}
@@ -342,7 +353,7 @@ def wide_pairs(wide: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     blocks = [f"CAST(ceil({n} / {near.block}) AS INT) AS {c}" for n, c in (("(count - k.most.n)", "outs"), ("k.most.n", "ins"))]
     keys = written(keys.selectExpr("k.key", "k.most.label AS main", *blocks), "near-wide-keys")
     briefs = written(sets.select("node", parities(F.col("set")).alias("brief")), "near-parities")
-    rows = wide.select("key", "node", "n_shingles", "label").join(keys, "key").join(briefs, "node")
+    rows = met_on(wide.select("key", "node", "n_shingles", "label"), keys, "key").join(briefs, "node")
     own = "IF(label = main, outs + pmod(xxhash64(node, 7), ins), pmod(xxhash64(node, 7), outs))"
     rows = rows.withColumn("own", F.expr(f"CAST({own} AS INT)"))
     rows = rows.withColumn("other", F.expr("explode(sequence(0, IF(label = main, outs, outs + ins) - 1))"))
@@ -425,14 +436,14 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     large = met.where(F.col("count") > near.small)
     picks = labelled(large.select(F.col("pick").alias("node")).distinct(), roots)
     picks = picks.select(F.col("node").alias("pick"), F.col("label").alias("other"))
-    found = found.unionByName(large.join(picks, "pick").where("label <> other").select(*ordered_pairs("node", "pick")))
+    found = found.unionByName(met_on(large, picks, "pick").where("label <> other").select(*ordered_pairs("node", "pick")))
     first = first.unionByName(confirmed(found.distinct(), live, texts, near))
     if large.isEmpty():
         return first
     roots = labels(first)
     mixed = labelled(large.select("key", "node"), roots).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = mixed.where("low < high").select("key")
-    nodes = written(large.join(mixed, "key").select("node").distinct(), "near-open")
+    nodes = written(met_on(large, mixed, "key").select("node").distinct(), "near-open")
     if nodes.isEmpty():
         return first
     sets = written(whole_sets(texts.join(nodes, "node"), near), "near-sets")

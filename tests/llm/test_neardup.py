@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 from edge import edge_documents, no_documents
-from flowlens.llm.neardup import Near, components, keep_one_each, near_table
+from flowlens.llm.neardup import Near, buckets, components, keep_one_each, near_table, tables
+from flowlens.llm.work import written
 
 
 def fold(text):
@@ -214,3 +215,13 @@ def test_rounds_of_components_are_deleted(spark):
     edges = spark.createDataFrame([(n, n + 1) for n in range(40)], "x bigint, y bigint")
     assert {r.root for r in components(edges).collect()} == {0}
     assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """144 rows a class, sized by Spark as a part of one: no side of their joins goes to the driver."""
+    rows = [(i, 9, i % 7, [i // 2] * 24, list(range(12)), list(range(12, 24))) for i in range(40)]
+    live = spark.createDataFrame(rows, "node bigint, n_shingles bigint, label bigint, bands array<bigint>, low array<int>, high array<int>")
+    live = written(live, "live")
+    met = buckets(tables(live))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 40 * 144
