@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from flowlens.config import FEATURE_COLUMNS
 from flowlens.functions.measures import text_entropy
 from flowlens.operators import models as M
+from flowlens.operators import ordering
+from flowlens.operators.dataset import host_sequences
 from flowlens.operators.sessionize import packet_parts
 from helpers import GOLDEN, packets
 
@@ -48,3 +50,15 @@ def test_entropy_of_names_with_signs_of_several_bytes(spark):
         n = len(name)
         want = -sum(c / n * math.log2(c / n) for c in Counter(name).values()) if n else 0.0
         assert abs(got[i] - want) < 1e-12, name
+
+
+def test_slim_sequences_hold_the_same_steps_once(spark, monkeypatch):
+    rows = spark.range(400).select(
+        F.concat(F.lit("h"), F.col("id") % 3).alias("src_ip"), F.col("id").alias("seq"), *[(F.col("id") * (i + 3) % 17 / 17.0).alias(c) for i, c in enumerate(FEATURE_COLUMNS)]
+    )
+    dealt, placed = [], ordering.placed
+    monkeypatch.setattr(ordering, "placed", lambda df, *rest: dealt.append(df.columns) or placed(df, *rest))
+    got = host_sequences(rows, "src_ip", ["seq"], slim=True)
+    assert not set(FEATURE_COLUMNS) & {*got.columns, *dealt[0]}
+    want = host_sequences(rows, "src_ip", ["seq"])
+    assert sorted(got.select("seq", "sequence").collect()) == sorted(want.select("seq", "sequence").collect())
